@@ -247,8 +247,11 @@ def part(tokens: Items, span: Column) -> Items:
 
 def inner(tokens: Items) -> Items:
     """Content of a subtree, without its own tags."""
-    closed = F.when(F.element_at(tokens, -1)["k"] == CLOSE, 2).otherwise(1)
-    return F.slice(tokens, 2, F.greatest(F.size(tokens) - closed, F.lit(0)))
+    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
+    own_end = (last["k"] == CLOSE) & (last["n"] == first["n"])
+    return F.slice(
+        tokens, 2, F.greatest(F.size(tokens) - F.when(own_end, 2).otherwise(1), F.lit(0))
+    )
 
 
 def splice(tokens: Items, spans: Column, new: Callable[[Column, Items], Items] | None) -> Items:

@@ -58,5 +58,5 @@ def asset_rewrite(bodies: DataFrame, judged: DataFrame, prefix: str = "../") ->
         .groupBy("url")
         .agg(F.map_from_entries(F.collect_list(entry)).alias("new"))
     )
-    body = replace_attribute(F.col("body_html"), "img", "src", F.col("new"))
+    body = replace_attribute("body_html", "img", "src", "new")
     return bodies.join(new, "url", "left").withColumn("body_html", body).drop("new")

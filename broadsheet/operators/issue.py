@@ -20,6 +20,7 @@ from broadsheet.functions.text import (
 )
 from broadsheet.functions.urls import chapter_file
 from broadsheet.operators.ranking import global_positions, with_group_start
+from broadsheet.operators.skew import join_dimension
 from broadsheet.site import AUTHOR_INDEX_TITLE, CATEGORY_ORDER, DEFAULT_AUTHOR, TIME_ZONE, Site
 
 AUTHORS_FILE = "authors.xhtml"
@@ -83,7 +84,7 @@ def group_by_category(
     starts = numbered.groupBy("category").agg(F.min("chapter_no").alias("_start"))
     sections = global_positions(starts, ["_start"], "section_pos")
     return (
-        numbered.join(sections, "category")
+        join_dimension(numbered, sections, "category")
         .withColumn("chapter_pos", F.col("chapter_no") - F.col("_start") + 1)
         .drop("_start")
     )

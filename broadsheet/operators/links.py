@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -53,33 +54,35 @@ def link_index(
     return keys.groupBy("key").agg(F.max_by("chapter_file", "_order").alias("chapter_file"))
 
 
-def article_links(bodies: DataFrame, site: Site = Site()) -> DataFrame:
-    """Lookup keys ``(url, chapter_file, href, key_pos, key)`` of the distinct links of each body."""
+@lru_cache
+def _hrefs() -> Column:
+    """Distinct links of a body that may point at an article."""
 
     def is_link(x: Column) -> Column:
         return (x["k"] == H.OPEN) & (x["n"] == "a")
 
-    def lookups(href: Column) -> Column:
-        return let(
-            link_target(href, site),
-            lambda t: F.when(t["path"] != "", _compact_keys(_absolute(t), t["path"], site)),
-        )
+    tags = F.filter(H.items(F.col("body_html")), is_link)
+    hrefs = F.transform(tags, lambda x: H.attribute(x["t"], "href"))
+    return F.filter(F.array_distinct(hrefs), lambda h: ~h.rlike("^$|^#|^mailto:|^tel:"))
 
-    def _absolute(t: Column) -> Column:
-        return F.when(t["target"].rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://"), t["target"]).otherwise("")
-
-    hrefs = F.filter(
-        F.array_distinct(
-            F.transform(
-                F.filter(H.items(F.col("body_html")), is_link),
-                lambda x: H.attribute(x["t"], "href"),
-            )
-        ),
-        lambda h: ~h.rlike("^$|^#|^mailto:|^tel:"),
-    )
+
+@lru_cache
+def _lookups(site: Site) -> Column:
+    """Keys of ``href``, null when it points elsewhere."""
+
+    def keys(link: Column) -> Column:
+        absolute = link["target"].rlike("^[a-zA-Z][a-zA-Z0-9+.-]*://")
+        address = F.when(absolute, link["target"]).otherwise("")
+        return F.when(link["path"] != "", _compact_keys(address, link["path"], site))
+
+    return let(link_target(F.col("href"), site), keys)
+
+
+def article_links(bodies: DataFrame, site: Site = Site()) -> DataFrame:
+    """Lookup keys ``(url, chapter_file, href, key_pos, key)`` of the distinct links of each body."""
     return (
-        bodies.select("url", "chapter_file", F.explode(hrefs).alias("href"))
-        .select("url", "chapter_file", "href", F.posexplode(lookups(F.col("href"))))
+        bodies.select("url", "chapter_file", F.explode(_hrefs()).alias("href"))
+        .select("url", "chapter_file", "href", F.posexplode(_lookups(site)))
         .withColumnsRenamed({"pos": "key_pos", "col": "key"})
     )
 
@@ -118,11 +121,12 @@ def resolve_links(links: DataFrame, index: DataFrame, heavy: DataFrame | None =
     )
 
 
-def replace_attribute(body: Column, tag: str, name: str, new: Column) -> Column:
-    """A body with attribute values of one tag looked up in a map; others stay."""
+@lru_cache
+def replace_attribute(body: str, tag: str, name: str, new: str) -> Column:
+    """Body column with attribute values of one tag looked up in a map column; others stay."""
 
     def edited(x: Column) -> Column:
-        value = F.when(x["n"] == tag, F.try_element_at(new, H.attribute(x["t"], name)))
+        value = F.when(x["n"] == tag, F.try_element_at(F.col(new), H.attribute(x["t"], name)))
         return let(
             value,
             lambda v: F.when(v.isNull(), x["t"]).otherwise(
@@ -130,8 +134,8 @@ def replace_attribute(body: Column, tag: str, name: str, new: Column) -> Column:
             ),
         )
 
-    whole = F.array_join(F.transform(H.items(body), edited), "")
-    return F.when(new.isNull(), body).otherwise(whole)
+    whole = F.array_join(F.transform(H.items(F.col(body)), edited), "")
+    return F.when(F.col(new).isNull(), F.col(body)).otherwise(whole)
 
 
 def rewrite_links(
@@ -143,5 +147,5 @@ def rewrite_links(
     """Bodies whose links to indexed articles are relative chapter paths."""
     resolved = resolve_links(article_links(cleaned, site), index, heavy)
     joined = cleaned.join(resolved, "url", "left")
-    body = replace_attribute(F.col("body_html"), "a", "href", F.col("new"))
+    body = replace_attribute("body_html", "a", "href", "new")
     return joined.withColumn("body_html", body).drop("new")

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -37,8 +38,23 @@ def tokenize(pages: DataFrame, key: str = "page_id", html: str = "html") -> Data
     return rows.select(key, "pos", kind.alias("kind"), "name", "tok")
 
 
-def _extract(page: Column, url: Column, hint: Column, p: ExtractProfile) -> Column:
+EXTRACTED = ("title", "author", "excerpt", "prose_html")
+# In the order in which a page is checked.
+_REASONS = {
+    "title": "no_title",
+    "author": "no_author",
+    "prose_html": "no_body",
+    "excerpt": "no_excerpt",
+}
+
+
+@lru_cache
+def _extract(
+    html: str, url: str, hint: str | None, p: ExtractProfile, wanted: tuple[str, ...]
+) -> Column:
+    """Struct of the wanted parts; kept per profile, since it takes a while to build."""
     sep = p.text_separator
+    hint_col = F.col(hint) if hint else F.lit(None).cast("string")
 
     def meta(tokens: Column, attr: str, value: str) -> Column:
         def named(x: Column) -> Column:
@@ -55,9 +71,9 @@ def _extract(page: Column, url: Column, hint: Column, p: ExtractProfile) -> Colu
         if p.author_meta:
             authors.append(F.nullif(meta(tokens, "name", p.author_meta), F.lit("")))
         if p.author_from_hint:
-            authors.append(blank_to_null(hint))
+            authors.append(blank_to_null(hint_col))
         if p.author_from_host:
-            authors.append(F.nullif(url_host(url), F.lit("")))
+            authors.append(F.nullif(url_host(F.col(url)), F.lit("")))
 
         def with_body(body: Column) -> Column:
             excerpt = F.lit(None).cast("string")
@@ -69,16 +85,20 @@ def _extract(page: Column, url: Column, hint: Column, p: ExtractProfile) -> Colu
                     here,
                     lambda e: F.when(e.isNotNull(), H.text_of(e, sep)).otherwise(excerpt),
                 )
-            return F.struct(
-                title.alias("title"),
-                F.coalesce(*authors).alias("author"),
-                F.when(body.isNotNull(), excerpt).alias("excerpt"),
-                H.html_of(body).alias("prose_html"),
-            )
+            found = {
+                "title": title,
+                "author": F.coalesce(*authors),
+                "excerpt": F.when(body.isNotNull(), excerpt),
+                "prose_html": H.html_of(body),
+            }
+            return F.struct(*[found[name].alias(name) for name in wanted])
+
+        if not {"excerpt", "prose_html"} & set(wanted):
+            return with_body(F.lit(None))
 
         return let(H.first_subtree(tokens, H.matches(p.body)), with_body)
 
-    return let(H.items(page), fields)
+    return let(H.items(F.col(html)), fields)
 
 
 def extract_pages(
@@ -87,21 +107,24 @@ def extract_pages(
     url: str = "url",
     html: str = "html",
     hint: str | None = None,
+    fields: tuple[str, ...] = EXTRACTED,
 ) -> DataFrame:
     """Title, author, excerpt, body and slug of every page.
 
-    ``reject_reason`` is the first part that is missing, null for a whole article.
+    ``reject_reason`` is the first part that is missing, null for a whole article. With
+    fewer ``fields`` only those are looked for, and only they can be missing.
     """
-    hint_col = F.col(hint) if hint else F.lit(None).cast("string")
-    record = _extract(F.col(html), F.col(url), hint_col, profile)
-    out = with_columns_once(pages, record).drop(html)
-    reason = (
-        F.when(F.col("title").isNull(), "no_title")
-        .when(F.col("author").isNull(), "no_author")
-        .when(F.col("prose_html").isNull(), "no_body")
-    )
-    if profile.need_excerpt:
-        reason = reason.when(F.coalesce(F.col("excerpt"), F.lit("")) == "", "no_excerpt")
+    out = with_columns_once(pages, _extract(html, url, hint, profile, fields)).drop(html)
+    missing = {
+        "title": F.col("title").isNull(),
+        "author": F.col("author").isNull(),
+        "prose_html": F.col("prose_html").isNull(),
+        "excerpt": F.lit(profile.need_excerpt) & (F.coalesce("excerpt", F.lit("")) == ""),
+    }
+    reason = F.when(F.lit(False), "")
+    for name, label in _REASONS.items():
+        if name in fields:
+            reason = reason.when(missing[name], label)
     return out.withColumn("slug", article_slug(F.col(url))).withColumn("reject_reason", reason)
 
 
@@ -289,9 +312,19 @@ def clean_pages(
     prose: str = "prose_html",
 ) -> DataFrame:
     """Cleaned body and image addresses instead of the raw body; other columns stay."""
-    # one projection per rule keeps the expressions shallow for the analyzer;
-    # each binds its input once, so collapsing them repeats no work
-    out = articles.withColumn("_toks", H.items(F.col(prose)))
-    for stage in clean_stages(profile, site.base):
-        out = out.withColumn("_toks", let(F.col("_toks"), stage))
-    return with_columns_once(out, let(F.col("_toks"), _cleaned)).drop("_toks", prose)
+    tokens, *rules, record = _clean_columns(prose, profile, site.base)
+    out = articles.withColumn("_toks", tokens)
+    for rule in rules:
+        out = out.withColumn("_toks", rule)
+    return with_columns_once(out, record).drop("_toks", prose)
+
+
+@lru_cache
+def _clean_columns(prose: str, profile: CleanProfile, base: str) -> list[Column]:
+    """Tokens, every rule and the result, each to be projected in turn.
+
+    One projection per rule keeps the expressions shallow for the analyzer. Each binds its
+    input once, so collapsing them repeats no work.
+    """
+    stages = [*clean_stages(profile, base), _cleaned]
+    return [H.items(F.col(prose)), *[let(F.col("_toks"), stage) for stage in stages]]

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, functions as F
 
 # Bound of the list of heavy keys; it is broadcast whatever the data.
 MAX_HEAVY_KEYS = 1000
+# A dimension of short rows up to this size is broadcast; a larger one is shuffled.
+MAX_BROADCAST_ROWS = 50_000
 
 
 def heavy_keys(sample: DataFrame, key: str) -> DataFrame:
@@ -49,3 +51,12 @@ def salted_join(
         .join(salted_right.drop("_heavy"), [key, "_salt"])
         .drop("_salt")
     )
+
+
+def join_dimension(
+    left: DataFrame, dim: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
+    """Inner join with a written dimension: broadcast while it is counted to be small."""
+    if dim.limit(max_rows + 1).count() <= max_rows:
+        dim = F.broadcast(dim)
+    return left.join(dim, key)

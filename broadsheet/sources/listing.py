@@ -6,6 +6,7 @@ A card is a subtree of its page's tokens, so cards are exploded where the page l
 from __future__ import annotations
 
 from datetime import datetime
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -74,6 +75,14 @@ def _card_fields(site: Site):
     return fields
 
 
+@lru_cache
+def _card_columns(site: Site) -> tuple[Column, Column]:
+    def cards(toks: Column) -> Column:
+        return F.transform(H.subtrees(toks, _CARD), lambda span: H.part(toks, span))
+
+    return let(H.items(F.col("html")), cards), let(F.col("_card"), _card_fields(site))
+
+
 def listing_refs(
     pages: DataFrame,
     now: datetime,
@@ -82,14 +91,11 @@ def listing_refs(
     key: str = "list_id",
 ) -> DataFrame:
     """References of the cards of every listing page; ``limit`` counts cards of one page."""
-    cards = let(
-        H.items(F.col("html")),
-        lambda toks: F.transform(H.subtrees(toks, _CARD), lambda span: H.part(toks, span)),
-    )
+    cards, record = _card_columns(site)
     rows = pages.select(key, F.posexplode(cards).alias("pos", "_card"))
     if limit is not None:
         rows = rows.filter(F.col("pos") < limit)
-    out = with_columns_once(rows, let(F.col("_card"), _card_fields(site))).drop("_card")
+    out = with_columns_once(rows, record).drop("_card")
     return out.filter(F.col("title").isNotNull() & F.col("url").isNotNull()).select(
         key, "pos", "title", "url", F.lit(now).alias("published"), "category", "author_hint"
     )
