@@ -25,8 +25,9 @@ TOKEN = (
 _ATTR_VALUE = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']++)"""
 _ATTR = rf"[\s/]++[^\s=>/]++(?:\s*+=\s*+{_ATTR_VALUE})?+"
 
-TEXT, OPEN, CLOSE, VOID, DECL, RAW = range(6)
-KINDS = ("text", "open", "close", "void", "decl", "raw")
+# In an order that makes "opens an element" and "is a tag" ranges.
+TEXT, OPEN, VOID, CLOSE, DECL, RAW = range(6)
+KINDS = ("text", "open", "void", "close", "decl", "raw")
 
 # Elements without content, and elements that end an open paragraph.
 _VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
@@ -83,6 +84,11 @@ def attribute(tok: Column, name: str) -> Column:
     return F.when(F.lower(tok).contains(name), let(_attr_raw(tok, name), value))
 
 
+def has_value(tok: Column, name: str) -> Column:
+    """Whether a tag token has a non-empty attribute; cheaper than its value."""
+    return F.lower(tok).contains(name) & ~_attr_raw(tok, name).isin("", '""', "''")
+
+
 def _classes(tok: Column) -> Column:
     raw = _attr_raw(tok, "class")
     return F.when(
@@ -92,18 +98,20 @@ def _classes(tok: Column) -> Column:
 
 def items(html: Column) -> Items:
     """Tokens with text ``t``, tag name ``n``, kind ``k``, classes ``c`` and position ``i``."""
-    named = F.transform(
-        raw_tokens(html), lambda t: F.struct(t.alias("t"), token_name(t).alias("n"))
-    )
-    kinds = F.transform(
-        named, lambda x: F.struct(x["t"], x["n"], token_kind(x["t"], x["n"]).alias("k"))
-    )
 
-    def whole(x: Column, i: Column) -> Column:
-        classes = F.when(x["k"].isin(OPEN, VOID), _classes(x["t"])).otherwise(F.lit(""))
-        return F.struct(x["t"], x["n"], x["k"], classes.alias("c"), i.alias("i"))
+    def whole(t: Column, i: Column) -> Column:
+        def with_name(n: Column) -> Column:
+            return let(token_kind(t, n), lambda k: with_kind(n, k))
+
+        def with_kind(n: Column, k: Column) -> Column:
+            classes = F.when(k.between(OPEN, VOID), _classes(t)).otherwise(F.lit(""))
+            return F.struct(
+                t.alias("t"), n.alias("n"), k.alias("k"), classes.alias("c"), i.alias("i")
+            )
+
+        return let(token_name(t), with_name)
 
-    return F.transform(kinds, whole)
+    return F.transform(raw_tokens(html), whole)
 
 
 def _item(tok: Column, name: str, kind: int) -> Column:
@@ -131,7 +139,7 @@ def matches(sel: Selector) -> Predicate:
     """Predicate on an opening (or empty) tag."""
 
     def test(x: Column) -> Column:
-        cond = x["k"].isin(OPEN, VOID)
+        cond = x["k"].between(OPEN, VOID)
         if sel.name:
             cond = cond & (x["n"] == sel.name)
         if sel.cls:
@@ -154,7 +162,7 @@ def any_of(selectors: Sequence[Selector]) -> Predicate:
 
 
 def _is_block(x: Column) -> Column:
-    return x["k"].isin(OPEN, CLOSE, VOID) & one_of(x["n"], _BLOCK_TAGS)
+    return x["k"].between(OPEN, CLOSE) & one_of(x["n"], _BLOCK_TAGS)
 
 
 def subtrees(tokens: Items, *roots: Predicate) -> Column:
@@ -170,7 +178,7 @@ def subtrees(tokens: Items, *roots: Predicate) -> Column:
         has_p = F.array_contains(names, "p")
         walked = F.filter(
             tokens,
-            lambda x: x["k"].isin(OPEN, CLOSE, VOID)
+            lambda x: x["k"].between(OPEN, CLOSE)
             & (F.array_contains(names, x["n"]) | (has_p & _is_block(x))),
         )
         return _walk(walked, F.element_at(tokens, 1)["i"], F.size(tokens) - 1, roots)

@@ -22,9 +22,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``.
 
     Catalyst may inline a projected column into a lambda, where it would run once per
-    element; a lambda variable cannot be inlined.
+    element; a lambda variable cannot be inlined. An aggregate over nothing hands its start
+    value to the final lambda without a copy.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    nothing = F.array().cast("array<int>")
+    return F.aggregate(nothing, value, lambda bound, _: bound, body)
 
 
 def strip(col: Column) -> Column:

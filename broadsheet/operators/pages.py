@@ -164,42 +164,58 @@ def best_image_source(src: Column, data_src: Column, srcset: Column, base: str)
     return normalize_url(let(plain, choose), base)
 
 
-def _clean_image(x: Column, p: CleanProfile, base: str) -> Column:
+def _edit_tag(x: Column, p: CleanProfile, base: str) -> Column:
+    """A tag without framework attributes and id; links and images get absolute addresses."""
     tok = x["t"]
-    drop = "|".join(
-        [p.strip_attrs, *(re.escape(attr) + r"(?=[\s=]|$)" for attr in p.image_strip_attrs)]
-    )
-    best = best_image_source(
-        H.attribute(tok, "src"), H.attribute(tok, "data-src"), H.attribute(tok, "srcset"), base
-    )
-    return H.edit_tag(tok, x["n"], x["k"], drop, ("src", best))
+    extra = rf"{p.strip_attrs}|id(?=[\s=]|$)"
+    image_extra = "|".join([extra, *(re.escape(a) + r"(?=[\s=]|$)" for a in p.image_strip_attrs)])
 
+    def edited(drop: str, put: tuple[str, Column] | None) -> Column:
+        return H.edit_tag(tok, x["n"], x["k"], drop, put)
 
-def _clean_link(x: Column, base: str) -> Column:
-    def absolute(href: Column) -> Column:
+    def link(href: Column) -> Column:
         whole = normalize_url(href, base)
-        return F.when(
-            F.coalesce(whole != href, F.lit(False)),
-            H.edit_tag(x["t"], x["n"], x["k"], None, ("href", whole)),
-        ).otherwise(x["t"])
+        is_new = F.coalesce(whole != href, F.lit(False))
+        return F.when(is_new | has_extra, edited(extra, ("href", F.when(is_new, whole)))).otherwise(
+            tok
+        )
 
-    return let(H.attribute(x["t"], "href"), absolute)
+    source = best_image_source(
+        H.attribute(tok, "src"), H.attribute(tok, "data-src"), H.attribute(tok, "srcset"), base
+    )
+    has_extra = tok.rlike(rf"(?is)[\s/](?:{p.strip_attrs}|id\s*=)")
+    return (
+        F.when(~x["k"].between(H.OPEN, H.VOID), tok)
+        .when(x["n"] == "img", edited(image_extra, ("src", source)))
+        .when(x["n"] == "a", let(H.attribute(tok, "href"), link))
+        .when(has_extra, edited(extra, None))
+        .otherwise(tok)
+    )
 
 
 def _unwrap_embed(tokens: Column) -> Column:
     """A block replaced by its first link, or by nothing."""
 
-    def with_link(link: Column) -> Column:
-        href = H.attribute(F.element_at(link, 1)["t"], "href")
-        text = F.coalesce(F.nullif(H.text_of(link), F.lit("")), href)
-        return F.when(link.isNull(), H.no_items()).otherwise(H.link_items(href, text))
-
     def is_link(x: Column) -> Column:
-        return (
-            (x["k"] == H.OPEN) & (x["n"] == "a") & H.attribute(x["t"], "href").isNotNull()
+        return (x["k"] == H.OPEN) & (x["n"] == "a") & H.has_value(x["t"], "href")
+
+    def linked(link: Column) -> Column:
+        after = F.filter(tokens, lambda x: x["i"] > link["i"])
+        end = F.array_min(
+            F.transform(
+                F.filter(after, lambda x: (x["k"] == H.CLOSE) & (x["n"] == "a")),
+                lambda x: x["i"],
+            )
         )
-
-    return let(H.first_subtree(tokens, is_link), with_link)
+        content = F.filter(after, lambda x: end.isNull() | (x["i"] < end))
+        href = H.attribute(link["t"], "href")
+        text = F.coalesce(F.nullif(H.text_of(content), F.lit("")), href)
+        return H.link_items(href, text)
+
+    return let(
+        F.try_element_at(F.filter(tokens, is_link), F.lit(1)),
+        lambda link: F.when(link.isNull(), H.no_items()).otherwise(linked(link)),
+    )
 
 
 def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
@@ -244,9 +260,8 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
     """The cleaning rules in order, each from tokens to tokens."""
 
     def is_embed(x: Column) -> Column:
-        tagged = F.coalesce(H.attribute(x["t"], p.embed_attr), F.lit("")) != ""
         classed = (x["c"] != "") & x["c"].rlike(p.embed_class)
-        return x["k"].isin(H.OPEN, H.VOID) & (classed | tagged)
+        return x["k"].between(H.OPEN, H.VOID) & (classed | H.has_value(x["t"], p.embed_attr))
 
     def is_content(x: Column) -> Column:
         return ((x["k"] == H.TEXT) & (strip(decode_entities(x["t"])) != "")) | (x["n"] == "img")
@@ -257,40 +272,19 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
 
         return H.splice(toks, H.subtrees(toks, H.any_of(p.ads), is_embed), new)
 
-    def edit(x: Column) -> Column:
-        tag = x["k"].isin(H.OPEN, H.VOID)
-        has_extra = x["t"].rlike(rf"(?is)[\s/]{p.strip_attrs}")
-        tok = (
-            F.when(tag & (x["n"] == "img"), _clean_image(x, p, base))
-            .when(tag & has_extra, H.edit_tag(x["t"], x["n"], x["k"], p.strip_attrs))
-            .otherwise(x["t"])
-        )
-        return H.with_token(x, tok)
-
-    def absolute(x: Column) -> Column:
-        link = (x["k"] == H.OPEN) & (x["n"] == "a")
-        return H.with_token(x, F.when(link, _clean_link(x, base)).otherwise(x["t"]))
-
-    def no_id(x: Column) -> Column:
-        has_id = x["k"].isin(H.OPEN, H.VOID) & x["t"].rlike(r"(?is)[\s/]id\s*=")
-        bare = H.edit_tag(x["t"], x["n"], x["k"], r"id(?=[\s=]|$)")
-        return H.with_token(x, F.when(has_id, bare).otherwise(x["t"]))
-
     def visible(toks: Column) -> Column:
-        return H.renumber(F.filter(H.inner(toks), lambda x: ~x["k"].isin(H.RAW, H.DECL)))
+        return H.renumber(F.filter(H.inner(toks), lambda x: x["k"] < H.DECL))
 
     return [
         visible,
         lambda toks: H.drop_subtrees(toks, H.any_of(p.drop)),
         ads_and_embeds,
-        lambda toks: F.transform(toks, edit),
-        lambda toks: F.transform(toks, absolute),
+        lambda toks: F.transform(toks, lambda x: H.with_token(x, _edit_tag(x, p, base))),
         lambda toks: H.splice(
             toks, H.empty_subtrees(toks, H.matches(p.empty_embed), is_content), None
         ),
         lambda toks: _drop_paragraphs(toks, p),
         _drop_stray_ends,
-        lambda toks: F.transform(toks, no_id),
     ]
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from broadsheet.functions import text as T, urls as U
 from broadsheet.operators import assets, feed, issue, links, pages as P, skew
 from broadsheet.registry import derived as D
-from broadsheet.session import checkpoint_dir, configure
+from broadsheet.session import checkpoint_dir, configure, materialize
 from broadsheet.site import EXCLUDED_CATEGORY_ID, NEWS_EXTRACT, WEB_CLEAN, WEB_EXTRACT, Site
 from broadsheet.sources import cache, feed as feed_source, listing
 from broadsheet.sources.pages import join_pages, read_pages
@@ -405,7 +405,8 @@ def asset_manifest(spark, sf_dir):
 
 def _image_articles(spark, sf_dir):
     cleaned = P.clean_pages(sql(spark, sf_dir, D.DIRTY_BODIES), site=SITE)
-    return cleaned.withColumn("slug", U.article_slug(F.col("url")))
+    # written once, several outputs start from it
+    return materialize(cleaned.withColumn("slug", U.article_slug(F.col("url"))))
 
 
 @query
