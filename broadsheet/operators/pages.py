@@ -219,7 +219,10 @@ def _unwrap_embed(tokens: Column) -> Column:
 
 
 def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
-    """Paragraphs without text, or with nothing but an advertising label."""
+    """Paragraphs without text, or with nothing but an advertising label.
+
+    An end tag that closes no paragraph counts as an empty one.
+    """
 
     def blank(span: Column) -> Column:
         def test(content: Column) -> Column:
@@ -231,29 +234,32 @@ def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
 
         return let(H.part(toks, span), test)
 
-    return H.splice(toks, F.filter(H.subtrees(toks, _PARAGRAPH), blank), None)
-
+    def is_end(x: Column) -> Column:
+        return (x["k"] == H.CLOSE) & (x["n"] == "p")
 
-def _drop_stray_ends(toks: Column) -> Column:
-    """Drop ``</p>`` tags that close no paragraph; a browser makes empty ones of them."""
-
-    def paragraph_tags(kind: int) -> Column:
-        return F.size(F.filter(toks, lambda x: (x["n"] == "p") & (x["k"] == kind)))
+    def position(x: Column) -> Column:
+        return x["i"] - F.element_at(toks, 1)["i"]
 
     def cut(spans: Column) -> Column:
-        ends = F.transform(spans, lambda s: s["e"])
-        return H.renumber(
-            F.filter(
-                toks,
-                lambda x: (x["k"] != H.CLOSE)
-                | (x["n"] != "p")
-                | F.array_contains(ends, x["i"] - F.element_at(toks, 1)["i"]),
-            )
+        closed = F.transform(
+            F.filter(spans, lambda s: is_end(F.element_at(toks, s["e"] + 1))), lambda s: s["e"]
         )
+        return let(closed, lambda ends: H.splice(toks, cuts(spans, ends), None))
+
+    def cuts(spans: Column, ends: Column) -> Column:
+        dropped = F.filter(spans, blank)
+        strays = F.transform(
+            F.filter(toks, lambda x: is_end(x) & ~F.array_contains(ends, position(x))), _one_token
+        )
+        return F.when(F.size(ends) == F.size(F.filter(toks, is_end)), dropped).otherwise(
+            F.array_sort(F.concat(dropped, strays))
+        )
+
+    def _one_token(x: Column) -> Column:
+        at = position(x)
+        return F.struct(at.alias("s"), at.alias("e"), F.lit(0).alias("r"))
 
-    return F.when(
-        paragraph_tags(H.CLOSE) > paragraph_tags(H.OPEN), let(H.subtrees(toks, _PARAGRAPH), cut)
-    ).otherwise(toks)
+    return let(H.subtrees(toks, _PARAGRAPH), cut)
 
 
 def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]:
@@ -284,7 +290,6 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
             toks, H.empty_subtrees(toks, H.matches(p.empty_embed), is_content), None
         ),
         lambda toks: _drop_paragraphs(toks, p),
-        _drop_stray_ends,
     ]
 
 
