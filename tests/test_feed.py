@@ -1,6 +1,5 @@
 from __future__ import annotations
 
-import json
 import random
 from datetime import datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
@@ -8,6 +7,8 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
+from tests_feed_pages import PAGES, write_pages
+
 from broadsheet.operators import feed
 from broadsheet.site import Site
 from broadsheet.sources import cache, feed as source, listing
@@ -35,53 +36,10 @@ def test_days_are_validated():
         feed.cutoff(datetime.now(UTC), 0)
 
 
-PAGES = [
-    {
-        "page": 1,
-        "totalItems": 60,
-        "member": [
-            {
-                "title": " Fresh ",
-                "link": "https://news.example/news/fresh",
-                "published": "2026-06-04T10:00:00+02:00",
-                "category": {"title": "Kraj"},
-                "author": {"firstname": "Ada", "lastname": " Byk "},
-            },
-            {"title": "No date", "link": "https://news.example/news/no-date"},
-            {"title": "", "path": "/news/no-title", "published": "2026-06-04T09:00:00Z"},
-            {"title": "No address", "published": "2026-06-04T09:00:00Z"},
-            {"title": "Bad date", "path": "/news/bad", "published": "yesterday"},
-        ],
-    },
-    {
-        "page": 2,
-        "totalItems": 60,
-        "member": [
-            {
-                "title": "Copy",
-                "link": "https://news.example/news/fresh",
-                "published": "2026-06-03T12:00:00+02:00",
-            },
-            {
-                "title": "By path",
-                "path": "/news/by-path",
-                "published": "2026-06-03T12:00:00",
-                "category": {"title": " "},
-                "author": {"firstname": None, "lastname": "Cis"},
-            },
-            {"title": "Old", "path": "/news/old", "published": "2026-05-01T12:00:00Z"},
-            {"title": "After old", "path": "/news/after", "published": "2026-06-02T12:00:00Z"},
-        ],
-    },
-    {"page": 3, "totalItems": 60, "member": None},
-    {"page": 4, "totalItems": 60, "member": [{"title": "Unseen", "path": "/news/u", "published": "2026-06-02T12:00:00Z"}]},
-]
-
-
 @pytest.fixture(scope="module")
 def landed(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("feed")
-    (folder / "a.json").write_text("\n".join(json.dumps(p) for p in PAGES))
+    write_pages(str(folder), "a", PAGES)
     return source.read_feed(spark, str(folder))
 
 
