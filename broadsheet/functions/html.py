@@ -38,7 +38,7 @@ _BLOCK_TAGS = (
     "table tbody td tfoot th thead tr ul body html"
 ).split()
 
-_ITEM = "struct<t:string,n:string,k:int,c:string,i:int>"
+_ITEM = "struct<t:string,n:string,k:int,c:string>"
 _SPANS = "array<struct<s:int,e:int,r:int>>"
 Items = Column
 Predicate = Callable[[Column], Column]
@@ -97,17 +97,15 @@ def _classes(tok: Column) -> Column:
 
 
 def items(html: Column) -> Items:
-    """Tokens with text ``t``, tag name ``n``, kind ``k``, classes ``c`` and position ``i``."""
+    """Tokens with text ``t``, tag name ``n``, kind ``k`` and classes ``c``."""
 
-    def whole(t: Column, i: Column) -> Column:
+    def whole(t: Column) -> Column:
         def with_name(n: Column) -> Column:
             return let(token_kind(t, n), lambda k: with_kind(n, k))
 
         def with_kind(n: Column, k: Column) -> Column:
             classes = F.when(k.between(OPEN, VOID), _classes(t)).otherwise(F.lit(""))
-            return F.struct(
-                t.alias("t"), n.alias("n"), k.alias("k"), classes.alias("c"), i.alias("i")
-            )
+            return F.struct(t.alias("t"), n.alias("n"), k.alias("k"), classes.alias("c"))
 
         return let(token_name(t), with_name)
 
@@ -120,19 +118,17 @@ def _item(tok: Column, name: str, kind: int) -> Column:
         F.lit(name).alias("n"),
         F.lit(kind).alias("k"),
         F.lit("").alias("c"),
-        F.lit(0).alias("i"),
     )
 
 
 def with_token(x: Column, tok: Column) -> Column:
-    return F.struct(tok.alias("t"), x["n"], x["k"], x["c"], x["i"])
+    return F.struct(tok.alias("t"), x["n"], x["k"], x["c"])
 
 
-def renumber(tokens: Items) -> Items:
-    """Positions from 0 again, after tokens have been removed or added."""
-    return F.transform(
-        tokens, lambda x, i: F.struct(x["t"], x["n"], x["k"], x["c"], i.alias("i"))
-    )
+def positions(tokens: Items, test: Predicate) -> Column:
+    """Positions from 0 of the tokens that pass; tokens themselves are not copied."""
+    every = F.sequence(F.lit(0), F.size(tokens) - 1)
+    return F.filter(every, lambda i: test(F.get(tokens, i)))
 
 
 def matches(sel: Selector) -> Predicate:
@@ -168,20 +164,20 @@ def _is_block(x: Column) -> Column:
 def subtrees(tokens: Items, *roots: Predicate) -> Column:
     """Outermost subtrees whose root matches; ``r`` is the number of the predicate (from 1).
 
-    ``tokens`` has to be a lambda variable with contiguous positions. Only tags named
-    like some root are walked, so unclosed tags inside do no harm and a page without a
-    root costs one filter. A paragraph also ends before the next block tag, and a root
-    that is never closed reaches to the end of the tokens.
+    ``tokens`` has to be a lambda variable. Only tags named like some root are walked, so
+    unclosed tags inside do no harm and a page without a root costs one filter. A paragraph
+    also ends before the next block tag, and a root that is never closed reaches to the end
+    of the tokens.
     """
 
     def walk(names: Column) -> Column:
         has_p = F.array_contains(names, "p")
-        walked = F.filter(
+        walked = positions(
             tokens,
             lambda x: x["k"].between(OPEN, CLOSE)
             & (F.array_contains(names, x["n"]) | (has_p & _is_block(x))),
         )
-        return _walk(walked, F.element_at(tokens, 1)["i"], F.size(tokens) - 1, roots)
+        return _walk(tokens, walked, roots)
 
     found = F.filter(tokens, lambda x: _number(x, roots) > 0)
     names = F.array_distinct(F.transform(found, lambda x: x["n"]))
@@ -198,8 +194,8 @@ def _number(x: Column, roots: Sequence[Predicate]) -> Column:
     return number
 
 
-def _walk(tags: Items, base: Column, last: Column, roots: Sequence[Predicate]) -> Column:
-    """State machine over tags: name, depth, start and number of the open root."""
+def _walk(tokens: Items, walked: Column, roots: Sequence[Predicate]) -> Column:
+    """State machine over the walked tags: name, depth, start and number of the open root."""
 
     def state(n, d, s, r, out):
         return F.struct(n.alias("n"), d.alias("d"), s.alias("s"), r.alias("r"), out.alias("out"))
@@ -222,8 +218,8 @@ def _walk(tags: Items, base: Column, last: Column, roots: Sequence[Predicate]) -
 
         return let(_number(x, roots), rooted)
 
-    def step(st, x):
-        i, out = x["i"] - base, st["out"]
+    def step(st, i):
+        x, out = F.get(tokens, i), st["out"]
 
         def ended(e):
             return F.array_append(out, span(st["s"], e, st["r"]))
@@ -242,11 +238,12 @@ def _walk(tags: Items, base: Column, last: Column, roots: Sequence[Predicate]) -
         )
 
     def finish(st):
+        last = F.size(tokens) - 1
         unclosed = F.array_append(st["out"], span(st["s"], last, st["r"]))
         return F.when(st["d"] > 0, unclosed).otherwise(st["out"])
 
     start = state(none, zero, zero, zero, F.array().cast(_SPANS))
-    return F.aggregate(tags, start, step, finish)
+    return F.aggregate(walked, start, step, finish)
 
 
 def part(tokens: Items, span: Column) -> Items:
@@ -274,7 +271,7 @@ def splice(tokens: Items, spans: Column, new: Callable[[Column, Items], Items] |
         after = F.element_at(cuts, -1)["e"] + 1
         rest = F.slice(tokens, after + 1, F.size(tokens) - after)
         return F.when(F.size(cuts) == 0, tokens).otherwise(
-            renumber(F.concat(F.flatten(F.transform(cuts, piece)), rest))
+            F.concat(F.flatten(F.transform(cuts, piece)), rest)
         )
 
     return let(spans, build)
@@ -373,10 +370,8 @@ def empty_subtrees(tokens: Items, root: Predicate, content: Predicate) -> Column
     def entry(n, d, s):
         return F.struct(n.alias("n"), d.alias("d"), s.alias("s"))
 
-    base = F.element_at(tokens, 1)["i"]
-
-    def step(st, x):
-        stack, full, out, i = st["stack"], st["full"], st["out"], x["i"] - base
+    def step(st, i):
+        x, stack, full, out = F.get(tokens, i), st["stack"], st["full"], st["out"]
         below = F.slice(stack, 1, F.size(stack) - 1)
 
         def at_top(top):
@@ -403,6 +398,7 @@ def empty_subtrees(tokens: Items, root: Predicate, content: Predicate) -> Column
     start = state(
         F.array().cast("array<struct<n:string,d:int,s:int>>"), F.lit(-1), F.array().cast(_SPANS)
     )
+    every = F.sequence(F.lit(0), F.size(tokens) - 1)
     return F.when(
-        F.exists(tokens, root), F.aggregate(tokens, start, step, lambda st: st["out"])
+        F.exists(tokens, root), F.aggregate(every, start, step, lambda st: st["out"])
     ).otherwise(F.array().cast(_SPANS))

@@ -199,23 +199,20 @@ def _unwrap_embed(tokens: Column) -> Column:
     def is_link(x: Column) -> Column:
         return (x["k"] == H.OPEN) & (x["n"] == "a") & H.has_value(x["t"], "href")
 
-    def linked(link: Column) -> Column:
-        after = F.filter(tokens, lambda x: x["i"] > link["i"])
-        end = F.array_min(
-            F.transform(
-                F.filter(after, lambda x: (x["k"] == H.CLOSE) & (x["n"] == "a")),
-                lambda x: x["i"],
-            )
-        )
-        content = F.filter(after, lambda x: end.isNull() | (x["i"] < end))
-        href = H.attribute(link["t"], "href")
-        text = F.coalesce(F.nullif(H.text_of(content), F.lit("")), href)
-        return H.link_items(href, text)
-
-    return let(
-        F.try_element_at(F.filter(tokens, is_link), F.lit(1)),
-        lambda link: F.when(link.isNull(), H.no_items()).otherwise(linked(link)),
-    )
+    def is_end(x: Column) -> Column:
+        return (x["k"] == H.CLOSE) & (x["n"] == "a")
+
+    def linked(after: Column) -> Column:
+        end = F.get(H.positions(after, is_end), F.lit(0))
+        href = H.attribute(F.get(after, F.lit(0))["t"], "href")
+        content = F.slice(after, 1, F.coalesce(end, F.size(after)))
+        return H.link_items(href, F.coalesce(F.nullif(H.text_of(content), F.lit("")), href))
+
+    def from_link(at: Column) -> Column:
+        rest = F.slice(tokens, at + 1, F.size(tokens))
+        return F.when(at.isNull(), H.no_items()).otherwise(let(rest, linked))
+
+    return let(F.get(H.positions(tokens, is_link), F.lit(0)), from_link)
 
 
 def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
@@ -237,9 +234,6 @@ def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
     def is_end(x: Column) -> Column:
         return (x["k"] == H.CLOSE) & (x["n"] == "p")
 
-    def position(x: Column) -> Column:
-        return x["i"] - F.element_at(toks, 1)["i"]
-
     def cut(spans: Column) -> Column:
         closed = F.transform(
             F.filter(spans, lambda s: is_end(F.element_at(toks, s["e"] + 1))), lambda s: s["e"]
@@ -248,17 +242,14 @@ def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
 
     def cuts(spans: Column, ends: Column) -> Column:
         dropped = F.filter(spans, blank)
-        strays = F.transform(
-            F.filter(toks, lambda x: is_end(x) & ~F.array_contains(ends, position(x))), _one_token
+        strays = F.filter(H.positions(toks, is_end), lambda i: ~F.array_contains(ends, i))
+        spans = F.transform(
+            strays, lambda i: F.struct(i.alias("s"), i.alias("e"), F.lit(0).alias("r"))
         )
         return F.when(F.size(ends) == F.size(F.filter(toks, is_end)), dropped).otherwise(
-            F.array_sort(F.concat(dropped, strays))
+            F.array_sort(F.concat(dropped, spans))
         )
 
-    def _one_token(x: Column) -> Column:
-        at = position(x)
-        return F.struct(at.alias("s"), at.alias("e"), F.lit(0).alias("r"))
-
     return let(H.subtrees(toks, _PARAGRAPH), cut)
 
 
@@ -272,19 +263,20 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
     def is_content(x: Column) -> Column:
         return ((x["k"] == H.TEXT) & (strip(decode_entities(x["t"])) != "")) | (x["n"] == "img")
 
-    def ads_and_embeds(toks: Column) -> Column:
+    def drops_and_embeds(toks: Column) -> Column:
         def new(span: Column, embed: Column) -> Column:
-            return F.when(span["r"] == 1, H.no_items()).otherwise(let(embed, _unwrap_embed))
+            shown = H.drop_subtrees(embed, H.any_of(p.drop))
+            return F.when(span["r"] == 1, H.no_items()).otherwise(let(shown, _unwrap_embed))
 
-        return H.splice(toks, H.subtrees(toks, H.any_of(p.ads), is_embed), new)
+        dropped = H.any_of((*p.drop, *p.ads))
+        return H.splice(toks, H.subtrees(toks, dropped, is_embed), new)
 
     def visible(toks: Column) -> Column:
-        return H.renumber(F.filter(H.inner(toks), lambda x: x["k"] < H.DECL))
+        return F.filter(H.inner(toks), lambda x: x["k"] < H.DECL)
 
     return [
         visible,
-        lambda toks: H.drop_subtrees(toks, H.any_of(p.drop)),
-        ads_and_embeds,
+        drops_and_embeds,
         lambda toks: F.transform(toks, lambda x: H.with_token(x, _edit_tag(x, p, base))),
         lambda toks: H.splice(
             toks, H.empty_subtrees(toks, H.matches(p.empty_embed), is_content), None
