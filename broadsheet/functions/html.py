@@ -252,7 +252,7 @@ def part(tokens: Items, span: Column) -> Items:
 
 def inner(tokens: Items) -> Items:
     """Content of a subtree, without its own tags."""
-    first, last = F.element_at(tokens, 1), F.element_at(tokens, -1)
+    first, last = F.try_element_at(tokens, F.lit(1)), F.try_element_at(tokens, F.lit(-1))
     own_end = (last["k"] == CLOSE) & (last["n"] == first["n"])
     return F.slice(
         tokens, 2, F.greatest(F.size(tokens) - F.when(own_end, 2).otherwise(1), F.lit(0))

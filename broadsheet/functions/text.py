@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
@@ -107,11 +108,17 @@ def _replace_chars(col: Column, table: Mapping[str, str]) -> Column:
     if not long:
         return out
 
+    chars = "[" + "".join(re.escape(c) for c in long) + "]"
+
     def spelled_out(text: Column) -> Column:
-        chars = F.transform(
-            F.split(text, ""), lambda c: F.coalesce(F.try_element_at(_literal_map(long), c), c)
+        pieces = F.regexp_extract_all(text, F.lit(f"{chars}|[^{chars[1:]}++"), F.lit(0))
+        parts = F.transform(
+            pieces,
+            lambda c: F.when(
+                c.rlike(f"^{chars}"), F.try_element_at(_literal_map(long), c)
+            ).otherwise(c),
         )
-        return F.when(text.rlike("[^\\x00-\\x7F]"), F.array_join(chars, "")).otherwise(text)
+        return F.when(text.rlike(chars), F.array_join(parts, "")).otherwise(text)
 
     return let(out, spelled_out)
 

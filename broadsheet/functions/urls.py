@@ -9,6 +9,7 @@ from pyspark.sql import Column, functions as F
 from broadsheet.functions.text import let
 from broadsheet.site import DEFAULT_SLUG, Site
 
+CHAPTER_FOLDER = "chapters"
 _SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.\-]*:"
 _AUTHORITY = rf"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)"
 _PATH = rf"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?(?://[^/?#]*)?([^?#]*)"
@@ -109,7 +110,7 @@ def safe_slug(slug: Column) -> Column:
 
 
 def chapter_file(slug: Column) -> Column:
-    return F.concat(F.lit("chapters/"), safe_slug(slug), F.lit(".xhtml"))
+    return F.concat(F.lit(f"{CHAPTER_FOLDER}/"), safe_slug(slug), F.lit(".xhtml"))
 
 
 def _path_keys(path: Column, site: Site) -> list[Column]:
@@ -182,6 +183,3 @@ def relative_path(target: Column, folder: Column) -> Column:
     path = let(F.struct(parts(folder).alias("here"), parts(target).alias("there")), tail)
     return F.coalesce(F.nullif(path, F.lit("")), F.lit("."))
 
-
-def parent_folder(path: Column) -> Column:
-    return F.regexp_replace(F.regexp_extract(path, "(?s)^(.*)/", 1), "/+$", "")

@@ -12,6 +12,9 @@ from pyspark.sql.types import TimestampNTZType
 from broadsheet.site import ITEMS_PER_PAGE, TIME_ZONE
 
 
+_LARGEST = {"integer": 2**31 - 1, "long": 2**63 - 1}
+
+
 class EmptyWindow(ValueError):
     """No reference lies in the window."""
 
@@ -53,18 +56,18 @@ def take_while_recent(
 ) -> DataFrame:
     """Rows before the first one, in ``order``, that is older than ``since``.
 
-    The first old row is one minimum per task; it comes back as a scalar. Its leading
-    part bounds the scan, the whole of it decides.
+    The first old row is one minimum per task and comes back as a scalar. Its leading part
+    is compared on its own where it is a whole number, so that the scan can skip files and
+    row groups behind it.
     """
     old = df.filter(F.col(published) < instant(df, published, since))
-    stop = old.agg(F.min(F.struct(*order)).alias("stop"))
-    lead = old.agg(F.min(order[0]).alias("lead"))
-    none_left = stop.scalar().isNull()
-    if len(order) == 1:
-        return df.filter(none_left | (F.col(order[0]) < lead.scalar()))
-    return df.filter(none_left | (F.struct(*order) < stop.scalar())).filter(
-        lead.scalar().isNull() | (F.col(order[0]) <= lead.scalar())
-    )
+    stop = old.agg(F.min(F.struct(*order)).alias("stop")).scalar()
+    kept = df.filter(F.coalesce(F.struct(*order) < stop, F.lit(True)))
+    largest = _LARGEST.get(df.schema[order[0]].dataType.typeName())
+    if largest is None:
+        return kept
+    lead = old.agg(F.coalesce(F.min(order[0]), F.lit(largest)).alias("lead")).scalar()
+    return kept.filter(F.col(order[0]) <= lead)
 
 
 def page_horizon(
@@ -86,7 +89,8 @@ def first_wins(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """First row per key in ``order``; copies of a key are reduced before the shuffle."""
     rest = [c for c in df.columns if c != key]
     kept = F.min_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(key).agg(kept).select(*[F.col(f"_row.{c}").alias(c) if c != key else c for c in df.columns])
+    fields = [F.col(f"_row.{c}").alias(c) if c != key else F.col(c) for c in df.columns]
+    return df.groupBy(key).agg(kept).select(*fields)
 
 
 def require_rows(df: DataFrame, message: str) -> DataFrame:

@@ -211,5 +211,6 @@ def chapter_documents(bodies: DataFrame, groups: DataFrame | None = None) -> Dat
         anchors = groups.select(F.col("author").alias("_author"), "anchor")
         name = author_or_default(F.col("author"))
         bodies = bodies.join(anchors, name == F.col("_author"), "left").drop("_author")
-    content = chapter_content(*[F.col(c) for c in ("title", "author", "anchor", "excerpt", "body_html")])
+    parts = ("title", "author", "anchor", "excerpt", "body_html")
+    content = chapter_content(*[F.col(c) for c in parts])
     return bodies.select(F.col("chapter_file").alias("path"), "category", content.alias("content"))

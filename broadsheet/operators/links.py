@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from broadsheet.functions import html as H
 from broadsheet.functions.text import let
 from broadsheet.functions.urls import (
+    CHAPTER_FOLDER,
     article_path,
     fragment,
     link_target,
-    parent_folder,
     relative_path,
     rstrip_slash,
 )
@@ -79,30 +79,33 @@ def _lookups(site: Site) -> Column:
 
 
 def article_links(bodies: DataFrame, site: Site = Site()) -> DataFrame:
-    """Lookup keys ``(url, chapter_file, href, key_pos, key)`` of the distinct links of each body."""
+    """Lookup keys ``(url, href, key_pos, key)`` of the distinct links of each body."""
     return (
-        bodies.select("url", "chapter_file", F.explode(_hrefs()).alias("href"))
-        .select("url", "chapter_file", "href", F.posexplode(_lookups(site)))
+        bodies.select("url", F.explode(_hrefs()).alias("href"))
+        .select("url", "href", F.posexplode(_lookups(site)))
         .withColumnsRenamed({"pos": "key_pos", "col": "key"})
     )
 
 
-def resolve_links(links: DataFrame, index: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
-    """``(url, new)``: per body the map from link to relative chapter path.
+def resolve_links(
+    links: DataFrame,
+    index: DataFrame,
+    heavy: DataFrame | None = None,
+    folder: str = CHAPTER_FOLDER,
+) -> DataFrame:
+    """``(url, new)``: per body the map from link to chapter path as seen from ``folder``.
 
     A chapter many pages link to is a hot key of the join; ``heavy`` keys are salted.
     The group of one body is bounded by the body it came from.
     """
-    targets = index.withColumnRenamed("chapter_file", "target")
-    hits = salted_join(links, targets, "key", heavy)
-    folder = parent_folder(F.col("chapter_file"))
+    hits = salted_join(links, index, "key", heavy)
     anchor = fragment(F.col("href"))
     hits = hits.select(
         "url",
         "href",
         "key_pos",
         F.concat(
-            relative_path(F.col("target"), folder),
+            relative_path(F.col("chapter_file"), F.lit(folder)),
             F.when(anchor != "", F.concat(F.lit("#"), anchor)).otherwise(F.lit("")),
         ).alias("path"),
     )
@@ -143,9 +146,10 @@ def rewrite_links(
     index: DataFrame,
     site: Site = Site(),
     heavy: DataFrame | None = None,
+    folder: str = CHAPTER_FOLDER,
 ) -> DataFrame:
-    """Bodies whose links to indexed articles are relative chapter paths."""
-    resolved = resolve_links(article_links(cleaned, site), index, heavy)
+    """Bodies whose links to indexed articles are chapter paths as seen from ``folder``."""
+    resolved = resolve_links(article_links(cleaned, site), index, heavy, folder)
     joined = cleaned.join(resolved, "url", "left")
     body = replace_attribute("body_html", "a", "href", "new")
     return joined.withColumn("body_html", body).drop("new")

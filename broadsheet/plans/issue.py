@@ -29,20 +29,20 @@ from broadsheet.sources.pages import join_pages
 HEAVY_SAMPLE = 0.01
 
 
-def collect_articles(
-    refs: DataFrame,
-    pages: DataFrame,
-    now: datetime,
-    days: int,
-    extract: ExtractProfile = NEWS_EXTRACT,
-    order: tuple[str, ...] = FEED_ORDER,
-) -> tuple[DataFrame, DataFrame]:
-    """References of the window, first one per address, and their extracted pages."""
-    window = first_wins(last_n_days(refs, days, now), "url", order)
-    renamed = window.withColumnRenamed("title", "feed_title")
-    hint = "author_hint" if "author_hint" in refs.columns else None
-    extracted = extract_pages(join_pages(renamed, pages), extract, hint=hint)
-    return window, extracted
+def issue_window(
+    refs: DataFrame, now: datetime, days: int, order: tuple[str, ...] = FEED_ORDER
+) -> DataFrame:
+    """References of the last ``days``, the first one per address."""
+    return first_wins(last_n_days(refs, days, now), "url", order)
+
+
+def extract_window(
+    window: DataFrame, pages: DataFrame, extract: ExtractProfile = NEWS_EXTRACT
+) -> DataFrame:
+    """Extracted pages of the window with date, category and order of their reference."""
+    hint = "author_hint" if "author_hint" in window.columns else None
+    joined = join_pages(window.withColumnRenamed("title", "feed_title"), pages)
+    return extract_pages(joined, extract, hint=hint)
 
 
 def build_issue(
@@ -59,31 +59,33 @@ def build_issue(
 ) -> dict[str, DataFrame]:
     """Tables of an issue by name.
 
-    Cleaned articles are written once to the checkpoint folder, since contents, links,
-    images and documents all start from them.
+    References and cleaned pages are written once to the checkpoint folder, since all
+    tables start from them. Names, order, links and images are worked out on narrow rows;
+    body texts move once, to meet them by address.
     """
-    window, extracted = collect_articles(refs, pages, now, days, extract, order)
-    extracted = materialize(extracted)
-    articles, rejects = split_rejects(extracted, strict)
-    cleaned = materialize(assign_chapter_files(clean_pages(articles, clean, site), order))
-
-    narrow = cleaned.select(
-        "url", "slug", "title", "author", "category", "published", "chapter_file", *order
-    )
-    chapters = group_by_category(narrow, order)
+    window = materialize(issue_window(refs, now, days, order))
+    extracted = extract_window(window, pages, extract)
+    cleaned, rejects = split_rejects(materialize(clean_pages(extracted, clean, site)), strict)
+
+    narrow = cleaned.select("url", "slug", "title", "author", "category", "published", *order)
+    chapters = group_by_category(assign_chapter_files(narrow, order), order)
     groups = author_groups(chapters)
 
-    probe = article_links(cleaned.sample(HEAVY_SAMPLE, seed=1), site)
+    sample = cleaned.sample(HEAVY_SAMPLE, seed=1)
+    probe = article_links(sample, site)
     index = link_index(chapters, ["chapter_no"], site)
     bodies = rewrite_links(cleaned, index, site, heavy_keys(probe, "key"))
     manifest = asset_manifest(cleaned)
     if assets is not None:
-        manifest = judge_assets(manifest, assets)
+        heavy = heavy_keys(asset_manifest(sample), "asset_key")
+        manifest = judge_assets(manifest, assets, heavy=heavy)
         bodies = asset_rewrite(bodies, manifest)
     return {
         "toc": issue_toc(chapters),
         "author_index": author_index(chapters, groups),
-        "documents": chapter_documents(bodies, groups),
+        "documents": chapter_documents(
+            bodies.join(chapters.select("url", "chapter_file"), "url"), groups
+        ),
         "summary": issue_summary(window, cleaned, now, site),
         "assets": manifest,
         "rejects": rejects,

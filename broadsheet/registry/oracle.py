@@ -272,3 +272,5 @@ FROM events WHERE event_type <> 'error' AND event_id % 20 < 15""",
     "ingest_stream": f"""SELECT DISTINCT concat('https://news.example/news/',
   event_id % (SELECT count(*) FROM pages)) AS url FROM events WHERE ts >= {CUTOFF}""",
 }
+# A whole run has the same contents.
+ORACLE["issue_run"] = ORACLE["issue_toc"]

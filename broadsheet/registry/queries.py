@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.functions import text as T, urls as U
 from broadsheet.operators import assets, feed, issue, links, pages as P, skew
+from broadsheet.plans.issue import build_issue
 from broadsheet.registry import derived as D
 from broadsheet.session import checkpoint_dir, configure, materialize
 from broadsheet.site import EXCLUDED_CATEGORY_ID, NEWS_EXTRACT, WEB_CLEAN, WEB_EXTRACT, Site
@@ -94,6 +95,17 @@ def issue_toc(spark, sf_dir):
     return issue.issue_toc(web_chapters(spark, sf_dir))
 
 
+@query
+def issue_run(spark, sf_dir):
+    """The contents of a whole run, with links and documents planned on the side."""
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    refs = feed_refs(spark, sf_dir)
+    now = now_of(spark, sf_dir)
+    return build_issue(
+        refs, pages, now, DAYS, site=SITE, extract=WEB_EXTRACT, clean=WEB_CLEAN, order=ORDER
+    )["toc"]
+
+
 @query
 def feed_valid_refs(spark, sf_dir):
     refs, rejects = feed_source.valid_refs(_members(spark, sf_dir), SITE, ("event_id",))
@@ -439,8 +451,11 @@ def issue_summary(spark, sf_dir):
 @query
 def chapter_documents(spark, sf_dir):
     articles = web_articles(spark, sf_dir, ("title", "author", "excerpt", "prose_html"))
-    cleaned = P.clean_pages(issue.assign_chapter_files(articles, ORDER), WEB_CLEAN, SITE)
-    named = cleaned.withColumn("author", F.col("author_hint")).withColumn(
+    # two outputs start from the articles: narrow rows for the names, texts for the documents
+    cleaned = materialize(P.clean_pages(articles, WEB_CLEAN, SITE))
+    names = issue.assign_chapter_files(cleaned.select("url", "slug", *ORDER), ORDER)
+    named = cleaned.join(names.select("url", "chapter_file"), "url")
+    named = named.withColumn("author", F.col("author_hint")).withColumn(
         "excerpt", F.when(F.col("category") == "Kraj", F.concat(F.lit('"'), "slug", F.lit('"')))
     )
     return issue.chapter_documents(named)

@@ -15,9 +15,9 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 def join_pages(refs: DataFrame, pages: DataFrame, version: str = "page_id") -> DataFrame:
     """References with the page of their address; the lowest ``version`` of a page counts.
 
-    The version is picked on narrow columns. Page texts are then joined on address and
-    version together, so copies of one address spread over tasks and only one is kept.
+    The version is picked on narrow columns, combined before the shuffle. Page texts are
+    then joined on address and version together, so copies of one address spread over tasks
+    and only one is kept.
     """
-    wanted = pages.join(refs.select("url").distinct(), "url", "left_semi")
-    chosen = wanted.groupBy("url").agg(F.min(version).alias(version))
+    chosen = pages.groupBy("url").agg(F.min(version).alias(version))
     return refs.join(chosen, "url").join(pages, ["url", version])

@@ -204,6 +204,14 @@ def test_cleaning_rules(spark):
     assert {k: b for k, (b, _) in zip(CLEANING, got)} == {k: v[1] for k, v in CLEANING.items()}
 
 
+def test_cleaning_nothing(spark):
+    df = pages(spark, "", '<div class="prose"></div>', "x").withColumn(
+        "html", F.when(F.col("html") != "x", F.col("html"))
+    )
+    rows = P.clean_pages(df, prose="html").orderBy("page_id").collect()
+    assert [(r["body_html"], r["image_urls"]) for r in rows] == [("", []), ("", []), (None, None)]
+
+
 def test_cleaning_flags(spark):
     keep = replace(NEWS_CLEAN, keep_image_paragraphs=True)
     image = '<p><img src="https://c.example/1"/></p>'
