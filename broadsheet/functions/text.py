@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Mapping, Sequence
 from functools import lru_cache
@@ -108,17 +107,16 @@ def _replace_chars(col: Column, table: Mapping[str, str]) -> Column:
     if not long:
         return out
 
-    chars = "[" + "".join(re.escape(c) for c in long) + "]"
-
     def spelled_out(text: Column) -> Column:
-        pieces = F.regexp_extract_all(text, F.lit(f"{chars}|[^{chars[1:]}++"), F.lit(0))
+        # a plain range test finds the few characters worth a look-up
+        pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x7F]|[\x00-\x7F]++"), F.lit(0))
         parts = F.transform(
             pieces,
             lambda c: F.when(
-                c.rlike(f"^{chars}"), F.try_element_at(_literal_map(long), c)
+                c > "\x7f", F.coalesce(F.try_element_at(_literal_map(long), c), c)
             ).otherwise(c),
         )
-        return F.when(text.rlike(chars), F.array_join(parts, "")).otherwise(text)
+        return F.when(text.rlike(r"[^\x00-\x7F]"), F.array_join(parts, "")).otherwise(text)
 
     return let(out, spelled_out)
 
