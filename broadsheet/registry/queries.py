@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from datetime import datetime, timezone
 from functools import wraps
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -142,13 +142,8 @@ def feed_read_json(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder."""
-    base = checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    if "://" not in base:
-        return tempfile.mkdtemp(prefix="run-", dir=base)
-    return f"{base}/run-{spark.sparkContext.applicationId}-{id(object())}"
+    """A new folder name below the checkpoint folder; Spark creates it where it writes."""
+    return f"{checkpoint_dir(spark)}/run-{uuid4()}"
 
 
 @query
@@ -382,7 +377,7 @@ def link_index(spark, sf_dir):
 
 @query
 def link_rewrite(spark, sf_dir):
-    bodies = _linked_bodies(spark, sf_dir)
+    bodies = materialize(_linked_bodies(spark, sf_dir))
     # pages under http are not in the issue, links to them stay
     known = table(spark, sf_dir, "pages").filter(F.col("url").startswith("https:"))
     articles = bodies.join(known.select("page_id"), "page_id", "left_semi")
