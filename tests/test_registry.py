@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 
 import __spark_entry__ as entry_module
+from broadsheet.registry.queries import QUERIES
 
 duckdb = pytest.importorskip("duckdb")
 SF_DIR = Path("/root/testdata/sf0.001")
@@ -26,7 +27,7 @@ def by_name(columns, rows):
     return sorted(tuple(repr(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, oracle, name):
     df = entry_module.queries()[name](spark, str(SF_DIR))
     want = oracle.sql(entry_module.oracle_sql()[name])
