@@ -9,12 +9,15 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from pathlib import Path
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from broadsheet.session import checkpoint_dir
+
 #: Text handled at a time; bounds the arrays a task holds, a longer text goes alone.
 BLOCK_BYTES = 2_000_000
 
@@ -53,3 +56,13 @@ def importable(spark: SparkSession) -> SparkSession:
     if root not in paths:
         known["PYTHONPATH"] = os.pathsep.join(p for p in (root, *paths) if p)
     return spark
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` written once as Parquet in the shared checkpoint folder and read back.
+
+    Cuts the lineage, survives lost executors, and later steps read the columns they need.
+    """
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

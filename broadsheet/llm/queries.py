@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bpe, decontaminate, quality, secrets, sharding
+from broadsheet.llm import bpe, decontaminate, near, quality, secrets, sharding
 from broadsheet.llm.batches import importable
 from broadsheet.session import configure
 
@@ -45,6 +45,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op5_secret_scan"] = secrets.SQL
 
 
+@query
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_groups(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
