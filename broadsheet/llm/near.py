@@ -339,3 +339,14 @@ def near_groups(
         F.when(F.col("n_shingles") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+
+
+def keep_first(documents: DataFrame) -> DataFrame:
+    """One document of each group, the one with the least id; columns stay as they are.
+
+    Rows repeated under the kept id become one; rows without an id or without words stay.
+    """
+    groups = near_groups(documents)
+    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    named = documents.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("_kept_id"), "left_semi")
+    return named.drop_duplicates(["doc_id"]).union(documents.where("doc_id is null"))
