@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bpe, decontaminate, near, quality, secrets, sharding
+from broadsheet.llm import bpe, decontaminate, near, quality, secrets, sharding, suffixes
 from broadsheet.llm.batches import importable
 from broadsheet.session import configure
 
@@ -64,6 +64,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "slot", "shard")
 
 
+@query
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(suffixes.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 @query
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = bpe.encode(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
