@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.batches import blocks, id_and_text, texts
 
 #: Entries a worker keeps; beyond, the memory is emptied and filled anew.
-MAX_STATES = 300_000
-MAX_MATCHES = 300_000
-MAX_PAIRS = 1_000_000
+MAX_STATES = 200_000
+MAX_MATCHES = 150_000
+MAX_PAIRS = 400_000
 #: Longest match whose ids are remembered.
 REMEMBER_BYTES = 64
+#: Characters below are the same letters and numbers in every version of Unicode since 1991.
+OLDER_THAN = "\u0250"
 #: Blanks at either end, next to each other, or of another kind than space and line end.
 BLANK_RUNS = re.compile(r"\A\s|\s\s|\s\Z|[^\S \n]")
 
@@ -237,7 +239,7 @@ class Tokenizer:
 
     def matches(self, text: str) -> list[str]:
         """The text cut by the pattern; characters in ``newer`` count as unassigned."""
-        if self.newer is None or text.isascii() or not self.newer.search(text):
+        if self.newer is None or text.isascii() or max(text) < OLDER_THAN or not self.newer.search(text):
             return self.pattern.findall(text)
         return [text[slice(*m.span())] for m in self.pattern.finditer(self.newer.sub("\ue000", text))]
 
@@ -346,6 +348,26 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
+def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that one worker holds one tokenizer."""
+    newer = newer_characters()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = tokenizer(path, pattern, newer)
+        for batch in batches:
+            for block in blocks(batch):
+                rows = [both.encode(text.decode("utf-8", "replace")) for text in texts(block)]
+                data = [both.decode_bytes(ids) for ids in rows]
+                offsets = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
+                flat = np.fromiter((token for row in rows for token in row), np.int32, offsets[-1])
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(data, pa.binary())],
+                    ["doc_id", "ids", "decoded"],
+                )
+
+    return id_and_text(documents).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Token count and SHA-256 of the decimal ids and of the decoded bytes."""
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
