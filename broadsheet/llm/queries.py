@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bpe, decontaminate, licenses, lm, near, quality, secrets, sharding, suffixes
+from broadsheet.llm import bpe, decontaminate, licenses, lm, near, quality, secrets, sharding, suffixes, warc
 from broadsheet.llm.batches import importable
 from broadsheet.session import configure
 
@@ -37,6 +37,14 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op2_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digests(warc.derivatives(warc.responses_of_pages(table(spark, sf_dir, "pages"))))
+
+
+ORACLE["op2_warc_derivatives"] = warc.SQL
+
+
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
