@@ -36,7 +36,9 @@ HEAD = 131_072
 #: Steps a factor e of the count is cut into to find where the head ends.
 STEPS = 64
 WORDS, CLASSES, DIMENSIONS = 1024, 64, 24
-BATCH, NOISE, RATE, SEED = 4096, 64, 0.15, 5
+BATCH, NOISE, RATE, SEED = 2048, 64, 0.2, 5
+#: A task with fewer mini-batches goes over its texts again, up to this many steps.
+LEAST_STEPS = 600
 #: No word contains a blank, so this stands for the end of a text.
 END = b"\n"
 
@@ -227,6 +229,7 @@ def train(documents: DataFrame, words: Vocabulary) -> Model:
         known, model = shared.value, Model.start(unigram)
         squares = [np.zeros_like(t) for t in (model.one, model.two, model.out, model.bias[:, None])]
         rng, seen = np.random.default_rng(SEED), 0
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             for block in blocks(batch):
                 lists = [tokens(t) for d, t in zip(block.column("doc_id").to_pylist(), texts(block)) if not held_out(d)]
@@ -237,7 +240,13 @@ def train(documents: DataFrame, words: Vocabulary) -> Model:
                 order = rng.permutation(len(symbol))
                 train_on(model, unigram, one[order], two[order], symbol[order], squares, rng)
                 seen += len(symbol)
+                if seen <= LEAST_STEPS * BATCH:
+                    held.append((one, two, symbol))
         if seen:
+            again = [np.concatenate(arrays) for arrays in zip(*held)]
+            for _ in range((LEAST_STEPS - seen // BATCH) // -(-seen // BATCH)):
+                order = rng.permutation(seen)
+                train_on(model, unigram, *(a[order] for a in again), squares, rng)
             n = known.n_symbols
             values = np.zeros((n + 1, 3 * DIMENSIONS + 1))
             values[:, :DIMENSIONS], values[:, DIMENSIONS : 2 * DIMENSIONS] = model.one, model.two
