@@ -71,8 +71,8 @@ def decode_entities(col: Column, bare: bool = True) -> Column:
     end = ";?" if bare else ";"
 
     def one(tok: Column) -> Column:
-        number = F.regexp_extract(tok, r"^&#([0-9]{1,7});?$", 1)
-        hexed = F.regexp_extract(tok, r"(?i)^&#x([0-9a-f]{1,6});?$", 1)
+        number = F.regexp_extract(tok, r"^&#0*([0-9]{1,7});?$", 1)
+        hexed = F.regexp_extract(tok, r"(?i)^&#x0*([0-9a-f]{1,6});?$", 1)
 
         def char(value: Column) -> Column:
             known = (value > 0) & (value < 0x110000) & ~value.between(0xD800, 0xDFFF)
@@ -124,7 +124,7 @@ def _replace_chars(col: Column, table: Mapping[str, str]) -> Column:
 @lru_cache
 def _accent_table() -> dict[str, str]:
     table = {}
-    for code in range(0x80, 0x10000):
+    for code in range(0x80, 0x110000):
         char = chr(code)
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -141,7 +141,7 @@ def fold_accents(col: Column) -> Column:
 
 @lru_cache
 def _casefold_table() -> dict[str, str]:
-    chars = (chr(c) for c in range(0x80, 0x10000) if not 0xD800 <= c <= 0xDFFF)
+    chars = (chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c <= 0xDFFF)
     return {c: c.casefold() for c in chars if c.lower() == c and c.casefold() != c}
 
 
@@ -186,8 +186,8 @@ def date_label(ts: Column, tz: str = TIME_ZONE) -> Column:
 
 
 def parse_published(text: Column) -> Column:
-    """ISO-8601 instant, null when it is none; without an offset it is read as UTC."""
-    return text.try_cast("timestamp")
+    """ISO-8601 instant, null when it is none or has no full date; without an offset it is read as UTC."""
+    return F.when(text.rlike(r"^\s*[0-9]{4}-[0-9]{2}-[0-9]{2}"), text.try_cast("timestamp"))
 
 
 def count_label(n: Column) -> Column:

@@ -79,8 +79,17 @@ def _join(base: str, url: Column) -> Column:
             F.regexp_extract(rel, r"(?s)^[^#]*(#.+)", 1),
         )
 
-    rel = F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", "")
-    return let(F.regexp_replace(rel, f"(?i)^{parts.scheme}:", ""), joined)
+    def absolute_or_joined(rel: Column) -> Column:
+        # an authority of its own is kept; empty queries and fragments are not
+        bare = F.regexp_replace(F.regexp_replace(rel, r"#$", ""), r"\?(#|$)", "$1")
+        return F.when(rel.startswith("//"), F.concat(F.lit(f"{parts.scheme}:"), bare)).otherwise(joined(rel))
+
+    def resolved(stripped: Column) -> Column:
+        other = stripped.rlike(f"^(?!(?i:{parts.scheme}):){_SCHEME[1:]}")
+        rest = F.regexp_replace(stripped, f"(?i)^{parts.scheme}:", "")
+        return F.when(other, url).otherwise(let(rest, absolute_or_joined))
+
+    return let(F.regexp_replace(F.regexp_replace(url, r"^[\x00-\x20]+", ""), r"[\t\r\n]", ""), resolved)
 
 
 def normalize_url(url: Column, base: str) -> Column:

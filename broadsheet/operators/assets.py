@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from broadsheet.functions.urls import safe_slug
 from broadsheet.operators.links import replace_attribute
 from broadsheet.operators.skew import salted_join
 from broadsheet.site import MAX_ASSET_BYTES
@@ -11,10 +12,14 @@ from broadsheet.sources.cache import cache_status
 
 
 def asset_manifest(cleaned: DataFrame) -> DataFrame:
-    """One row per article and distinct image: index, address, cache key, package path."""
+    """One row per article and distinct image: index, address, cache key, package path.
+
+    Slugs are shared, so the path also carries a digest of the article's address.
+    """
     rows = cleaned.select("url", "slug", F.posexplode("image_urls").alias("idx", "asset_url"))
+    article = F.concat_ws("_", safe_slug(F.col("slug")), F.substring(F.sha2("url", 256), 1, 16), "idx")
     return rows.withColumn("asset_key", F.sha2("asset_url", 256)).withColumn(
-        "asset_path", F.concat(F.lit("images/"), F.col("slug"), F.lit("_"), "idx", F.lit(".jpg"))
+        "asset_path", F.concat(F.lit("images/"), article, F.lit(".jpg"))
     )
 
 
@@ -32,8 +37,8 @@ def judge_assets(
 ) -> DataFrame:
     """The manifest with ``asset_status``: ok, too_large, failed or missing.
 
-    ``assets`` has one row per key: ``(asset_key, n_bytes, error)``. An image on many pages
-    is a hot key; ``heavy`` keys are salted.
+    ``assets``: ``(asset_key, n_bytes, error)``; of repeated fetches of a key the best counts
+    (ok, then too large). An image on many pages is a hot key; ``heavy`` keys are salted.
     """
     n_bytes, error = F.col("n_bytes"), F.col("error")
     status = (
@@ -41,7 +46,8 @@ def judge_assets(
         .when(n_bytes > max_bytes, "too_large")
         .otherwise("ok")
     )
-    known = assets.select("asset_key", status.alias("asset_status"))
+    best = F.array_position(F.array(F.lit("ok"), F.lit("too_large"), F.lit("failed")), status)
+    known = assets.groupBy("asset_key").agg(F.min_by(status, best).alias("asset_status"))
     wanted = manifest.select("asset_key").distinct()
     # every wanted key gets a row, so the join with the manifest can be an inner one
     judged = wanted.join(known, "asset_key", "left").na.fill({"asset_status": "missing"})
@@ -55,6 +61,8 @@ def asset_rewrite(bodies: DataFrame, judged: DataFrame, prefix: str = "../") ->
     )
     new = (
         judged.filter(F.col("asset_status") == "ok")
+        .groupBy("url", "asset_url")
+        .agg(F.min("asset_path").alias("asset_path"))
         .groupBy("url")
         .agg(F.map_from_entries(F.collect_list(entry)).alias("new"))
     )

@@ -263,13 +263,17 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
     def is_content(x: Column) -> Column:
         return ((x["k"] == H.TEXT) & (strip(decode_entities(x["t"])) != "")) | (x["n"] == "img")
 
+    def is_script(x: Column) -> Column:
+        # closed ones are single tokens; an open one reaches to the end, as its text would
+        return x["k"].between(H.OPEN, H.VOID) & x["n"].isin("script", "style", "noscript")
+
     def drops_and_embeds(toks: Column) -> Column:
         def new(span: Column, embed: Column) -> Column:
             shown = H.drop_subtrees(embed, H.any_of(p.drop))
-            return F.when(span["r"] == 1, H.no_items()).otherwise(let(shown, _unwrap_embed))
+            return F.when(span["r"] != 2, H.no_items()).otherwise(let(shown, _unwrap_embed))
 
         dropped = H.any_of((*p.drop, *p.ads))
-        return H.splice(toks, H.subtrees(toks, dropped, is_embed), new)
+        return H.splice(toks, H.subtrees(toks, dropped, is_embed, is_script), new)
 
     def visible(toks: Column) -> Column:
         return F.filter(H.inner(toks), lambda x: x["k"] < H.DECL)

@@ -175,12 +175,18 @@ FROM pages""",
   WHEN 'click' THEN concat('https://cdn.example/', event_id, '.jpg')
   ELSE concat('https://cdn.example/', event_id, CASE WHEN user_id >= 75 THEN '-a.jpg' ELSE '-b.jpg' END)
   END AS source FROM events""",
-    "url_normalize": """SELECT event_id, CASE event_type
+    "url_normalize": """SELECT event_id, CASE event_id % 11
+  WHEN 1 THEN concat('https://x.example/', event_id)
+  WHEN 2 THEN concat('https://X.example/', event_id)
+  WHEN 3 THEN concat('https://cdn.example/', event_id)
+  WHEN 4 THEN concat(' http://x.example/', event_id)
+  WHEN 5 THEN concat(' mailto:u', user_id, '@x.example')
+  ELSE CASE event_type
   WHEN 'view' THEN concat('https://news.example/a/', event_id, '?q=', user_id)
   WHEN 'click' THEN concat('https://cdn.example/', event_id)
   WHEN 'signup' THEN concat('https://news.example/news/x/', event_id, '#f', user_id)
   WHEN 'purchase' THEN concat('mailto:u', user_id, '@news.example')
-  ELSE concat('#', event_id) END AS url FROM events""",
+  ELSE concat('#', event_id) END END AS url FROM events""",
     "url_keys": f"""WITH s AS (SELECT page_id, url, {SLUG} AS slug FROM pages),
 k AS (SELECT page_id, unnest([url, rtrim(url, '/'), concat('/news/', slug),
     concat('https://news.example/news/', slug), concat('https://news.example/news/', slug, '/'),
@@ -235,15 +241,17 @@ SELECT dense_rank() OVER (ORDER BY author_hint) AS author_pos, author_hint AS au
           concat('https://news.example/i/', page_id, '.png')]) AS asset_url,
   unnest([0, 1]) AS idx FROM pages)
 SELECT url, CAST(idx AS BIGINT) AS idx, asset_url, sha256(asset_url) AS asset_key,
-  concat('images/', coalesce(nullif(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), ''), 'article'),
-         '_', idx, '.jpg') AS asset_path, idx = 1 AS cached FROM a""",
+  concat('images/', substr(regexp_replace(coalesce(nullif(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), ''), 'article'),
+         '[^\\p{L}\\p{N}_\\-]', '_', 'g'), 1, 80), '_', substr(sha256(url), 1, 16), '_', idx, '.jpg') AS asset_path,
+  idx = 1 AS cached FROM a""",
     "asset_rewrite": f"""WITH c AS ({_fill(D.CLEAN_BODIES)}), s AS (
-SELECT c.page_id, body_html, {SLUG} AS slug FROM c JOIN pages p ON c.page_id = p.page_id)
+SELECT c.page_id, body_html, concat(substr(regexp_replace({SLUG}, '[^\\p{{L}}\\p{{N}}_\\-]', '_', 'g'), 1, 80),
+  '_', substr(sha256(url), 1, 16)) AS stem FROM c JOIN pages p ON c.page_id = p.page_id)
 SELECT page_id, CASE WHEN page_id BETWEEN 1 AND 52 AND page_id % 10 <> 9 THEN replace(replace(body_html,
   concat('src="https://news.example/i/', page_id, '.png"'),
-  concat('src="../images/', replace(slug, '&', '&amp;'), '_1.jpg"')),
+  concat('src="../images/', stem, '_1.jpg"')),
   concat('src="https://cdn.example/', page_id, '-800.jpg"'),
-  concat('src="../images/', replace(slug, '&', '&amp;'), '_0.jpg"')) ELSE body_html END AS body_html FROM s""",
+  concat('src="../images/', stem, '_0.jpg"')) ELSE body_html END AS body_html FROM s""",
     "issue_summary": f"""WITH {WINDOW}, s AS (SELECT min(published) AS a, max(published) AS b,
   count(*) FILTER (url LIKE 'https:%') AS n FROM win)
 SELECT concat('News — ', {_label("a")}, ' – ', {_label("b")}) AS title,

@@ -291,11 +291,17 @@ def image_best_source(spark, sf_dir):
 @query
 def url_normalize(spark, sf_dir):
     href = F.expr(
-        """CASE event_type WHEN 'view' THEN concat('/a/./b/../', event_id, '?q=', user_id)
+        """CASE event_id % 11
+           WHEN 1 THEN concat(' https://x.example/', event_id)
+           WHEN 2 THEN concat('HTTPS://X.example/', event_id)
+           WHEN 3 THEN concat(' //cdn.example/', event_id)
+           WHEN 4 THEN concat(' http://x.example/', event_id)
+           WHEN 5 THEN concat(' mailto:u', user_id, '@x.example')
+           ELSE CASE event_type WHEN 'view' THEN concat('/a/./b/../', event_id, '?q=', user_id)
            WHEN 'click' THEN concat('//cdn.example/', event_id)
            WHEN 'signup' THEN concat('x//', event_id, '#f', user_id)
            WHEN 'purchase' THEN concat('mailto:u', user_id, '@news.example')
-           ELSE concat('#', event_id) END"""
+           ELSE concat('#', event_id) END END"""
     )
     return table(spark, sf_dir, "events").select(
         "event_id", U.normalize_url(href, "https://news.example/news/list").alias("url")

@@ -28,9 +28,17 @@ def fetch_plan(
 
 
 def latest_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """Last row per key; copies of a key are reduced before the shuffle."""
-    row = F.struct(*[c for c in df.columns if c != key])
-    return df.groupBy(key).agg(F.max_by(row, order).alias("_row")).select(key, "_row.*")
+    """Last row per key; equal times are settled by the row's other values.
+
+    The winner is found on narrow columns, time and digest, which combine before the shuffle;
+    the rows' texts are joined to it afterwards and never sorted into a buffer.
+    """
+    digest = F.sha2(F.to_json(F.struct(*sorted(c for c in df.columns if c not in (key, order)))), 256)
+    marked = df.withColumn("_digest", digest)
+    last = marked.groupBy(key).agg(F.max(F.struct(order, "_digest")).alias("_last"))
+    chosen = last.select(F.col(key).alias("_key"), F.col(f"_last.{order}").alias("_order"), F.col("_last._digest").alias("_wanted"))
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(order).eqNullSafe(F.col("_order")) & (F.col("_digest") == F.col("_wanted"))
+    return marked.join(chosen, same).drop("_digest", "_key", "_order", "_wanted").drop_duplicates([key])
 
 
 def cache_upsert(

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Wanted (address, version) keys that are broadcast, at most; a key is one short row.
+MAX_BROADCAST_KEYS = 200_000
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Pages as stored. A file too small to split is spread over the cores."""
-    pages = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return pages.repartition(cores) if pages.rdd.getNumPartitions() < cores else pages
+    """Pages as stored; the session's file settings decide how they are split."""
+    return spark.read.parquet(path)
 
 
-def join_pages(refs: DataFrame, pages: DataFrame, version: str = "page_id") -> DataFrame:
+def join_pages(
+    refs: DataFrame,
+    pages: DataFrame,
+    version: str = "page_id",
+    max_broadcast_keys: int = MAX_BROADCAST_KEYS,
+) -> DataFrame:
     """References with the page of their address; the lowest ``version`` of a page counts.
 
-    The version is picked on narrow columns, combined before the shuffle. Page texts are
-    then joined on address and version together, so copies of one address spread over tasks
-    and only one is kept.
+    The version is picked on narrow columns of wanted addresses only. The wanted keys are
+    counted: few are broadcast, so that page texts are read where they lie and no unwanted one
+    is moved. Many meet the texts on address and version, which spreads copies of one address.
     """
-    chosen = pages.groupBy("url").agg(F.min(version).alias(version))
-    return refs.join(chosen, "url").join(pages, ["url", version])
+    wanted = refs.select("url").distinct()
+    few = wanted.limit(max_broadcast_keys + 1).count() <= max_broadcast_keys
+    narrow = pages.select("url", version).join(F.broadcast(wanted) if few else wanted, "url", "left_semi")
+    chosen = narrow.groupBy("url").agg(F.min(version).alias(version))
+    texts = pages.join(F.broadcast(chosen) if few else chosen, ["url", version])
+    return refs.join(texts, "url")

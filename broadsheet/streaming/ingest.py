@@ -30,8 +30,11 @@ def new_refs(
 
 
 def one_per_url(refs: DataFrame, days: int, published: str = "published") -> DataFrame:
-    """First arrival per address; the watermark drops late rows and expires the state."""
-    return refs.withWatermark(published, f"{days} days").dropDuplicatesWithinWatermark(["url"])
+    """First arrival per address; the watermark drops late rows and expires the state.
+
+    A calendar window of ``days`` reaches back to midnight, up to a day and a clock change more.
+    """
+    return refs.withWatermark(published, f"{24 * days + 25} hours").dropDuplicatesWithinWatermark(["url"])
 
 
 def ingest_stream(

@@ -7,11 +7,10 @@ from zoneinfo import ZoneInfo
 import pytest
 from pyspark.sql import functions as F
 
-from tests_feed_pages import PAGES, write_pages
-
 from broadsheet.operators import feed
 from broadsheet.site import Site
 from broadsheet.sources import cache, feed as source, listing
+from tests.feed_pages import PAGES, write_pages
 
 UTC = timezone.utc
 WARSAW = ZoneInfo("Europe/Warsaw")
@@ -46,11 +45,11 @@ def landed(spark, tmp_path_factory):
 def test_members_and_refs(landed):
     refs, rejects = source.valid_refs(source.feed_members(landed))
     rows = {r["title"]: r for r in refs.collect()}
-    assert set(rows) == {"Fresh", "Copy", "By path", "Old", "After old", "Unseen"}
-    fresh, by_path = rows["Fresh"], rows["By path"]
-    assert (fresh["category"], fresh["author_hint"], fresh["page_no"], fresh["pos"]) == ("Kraj", "Ada Byk", 1, 0)
-    assert (by_path["url"], by_path["category"], by_path["author_hint"]) == (
-        "https://news.example/news/by-path", "Inne", "Cis",
+    assert set(rows) == {"Harbour", "Bridge", "Harbour again", "Long ago", "Late entry", "Behind the gap"}
+    harbour, bridge = rows["Harbour"], rows["Bridge"]
+    assert (harbour["url"], harbour["category"], harbour["author_hint"]) == ("https://news.example/news/harbour", "Sport", "Zoe")
+    assert (bridge["url"], bridge["category"], bridge["author_hint"], bridge["page_no"], bridge["pos"]) == (
+        "https://news.example/news/bridge?x=1", "Inne", "Uma Kot", 1, 5,
     )
     assert sorted(r["reject_reason"] for r in rejects.collect()) == [
         "bad_published", "no_published", "no_title", "no_url",
@@ -61,13 +60,13 @@ def test_window_horizon_and_first_wins(landed):
     pages = feed.page_horizon(landed)
     assert [r["page"] for r in pages.collect()] == [1, 2]
     refs, _ = source.valid_refs(source.feed_members(pages))
-    since = datetime(2026, 6, 1, tzinfo=WARSAW)
+    since = datetime(2025, 11, 5, tzinfo=WARSAW)
     taken = feed.take_while_recent(refs, ["page_no", "pos"], since)
-    assert sorted(r["title"] for r in taken.collect()) == ["By path", "Copy", "Fresh"]
-    kept = feed.last_n_days(refs, 7, datetime(2026, 6, 8, 9, tzinfo=UTC))
-    assert sorted(r["title"] for r in kept.collect()) == ["After old", "By path", "Copy", "Fresh"]
+    assert sorted(r["title"] for r in taken.collect()) == ["Bridge", "Harbour", "Harbour again"]
+    kept = feed.last_n_days(refs, 5, datetime(2025, 11, 12, 9, tzinfo=UTC))
+    assert sorted(r["title"] for r in kept.collect()) == ["Bridge", "Harbour", "Harbour again", "Late entry"]
     first = feed.first_wins(taken, "url", ["page_no", "pos"])
-    assert sorted(r["title"] for r in first.collect()) == ["By path", "Fresh"]
+    assert sorted(r["title"] for r in first.collect()) == ["Bridge", "Harbour"]
 
 
 def test_feed_rules_against_a_loop(spark):

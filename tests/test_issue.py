@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from hashlib import sha256
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -199,15 +200,19 @@ def test_assets(spark):
         "url string, slug string, image_urls array<string>, body_html string",
     )
     manifest = assets.asset_manifest(df)
-    assert {r["asset_path"] for r in manifest.collect()} == {
-        "images/one_0.jpg", "images/one_1.jpg", "images/one_2.jpg", "images/two_0.jpg", "images/two_1.jpg",
-    }
+    one, two = (f"{slug}_{sha256(url.encode()).hexdigest()[:16]}" for slug, url in (("one", "u1"), ("two", "u2")))
+    assert sorted(r["asset_path"] for r in manifest.collect()) == sorted(
+        f"images/{stem}_{idx}.jpg" for stem, n in ((one, 3), (two, 2)) for idx in range(n)
+    )
+    shared = df.withColumn("slug", F.lit("a?b#c&d"))
+    paths = [r["asset_path"] for r in assets.asset_manifest(shared).collect()]
+    assert len(set(paths)) == 5 and not any(c in p for p in paths for c in "?#&")
     key = F.sha2(F.col("u"), 256).alias("asset_key")
     stored = spark.createDataFrame([("https://c/a",)], "u string").select(key)
     plan = {r["asset_url"]: r["cached"] for r in assets.asset_plan(manifest, stored).collect()}
     assert plan == {"https://c/a": True, "https://c/ab": False, "https://c/big": False, "https://c/gone": False}
     got = spark.createDataFrame(
-        [("https://c/a", 10, None), ("https://c/ab", 5 * 1024 * 1024, None), ("https://c/big", 5 * 1024 * 1024 + 1, None)],
+        [("https://c/a", 10, None), ("https://c/a", None, "timeout"), ("https://c/a", 10, None), ("https://c/ab", 5 * 1024 * 1024, None), ("https://c/big", 5 * 1024 * 1024 + 1, None)],
         "u string, n_bytes long, error string",
     ).select(key, "n_bytes", "error")
     judged = assets.judge_assets(manifest, got)
@@ -216,8 +221,8 @@ def test_assets(spark):
     ]
     bodies = {r["url"]: r["body_html"] for r in assets.asset_rewrite(df, judged).collect()}
     assert bodies == {
-        "u1": '<img src="../images/one_1.jpg"/><img src="../images/one_0.jpg"/><img src="../images/one_0.jpg"/><img src="https://c/big"/>',
-        "u2": '<img src="../images/two_0.jpg"/><img src="https://c/gone"/>',
+        "u1": f'<img src="../images/{one}_1.jpg"/><img src="../images/{one}_0.jpg"/><img src="../images/{one}_0.jpg"/><img src="https://c/big"/>',
+        "u2": f'<img src="../images/{two}_0.jpg"/><img src="https://c/gone"/>',
         "u3": "<p>x</p>",
     }
 
@@ -254,7 +259,7 @@ def test_whole_run(spark, tmp_path):
     docs = {r["path"]: r["content"] for r in tables["documents"].collect()}
     assert set(docs) == {"chapters/a.xhtml", "chapters/b.xhtml"}
     assert '<a href="b.xhtml#q">b</a>' in docs["chapters/a.xhtml"]
-    assert '<img src="../images/a_0.jpg"/>' in docs["chapters/a.xhtml"]
+    assert f'<img src="../images/a_{sha256(f"{base}/a".encode()).hexdigest()[:16]}_0.jpg"/>' in docs["chapters/a.xhtml"]
     assert '<a href="a.xhtml">a</a> <a href="https://news.example/news/old">o</a>' in docs["chapters/b.xhtml"]
     assert tables["rejects"].collect()[0]["reject_reason"] == "no_author"
     summary = tables["summary"].first()
@@ -266,18 +271,21 @@ def test_whole_run(spark, tmp_path):
 
 
 def test_stream_ingest(spark, tmp_path):
-    from tests_feed_pages import PAGES, write_pages
+    from tests.feed_pages import PAGES, member, write_pages
 
     landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
-    now = datetime(2026, 6, 8, 9, tzinfo=UTC)
+    # Late in the day, so that the window begins most of a day before now less five days.
+    now = datetime(2025, 11, 12, 18, tzinfo=UTC)
 
     def run():
-        refs = ingest.new_refs(ingest.read_feed_stream(spark, landing), 7, now)
+        refs = ingest.new_refs(ingest.read_feed_stream(spark, landing), 5, now)
         ingest.ingest_stream(refs, out, state, "published_date").awaitTermination()
         return sorted(r["url"].rsplit("/", 1)[1] for r in spark.read.parquet(out).collect())
 
-    write_pages(landing, "a", PAGES[:1])
-    assert run() == ["fresh"]
-    # a later file brings a copy, an old row and new ones
-    write_pages(landing, "b", PAGES[1:])
-    assert run() == ["after", "by-path", "fresh", "u"]
+    newest = member("Newest", "/news/newest", "2025-11-12T17:59:00Z")
+    write_pages(landing, "a", [*PAGES[:1], {"page": 9, "totalItems": 1, "member": [newest]}])
+    assert run() == ["bridge?x=1", "harbour", "newest"]
+    # A later file brings a copy, an old row, new ones and one from the first hours of the window.
+    edge = {"page": 8, "totalItems": 1, "member": [member("Edge", "/news/edge", "2025-11-06T23:30:00Z")]}
+    write_pages(landing, "b", [*PAGES[1:], edge])
+    assert run() == ["behind", "bridge?x=1", "edge", "harbour", "late-entry", "newest"]
