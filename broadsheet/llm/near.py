@@ -7,15 +7,16 @@
    set. Two sets of similarity s part in one branch with probability 1 - s, so a tree loses a pair
    of similarity 0.8 with probability q = (0.2 + 0.8 q)^2 = 0.0625 however deep it gets, and
    ``trees`` trees lose it with q^trees. The number of trees follows from ``recall``.
-3. Nodes of up to ``small`` sets are compared exhaustively by their signatures, in numpy; larger
-   ones branch again, so a shingle that a third of all documents share is split by further ones.
-   A node that is still large at ``depth`` holds sets that agree in that many minima: mostly one
-   group. Its members are first joined to four of them; what is left in several groups is then
-   compared in blocks.
-4. Candidates are verified on whole sets. Round one proposes for each member its most similar ones
-   (linear in the members) and merges the verified links into components; round two proposes every
-   pair that looks similar and still lies in two components. So no link between components is
-   left out, and no group is expanded into all its pairs.
+3. Candidates are pairs of a node whose minima and sizes allow the similarity, verified on whole
+   sets. Round one is linear: a node's members, ordered by a further minimum, are compared in
+   blocks of ``small``; each proposes its most similar neighbour and the first of its part. The
+   verified links are merged into components; a node that lies in one component is settled.
+4. Of the nodes that are not, large ones branch again, so a shingle that a third of all documents
+   share is split by further ones, unless one component fills them. The rest are compared
+   exhaustively in numpy, small ones whole and large ones in blocks of bounded size, every two of
+   which meet: first by minima, which leave the members that may be linked to another component,
+   then by those members' whole sets. A meeting gives one verified link for every two components
+   that have any, so none between components is left out and no group becomes all its pairs.
 
 Defined cases: a null or empty text, or one of blanks, has an empty set and is linked with
 nothing; fewer words than a shingle count as one shingle; rows repeated under one ``doc_id`` are
@@ -31,7 +32,6 @@ from collections.abc import Iterator
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -46,11 +46,15 @@ RECALL = 1 - 1e-6
 BRANCHES = 2
 DEPTH = 4
 SMALL = 64
-#: Minima kept of each set for branching and estimates.
-MINIMA = 64
-#: A pair of similarity 0.8 agrees in fewer minima with probability 3e-9.
-LEAST_AGREEING = 31
+#: Minima kept of each set for branching and estimates, 16 bits each.
+MINIMA = 128
+#: A pair of similarity 0.8 agrees in fewer minima with probability under 1e-5.
+LEAST_AGREEING = 82
 BLOCK = 512
+#: A component that has at least one in this many of a node's members fills it.
+COHESIVE = 4
+#: Members of a node that one task orders, at most about.
+PART = 10_000
 
 
 def trees_for(recall: float, percent: int = PERCENT, branches: int = BRANCHES) -> int:
@@ -118,14 +122,14 @@ def signatures(documents: DataFrame, trees: int, width: int = SHINGLE) -> DataFr
                 sizes = np.array([len(s) for s in found], np.int64)
                 keys = [md5(s.tobytes()).digest() for s in found]
                 full = np.flatnonzero(sizes)
-                minima = np.zeros((len(found), MINIMA), np.uint32)
+                minima = np.zeros((len(found), MINIMA), np.uint16)
                 first = np.zeros((len(found), roots), np.uint64)
                 if len(full):
                     flat = np.concatenate([found[i] for i in full])
                     starts = np.concatenate([[0], np.cumsum(sizes[full])[:-1]])
                     for k in range(MINIMA):
                         low = np.minimum.reduceat((flat ^ XOR[k]) * ODD[k], starts)
-                        minima[full, k] = _finish(low) >> np.uint64(32)
+                        minima[full, k] = _finish(low) >> np.uint64(48)
                     for k in range(roots):
                         low = np.minimum.reduceat((flat ^ ROOT_XOR[k]) * ROOT_ODD[k], starts)
                         first[full, k] = _finish(low + np.uint64(k))
@@ -145,92 +149,221 @@ def signatures(documents: DataFrame, trees: int, width: int = SHINGLE) -> DataFr
     )
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, MINIMA)
+
+
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Children of the rows' nodes: the node's hash chooses which minima name them."""
     for batch in batches:
         if not batch.num_rows:
             continue
         node = batch.column("node").to_numpy().view(np.uint64)
-        minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, MINIMA)
-        children = []
-        for k in range(BRANCHES):
-            choice = _finish(node + np.uint64(0x632BE59BD9B4E019) * np.uint64(k + 1))
-            if k:
-                # Another function than the branches before.
-                step = choice % np.uint64(MINIMA - 1) + np.uint64(1)
-                at = (at + step) % np.uint64(MINIMA)
-            else:
-                at = choice % np.uint64(MINIMA)
-            value = minima[np.arange(len(node)), at.astype(np.int64)].astype(np.uint64)
-            children.append(_finish(_finish(node ^ value) + at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(k)))
+        minima, rows = _matrix(batch.column("minima")), np.arange(batch.num_rows)
+        # Two different functions, chosen by the node.
+        one = _finish(node + np.uint64(0x632BE59BD9B4E019)) % np.uint64(MINIMA)
+        two = (one + np.uint64(1) + _finish(node ^ np.uint64(0xD6E8FEB86659FD93)) % np.uint64(MINIMA - 1)) % np.uint64(MINIMA)
+        children = [
+            _finish(_finish(node ^ minima[rows, at.astype(np.int64)]) + at * np.uint64(0x9E3779B97F4A7C15)) for at in (one, two)
+        ]
         out = np.stack(children, axis=1).ravel().view(np.int64)
-        rep = np.repeat(batch.column("rep").to_numpy(), BRANCHES)
-        yield pa.RecordBatch.from_arrays([pa.array(out), pa.array(rep)], ["node", "rep"])
-
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(out), *(pa.array(np.repeat(batch.column(k).to_numpy(), BRANCHES)) for k in ("rep", "label"))], ["node", "rep", "label"]
+        )
 
-def nodes(reps: DataFrame, depth: int = DEPTH, small: int = SMALL) -> DataFrame:
-    """Members of the nodes to compare: ``node``, ``rep``, ``members``, ``dense``.
-
-    Single members are dropped at every level. A level is written before the next one starts, in
-    narrow rows; minima join only the members of large nodes.
-    """
-    minima = reps.select("rep", "minima")
-    level = reps.select(F.explode("roots").alias("node"), "rep")
-    done = None
-    for step in range(depth + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        met = written(level.join(sizes, "node").withColumn("dense", F.lit(step == depth) & (F.col("members") > small)))
-        ready = met if step == depth else met.where(F.col("members") <= small)
-        done = ready if done is None else done.union(ready)
-        large = met.where(F.col("members") > small).select("node", "rep")
-        if step == depth or large.isEmpty():
-            break
-        level = large.join(minima, "rep").mapInArrow(_branch, "node bigint, rep bigint").distinct()
-    return done
 
+PAIRS = "a bigint, b bigint"
 
-def _agreeing(minima: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """Numbers of equal minima between rows."""
-    out = np.zeros((len(minima), len(others)), np.uint8)
-    for k in range(MINIMA):
-        out += minima[:, k, None] == others[None, :, k]
-    return out
 
+def _pairs(a, b) -> pa.RecordBatch:
+    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+
+def _likely(minima: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Equal minima of the row pairs; 0 where the sizes or the minima rule a link out."""
+    agree = (minima[i] == minima[j]).sum(axis=1)
+    low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+    return np.where((agree >= LEAST_AGREEING) & (100 * low >= PERCENT * high), agree, 0)
+
+
+class _Rows:
+    """Columns of sorted rows, with those of an unfinished group kept for the next batch."""
+
+    def __init__(self, keys: tuple[str, ...], others: tuple[str, ...], sketch: str | None = "minima", sets: str | None = None):
+        self.keys, self.names, self.sketch, self.sets = keys, (*keys, *others), sketch, sets
+        self.columns: dict[str, np.ndarray] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        new = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in self.names}
+        if self.sketch:
+            new[self.sketch] = _matrix(batch.column(self.sketch))
+        if self.sets:
+            new[self.sets] = np.array([*batch.column(self.sets).to_pylist(), None], object)[:-1]
+        self.columns = {k: np.concatenate([self.columns[k], v]) for k, v in new.items()} if self.columns else new
+
+    def groups(self) -> np.ndarray:
+        """First rows of the groups."""
+        n = len(self.columns[self.keys[0]])
+        new = np.ones(n, bool)
+        new[1:] = np.any([self.columns[k][1:] != self.columns[k][:-1] for k in self.keys], axis=0)
+        return np.flatnonzero(new)
+
+    def keep(self, start: int) -> None:
+        self.columns = {k: v[start:] for k, v in self.columns.items()}
+
+
+def _nearest(small: int):
+    """Round one over rows sorted by part of a node."""
+
+    def propose(rows: _Rows, first: np.ndarray, hub: tuple | None) -> pa.RecordBatch:
+        c = rows.columns
+        rep, size, minima, n = c["rep"], c["size"], c["minima"], len(c["rep"])
+        group = np.repeat(np.arange(len(first)), np.diff(np.append(first, n)))
+        # Blocks start anew in each group.
+        block = group * np.int64(n + 1) + (np.arange(n) - first[group]) // small
+        best, other = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        for d in range(1, small):
+            i = np.flatnonzero(block[d:] == block[:-d])
+            if not len(i):
+                break
+            agree = _likely(minima, size, i, i + d)
+            for x, y in ((i, i + d), (i + d, i)):
+                more = agree > best[x]
+                best[x[more]], other[x[more]] = agree[more], rep[y[more]]
+        good = best > 0
+        head = first[group]
+        to_hub = (np.arange(n) > head) & (_likely(minima, size, np.arange(n), head) > 0)
+        a, b = [rep[good], rep[to_hub]], [other[good], rep[head[to_hub]]]
+        if hub is not None:
+            # The first group began in an earlier batch: its first member counts here too.
+            mine = np.flatnonzero(group == 0)
+            near = _likely(np.vstack([minima[mine], hub[2][None]]), np.append(size[mine], hub[1]), np.arange(len(mine)), np.full(len(mine), len(mine))) > 0
+            a.append(rep[mine[near]])
+            b.append(np.full(int(near.sum()), hub[0]))
+        return _pairs(np.concatenate(a), np.concatenate(b))
 
-def _matrix(frame: pd.DataFrame) -> np.ndarray:
-    return np.frombuffer(b"".join(frame["minima"]), np.uint32).reshape(-1, MINIMA)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, hub = _Rows(("node", "part"), ("rep", "size")), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows.add(batch)
+            first = rows.groups()
+            yield propose(rows, first, hub)
+            last = int(first[-1])
+            if last:
+                hub = None
+            if hub is None:
+                hub = (rows.columns["rep"][last], rows.columns["size"][last], rows.columns["minima"][last].copy())
+            # The last group's last block may go on.
+            rows.keep(last + (len(rows.columns["rep"]) - last - 1) // small * small)
 
+    return run
 
-PAIRS = "a bigint, b bigint"
 
+def _sides(block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the two blocks that meet; of one block, all rows twice."""
+    return np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
 
-def _pairs(a, b) -> pd.DataFrame:
-    a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
 
+def _whole_groups(batches: Iterator[pa.RecordBatch], rows: _Rows) -> Iterator[tuple[dict, np.ndarray]]:
+    """Columns and first rows of complete groups, as the sorted batches complete them."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows.add(batch)
+        first = rows.groups()
+        if first[-1]:
+            yield {k: v[: first[-1]] for k, v in rows.columns.items()}, first[:-1]
+            rows.keep(int(first[-1]))
+    if rows.columns:
+        yield rows.columns, rows.groups()
+
+
+def _open(small: int):
+    """Round two, by minima: members that may be linked to one of another component."""
+
+    def mark(c: dict, first: np.ndarray) -> np.ndarray:
+        label, size, minima, n = c["label"], c["size"], c["minima"], len(c["rep"])
+        counts = np.diff(np.append(first, n))
+        group = np.repeat(np.arange(len(first)), counts)
+        marked = np.zeros(n, bool)
+
+        def check(i, j):
+            i, j = i[label[i] != label[j]], j[label[i] != label[j]]
+            for at in range(0, len(i), 50_000):
+                x, y = i[at : at + 50_000], j[at : at + 50_000]
+                good = _likely(minima, size, x, y) > 0
+                marked[x[good]] = marked[y[good]] = True
+
+        few = counts[group] <= small
+        for d in range(1, small):
+            i = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
+            if not len(i):
+                break
+            check(i, i + d)
+        for g in np.flatnonzero(counts > small):
+            inside = slice(first[g], first[g] + counts[g])
+            low, high = _sides(c["block"][inside])
+            for i in low + first[g]:
+                check(np.full(len(high), i), high + first[g])
+        return marked
 
-def nearest(frame: pd.DataFrame) -> pd.DataFrame:
-    """For each member of a small node, the most similar other that may be a link."""
-    frame = frame.sort_values("rep")
-    reps, minima = frame["rep"].to_numpy(), _matrix(frame)
-    agree = _agreeing(minima, minima).astype(np.int16)
-    np.fill_diagonal(agree, -1)
-    best = agree.argmax(axis=1)
-    # Towards the first member too: it holds a group together.
-    hub = np.flatnonzero(agree[:, 0] >= LEAST_AGREEING)
-    good = np.flatnonzero(agree[np.arange(len(reps)), best] >= LEAST_AGREEING)
-    return _pairs(np.concatenate([reps[good], reps[hub]]), np.concatenate([reps[best[good]], np.full(len(hub), reps[0])]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, first in _whole_groups(batches, _Rows(("node", "meet"), ("rep", "label", "size", "block"))):
+            marked = mark(c, first)
+            yield pa.RecordBatch.from_arrays([pa.array(c[k][marked]) for k in OPEN_COLUMNS], OPEN_COLUMNS)
+
+    return run
+
+
+OPEN_COLUMNS = ["node", "meet", "rep", "label", "block"]
+
+
+def _exact(percent: int):
+    """Round two, by whole sets: one verified link for every two components that have any."""
+
+    def links(label: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        sizes = np.array([len(s) for s in sets])
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        names, counts = np.unique(label, return_counts=True)
+        parent = {name: name for name in names.tolist()}
+
+        def find(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        meets = np.zeros((len(sets), 2), bool)
+        for side, rows in enumerate(_sides(block)):
+            meets[rows, side] = True
+        # Of two components one is not the largest: its members look for the others.
+        for i in np.flatnonzero(label != names[counts.argmax()]).tolist():
+            low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+            at = np.repeat(low - np.cumsum(high - low) + (high - low), high - low) + np.arange(int((high - low).sum()))
+            both = np.bincount(owner[at], minlength=len(sets))
+            linked = 100 * both >= percent * (sizes + sizes[i] - both)
+            linked &= (label != label[i]) & ((meets[i, 0] & meets[:, 1]) | (meets[i, 1] & meets[:, 0]))
+            for j in np.flatnonzero(linked).tolist():
+                x, y = find(label[i].item()), find(label[j].item())
+                if x != y:
+                    parent[x] = y
+                    yield i, j
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = _Rows(("node", "meet"), ("rep", "label", "block"), sketch=None, sets="shingles")
+        for c, first in _whole_groups(batches, rows):
+            found = []
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(c["rep"])]):
+                sets = [np.frombuffer(s, np.uint64) for s in c["shingles"][a:b]]
+                found += [(c["rep"][a + i], c["rep"][a + j]) for i, j in links(c["label"][a:b], c["block"][a:b], sets)]
+            yield _pairs([x for x, _ in found], [y for _, y in found])
 
-def across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a node, or of two of its blocks, that look similar and lie in two components."""
-    frame = frame.sort_values(["block", "rep"])
-    reps, label, block, minima = frame["rep"].to_numpy(), frame["label"].to_numpy(), frame["block"].to_numpy(), _matrix(frame)
-    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-    agree = _agreeing(minima[left], minima[right]) >= LEAST_AGREEING
-    agree &= label[left][:, None] != label[right][None, :]
-    i, j = np.nonzero(agree)
-    return _pairs(reps[left][i], reps[right][j])
+    return run
 
 
 def verified(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -257,6 +390,19 @@ def verified(pairs: DataFrame, whole: DataFrame, percent: int = PERCENT) -> Data
     return joined.select("a", "b", "x", "y").mapInArrow(run, PAIRS)
 
 
+def _counted(level: DataFrame) -> DataFrame:
+    """Members of nodes with at least two."""
+    sizes = level.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
+    return level.join(sizes, "node")
+
+
+def _mixed(members: DataFrame) -> DataFrame:
+    """Members of nodes that lie in several components; ``most``: members of the largest one."""
+    labels = members.groupBy("node", "label").agg(F.count("*").alias("n"))
+    nodes = labels.groupBy("node").agg(F.count("*").alias("labels"), F.max("n").alias("most")).where("labels > 1")
+    return members.join(nodes.select("node", "most"), "node")
+
+
 def near_groups(
     documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL
 ) -> DataFrame:
@@ -267,27 +413,33 @@ def near_groups(
     # A class is named by a 64-bit digest of its set; any member's minima will do.
     by_class = full.select("doc_id", F.xxhash64("set_key").alias("rep"))
     reps = written(
-        full.groupBy(F.xxhash64("set_key").alias("rep")).agg(F.first("minima").alias("minima"), F.first("roots").alias("roots"))
+        full.groupBy(F.xxhash64("set_key").alias("rep")).agg(
+            F.first("minima").alias("minima"), F.first("roots").alias("roots"), F.first("n_shingles").alias("size")
+        )
     )
-    members = nodes(reps, depth, small)
-
-    sparse, dense = members.where("not dense"), members.where("dense")
-    minima = reps.select("rep", "minima")
-    first_pairs = sparse.join(minima, "rep").groupBy("node").applyInPandas(nearest, PAIRS)
-    # Some four members of a large node, by hash, and its least one.
-    drawn = F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("members") / 4)) == 0
-    hubs = (
-        dense.groupBy("node")
-        .agg(F.collect_set(F.when(drawn, F.col("rep"))).alias("some"), F.min("rep").alias("least"))
-        .select("node", F.explode(F.array_union("some", F.array("least"))).alias("hub"))
+    sketch = reps.select("rep", "minima", "size")
+    roots = written(_counted(reps.select(F.explode("roots").alias("node"), "rep")))
+
+    # Members of a large node are spread by a further minimum, and by hash where many share it.
+    at = F.pmod("node", F.lit(MINIMA)).cast("int") * 2 + 1
+    further = F.xxhash64(F.substring("minima", at, 2), F.pmod(F.xxhash64("node", "rep"), F.ceil(F.col("members") / PART)))
+    parted = roots.join(sketch, "rep").withColumn("part", F.when(F.col("members") > small, further).otherwise(0))
+    pairs = written(
+        parted.select("node", "part", "rep", "size", "minima")
+        .repartition("node", "part")
+        .sortWithinPartitions("node", "part", "rep")
+        .mapInArrow(_nearest(small), PAIRS)
+        .distinct()
     )
-    hub_pairs = dense.join(hubs, "node").where("rep <> hub").select(
-        F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
-    )
-    pairs = written(first_pairs.union(hub_pairs).distinct())
 
-    # Whole sets of members only, written once; most documents are in no node.
-    inside = by_class.join(members.select("rep").distinct(), "rep", "left_semi").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    # Whole sets, written once, of all that may still be in a candidate pair.
+    wanted = (
+        pairs.select(F.col("a").alias("rep"))
+        .union(pairs.select("b"))
+        .union(roots.where(F.col("members") > small).select("rep"))
+        .distinct()
+    )
+    inside = by_class.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
     chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
         inside.select("doc_id").distinct(), "doc_id", "left_semi"
     )
@@ -297,35 +449,46 @@ def near_groups(
         .join(inside.select("rep"), "rep", "left_semi")
         .drop_duplicates(["rep"])
     )
-    links = written(verified(pairs, whole, percent))
     # Texts of one id belong together whatever their similarity.
-    same_id = (
-        by_class.distinct()
-        .groupBy("doc_id")
-        .agg(F.min("rep").alias("a"), F.max("rep").alias("high"))
-        .where("a < high")
-        .join(by_class.distinct(), "doc_id")
-        .select("a", F.col("rep").alias("b"))
-        .where("a <> b")
-    )
-    labels = connected_components(links.union(same_id))
-    labelled = members.join(labels.select(F.col("id").alias("rep"), F.col("component").alias("label")), "rep", "left").withColumn(
-        "label", F.coalesce("label", "rep")
-    )
-    mixed = labelled.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("node")
-    open_members = labelled.join(mixed, "node", "left_semi").join(minima, "rep")
-    n_blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = open_members.withColumn("n_blocks", F.when(F.col("dense"), n_blocks).otherwise(1)).withColumn(
-        "block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")
-    )
+    several = by_class.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
+    same_id = several.join(by_class.distinct(), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
+    links = written(verified(pairs, whole, percent).union(same_id))
+    labels = connected_components(links)
+
+    named = labels.select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    level = roots.join(named, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    rest = None
+    for step in range(depth + 1):
+        # A node that one component fills would not get smaller by branching.
+        stays = F.lit(step == depth) | (F.col("members") <= small) | (COHESIVE * F.col("most") >= F.col("members"))
+        level = written(_mixed(level).select("node", "rep", "label", "members", stays.alias("stays")))
+        ready = level.where("stays").drop("stays")
+        rest = ready if rest is None else rest.union(ready)
+        large = level.where("not stays")
+        if step == depth or large.isEmpty():
+            break
+        level = _counted(large.join(sketch, "rep").select("node", "rep", "label", "minima").mapInArrow(_branch, "node bigint, rep bigint, label bigint").distinct())
+    n_blocks = F.when(F.col("members") > small, F.ceil(F.col("members") / BLOCK)).otherwise(1).cast("int")
+    placed = rest.join(sketch, "rep").withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int"))
     # Every two blocks of a large node meet in one group of bounded size.
     met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn(
-        "meet", F.concat_ws(":", F.least("block", "other"), F.greatest("block", "other"))
+        "meet", F.least("block", "other") * F.lit(1 << 31).cast("bigint") + F.greatest("block", "other")
+    )
+    unsettled = (
+        met.select("node", "meet", "rep", "label", "size", "block", "minima")
+        .repartition("node", "meet")
+        .sortWithinPartitions("node", "meet", "block", "rep")
+        .mapInArrow(_open(small), "node bigint, meet bigint, rep bigint, label bigint, block int")
+    )
+    more = written(
+        unsettled.join(whole, "rep")
+        .repartition("node", "meet")
+        .sortWithinPartitions("node", "meet", "block", "rep")
+        .mapInArrow(_exact(percent), PAIRS)
+        .distinct()
     )
-    rest = met.groupBy("node", "meet").applyInPandas(across, PAIRS).distinct().join(pairs, ["a", "b"], "left_anti")
-    more = written(verified(rest, whole, percent))
     if not more.isEmpty():
-        labels = connected_components(links.union(same_id).union(more))
+        labels = connected_components(links.union(more))
     # The component's id is its smallest document.
     of_rep = by_class.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
