@@ -32,11 +32,15 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.batches import blocks, texts, written
 
 WINDOW = 50
-GRAM = 12
+GRAM = 8
 #: Windows in a piece at most; a longer run is cut into pieces that share all but one byte of a window.
 RUN = 79
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 2_000_000
+#: Rows with spans whose keys are broadcast at most; with more, all texts meet the spans by shuffle.
+MAX_BROADCAST_ROWS = 500_000
+#: Suffixes put out at a time.
+CHUNK = 500_000
 #: Stands for a null id.
 NO_ID = np.iinfo(np.int64).max
 
@@ -189,38 +193,42 @@ def common_prefix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(any_differ, 8 * word + np.minimum(lead, 7), 8 * a.shape[1])
 
 
-def _words(data: np.ndarray, at: np.ndarray, count: int) -> np.ndarray:
-    """``count`` big-endian words of eight bytes from every position; ``data`` is padded."""
-    loaded = np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))
-    return np.stack([loaded[at + 8 * k].astype(np.uint64) for k in range(count)], axis=1)
+def _word(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The big-endian word of eight bytes at every position; ``data`` is padded."""
+    return np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))[at].astype(np.uint64)
 
 
-def maximal_repeats(contents: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Length, piece numbers and offsets of every maximal repeat of at least ``window`` bytes.
+def interval_tree(contents: list[bytes], window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """Maximal repeats of at least ``window`` bytes: length, first and end in the list of
+    occurrences, then that list: piece numbers and offsets in the order of the suffix array.
 
     Pieces are distinct. A left neighbour differs if the bytes before two occurrences do or if
     an occurrence begins its piece.
     """
+    nothing = (np.zeros(0, np.int64),) * 5
     sizes = np.array([len(c) for c in contents], np.int64)
     wide = -(-int(sizes.max()) // 8)
     data = np.frombuffer(b"".join(contents) + bytes(8 * wide + 16), np.uint8)
     heads = np.cumsum(sizes) - sizes
     counts = np.maximum(sizes - window + 1, 0)
-    piece = np.repeat(np.arange(len(contents)), counts)
-    offset = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    piece = np.repeat(np.arange(len(contents), dtype=np.int32), counts)
+    offset = (np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.int32)
     at = heads[piece] + offset
     # Suffixes whose first window is unique are in no interval.
-    short = _words(data, at, -(-window // 8))
+    words = [_word(data, at + 8 * k) for k in range(-(-window // 8))]
     if window % 8:
-        short[:, -1] >>= np.uint64(64 - 8 * (window % 8))
-    order = np.lexsort(short.T[::-1])
-    equal = (short[order][1:] == short[order][:-1]).all(axis=1)
-    grouped = np.append(equal, False) | np.append(False, equal)
-    group = np.cumsum(np.append(True, ~equal))[grouped]
+        words[-1] >>= np.uint64(64 - 8 * (window % 8))
+    order = np.lexsort(words[::-1])
+    equal = np.ones(max(len(order) - 1, 0), bool)
+    for word in words:
+        ordered = word[order]
+        equal &= ordered[1:] == ordered[:-1]
+    del words
+    grouped = np.append(equal, False) | np.append(False, equal) if len(order) else np.zeros(0, bool)
+    group = np.cumsum(np.append(True, ~equal))[grouped] if len(order) else order
     chosen = order[grouped]
-    del short
     if not len(chosen):
-        return
+        return nothing
     # Groups that follow one and the same byte everywhere are no maximal repeats, nor is any part.
     left = np.where(offset[chosen] > 0, data[np.maximum(at[chosen] - 1, 0)].astype(np.int64), -1 - np.arange(len(chosen)))
     edge = np.flatnonzero(np.append(True, np.diff(group) != 0))
@@ -228,31 +236,73 @@ def maximal_repeats(contents: list[bytes], window: int = WINDOW) -> Iterator[tup
     keep = np.repeat(diverse, np.diff(np.append(edge, len(group))))
     chosen, group = chosen[keep], group[keep]
     if not len(chosen):
-        return
-    full = _words(data, at[chosen], wide)
-    rest = (sizes - 0)[piece[chosen]] - offset[chosen]
-    # Bytes beyond the piece do not count.
+        return nothing
+    rest = sizes[piece[chosen]] - offset[chosen]
+    full = []
     for k in range(wide):
+        # Bytes beyond the piece do not count.
         over = np.clip(8 * (k + 1) - rest, 0, 8).astype(np.uint64)
-        full[:, k] = np.where(over >= 8, np.uint64(0), (full[:, k] >> (over * np.uint64(8) % np.uint64(64))) << (over * np.uint64(8) % np.uint64(64)))
-    order = np.lexsort((*full.T[::-1], group))
-    chosen, group, full, rest = chosen[order], group[order], full[order], rest[order]
+        shift = over * np.uint64(8) % np.uint64(64)
+        full.append(np.where(over >= 8, np.uint64(0), (_word(data, at[chosen] + 8 * k) >> shift) << shift))
+    order = np.lexsort((*full[::-1], group))
+    chosen, group, rest = chosen[order], group[order], rest[order]
+    full = np.stack([word[order] for word in full], axis=1)
     lcp = np.zeros(len(chosen) + 1, np.int64)
     lcp[1:-1] = np.minimum(np.minimum(common_prefix(full[:-1], full[1:]), rest[:-1]), rest[1:])
     lcp[1:-1][group[1:] != group[:-1]] = 0
-    where, before = piece[chosen], np.where(offset[chosen] > 0, data[np.maximum(at[chosen] - 1, 0)].astype(np.int64), -1)
-    begins = offset[chosen]
+    del full
     # The stack holds open intervals: common prefix and left end.
     stack: list[tuple[int, int]] = []
+    found: list[tuple[int, int, int]] = []
     for i, length in enumerate(lcp[1:].tolist(), 1):
         left_end = i - 1
         while stack and stack[-1][0] > length:
             value, left_end = stack.pop()
-            bytes_before = before[left_end:i]
-            if bytes_before.min() < 0 or (bytes_before != bytes_before[0]).any():
-                yield value, where[left_end:i], begins[left_end:i]
+            found.append((value, left_end, i))
         if length >= window and (not stack or stack[-1][0] < length):
             stack.append((length, left_end))
+    length, low, high = np.array(found, np.int64).reshape(-1, 3).T
+    # Running counts tell whether the bytes before an interval's occurrences differ.
+    before = np.where(offset[chosen] > 0, data[np.maximum(at[chosen] - 1, 0)].astype(np.int64), -1)
+    changes = np.append(0, np.cumsum(before[1:] != before[:-1]))
+    begins = np.append(0, np.cumsum(before < 0))
+    differ = (changes[high - 1] > changes[low]) | (begins[high] > begins[low])
+    return length[differ], low[differ], high[differ], piece[chosen].astype(np.int64), offset[chosen].astype(np.int64)
+
+
+def maximal_repeats(contents: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Length, piece numbers and offsets of every maximal repeat."""
+    lengths, low, high, piece, offset = interval_tree(contents, window)
+    for length, a, b in zip(lengths.tolist(), low.tolist(), high.tolist()):
+        yield length, piece[a:b], offset[a:b]
+
+
+def _spread(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """first[i], first[i] + 1, ... counts[i] times each, one after the other."""
+    return np.repeat(first - np.cumsum(counts) + counts, counts) + np.arange(int(counts.sum()))
+
+
+def _interval_spans(tree: tuple, least: np.ndarray, first: np.ndarray, by_content: np.ndarray, doc, row, start) -> Iterator[list]:
+    """Spans of all intervals' occurrences in documents after the interval's smallest."""
+    length, low, high, piece, offset = tree
+    a = 0
+    total = np.cumsum(high - low)
+    while a < len(length):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + CHUNK)))
+        sizes = (high - low)[a:b]
+        suffix = _spread(low[a:b], sizes)
+        smallest = np.repeat(np.minimum.reduceat(least[piece[suffix]], np.cumsum(sizes) - sizes), sizes)
+        long = np.repeat(length[a:b], sizes)
+        # All occurrences: every document of every piece in the interval.
+        here = piece[suffix]
+        counts = first[here + 1] - first[here]
+        at = by_content[_spread(first[here], counts)]
+        later = doc[at] > np.repeat(smallest, counts)
+        at = at[later]
+        begin = start[at] + np.repeat(offset[suffix], counts)[later]
+        code, begin, finish = merged(at, begin, begin + np.repeat(long, counts)[later])
+        yield [doc[code], row[code], begin, finish]
+        a = b
 
 
 def settle(window: int, groups: bool = False):
@@ -297,18 +347,14 @@ def settle(window: int, groups: bool = False):
                     for c in np.flatnonzero(times[which] == 1):
                         found.append((len(distinct[c]), np.array([c]), np.array([0])))
                 if len(mixed):
-                    for length, where, offset in maximal_repeats([distinct[i] for i in mixed], window):
-                        where = mixed[where]
-                        if groups:
-                            found.append((length, where, offset))
-                            continue
-                        least_here = least[where].min()
-                        # All occurrences: every document of every piece in the interval.
-                        counts = first[where + 1] - first[where]
-                        at = by_content[np.repeat(first[where], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)]
-                        begin = start[at] + np.repeat(offset, counts)
-                        later = doc[at] > least_here
-                        spans.append([doc[at][later], row[at][later], begin[later], begin[later] + length])
+                    pieces_of = [distinct[i] for i in mixed]
+                    if groups:
+                        found += [(length, mixed[where], offset) for length, where, offset in maximal_repeats(pieces_of, window)]
+                    else:
+                        length, low_end, high_end, piece, offset = interval_tree(pieces_of, window)
+                        if len(length):
+                            tree = length, low_end, high_end, mixed[piece], offset
+                            spans += _interval_spans(tree, least, first, by_content, doc, row, start)
                 if groups:
                     out = []
                     for number, (length, where, offset) in enumerate(found):
@@ -334,9 +380,11 @@ GROUP_COLUMNS = ("repeat_id", "length", "doc", "tag", "start")
 
 def _rows(documents: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text")).select(
-        "doc_id", F.xxhash64("doc_id", "text").alias("row"), F.col("text").cast("binary").alias("text")
-    )
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    # Ids that occur once need nothing to tell their rows apart, and zeros cost nothing to move.
+    unique = rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    row = F.lit(0).cast("bigint") if unique else F.xxhash64("doc_id", "text")
+    return rows.select("doc_id", row.alias("row"), F.col("text").cast("binary").alias("text"))
 
 
 def _filed(rows: DataFrame, window: int) -> DataFrame:
@@ -386,7 +434,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
+KEPT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary"
+
+
+def remove_repeats(documents: DataFrame, window: int = WINDOW, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Every row with its remaining bytes (``kept``) and the counts of what was removed."""
     rows = _rows(documents)
     spans = written(removed_spans(documents, window))
@@ -394,8 +445,15 @@ def remove_repeats(documents: DataFrame, window: int = WINDOW) -> DataFrame:
         "doc", "tag", F.col("s.start").alias("starts"), F.col("s.end").alias("ends")
     )
     keyed = rows.withColumn("doc", F.coalesce("doc_id", F.lit(int(NO_ID)))).withColumn("tag", F.col("row").bitwiseAND(0xFFFFFFFF))
-    joined = keyed.join(by_row, ["doc", "tag"], "left").select("doc_id", "text", "starts", "ends")
-    return joined.mapInArrow(_cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    found = spans.select("doc", "tag").distinct()
+    if found.limit(max_broadcast_rows + 1).count() <= max_broadcast_rows:
+        # Only texts that lose something move.
+        hit, whole = (keyed.join(F.broadcast(found), ["doc", "tag"], how) for how in ("left_semi", "left_anti"))
+        cut = hit.join(by_row, ["doc", "tag"]).select("doc_id", "text", "starts", "ends").mapInArrow(_cut, KEPT)
+        size = F.octet_length("text").cast("bigint")
+        nothing = F.lit(0).cast("bigint")
+        return cut.union(whole.select("doc_id", size.alias("n_bytes"), nothing.alias("n_removed"), nothing.alias("n_spans"), F.col("text").alias("kept")))
+    return keyed.join(by_row, ["doc", "tag"], "left").select("doc_id", "text", "starts", "ends").mapInArrow(_cut, KEPT)
 
 
 def digests(removed: DataFrame) -> DataFrame:

@@ -39,9 +39,9 @@ def rows(words):
     return rows + [(44, "é" * 60), (45, "é" * 40), (None, shared), (None, words(40, 77)), (46, words(40, 77)), (47, "漢字" * 40)]
 
 
-@pytest.mark.parametrize("window", [50, 40])
-def test_removal_equals_brute_force(make_docs, rows, window):
-    got = Counter(tuple(r) for r in S.digests(S.remove_repeats(make_docs(rows), window)).collect())
+@pytest.mark.parametrize("window, broadcast", [(50, S.MAX_BROADCAST_ROWS), (40, 2)])
+def test_removal_equals_brute_force(make_docs, rows, window, broadcast):
+    got = Counter(tuple(r) for r in S.digests(S.remove_repeats(make_docs(rows), window, broadcast)).collect())
     assert got == brute(rows, window)
 
 
@@ -53,6 +53,7 @@ def test_edge_rows(make_docs):
 
 def test_small_blocks_and_buckets_change_nothing(make_docs, rows, monkeypatch):
     monkeypatch.setattr(S, "BUCKET_BYTES", 500)
+    monkeypatch.setattr(S, "CHUNK", 3)
     got = Counter(tuple(r) for r in S.digests(S.remove_repeats(make_docs(rows).repartition(7))).collect())
     assert got == brute(rows)
 
