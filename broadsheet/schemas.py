@@ -10,6 +10,9 @@ FEED_MEMBER = T.StructType(
         T.StructField("link", T.StringType()),
         T.StructField("path", T.StringType()),
         T.StructField("published", T.StringType()),
+        T.StructField("type", T.StringType()),
+        T.StructField("disabled_in_lists", T.BooleanType()),
+        T.StructField("category_id", T.IntegerType()),
         T.StructField("category", T.StructType([T.StructField("title", T.StringType())])),
         T.StructField(
             "author",

@@ -18,8 +18,15 @@ FEED_ORDER = ("page_no", "pos")
 
 
 def read_feed(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
-    """Landed feed pages ``(page, totalItems, member)``."""
-    return spark.read.schema(FEED_PAGE).option("multiLine", multiline).json(path)
+    """Landed feed pages ``(page, totalItems, member)``; see ``numbered``."""
+    return numbered(spark.read.schema(FEED_PAGE).option("multiLine", multiline).json(path))
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """Pages without a number take the last one in their file's name; with neither the job fails."""
+    named = F.nullif(F.regexp_extract("_metadata.file_name", r"([0-9]+)[^0-9]*$", 1), F.lit(""))
+    missing = F.raise_error(F.concat(F.lit("no page number: "), F.col("_metadata.file_name"))).cast("int")
+    return pages.withColumn("page", F.coalesce("page", named.try_cast("int"), missing))
 
 
 def feed_members(pages: DataFrame) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql.streaming import StreamingQuery
 from broadsheet.operators.feed import last_n_days
 from broadsheet.schemas import FEED_PAGE
 from broadsheet.site import Site
-from broadsheet.sources.feed import feed_members, valid_refs
+from broadsheet.sources.feed import feed_members, numbered, valid_refs
 
 
 def read_feed_stream(spark: SparkSession, landing: str, files_per_batch: int = 1000) -> DataFrame:
     """New feed pages as they land."""
     reader = spark.readStream.schema(FEED_PAGE).option("maxFilesPerTrigger", files_per_batch)
-    return reader.json(landing)
+    return numbered(reader.json(landing))
 
 
 def new_refs(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from broadsheet.operators import feed
 from broadsheet.site import Site
 from broadsheet.sources import cache, feed as source, listing
-from tests.feed_pages import PAGES, write_pages
+from tests.feed_pages import PAGES, member, write_pages
 
 UTC = timezone.utc
 WARSAW = ZoneInfo("Europe/Warsaw")
@@ -56,6 +56,22 @@ def test_members_and_refs(landed):
     ]
 
 
+def test_page_numbers_from_file_names(spark, tmp_path):
+    for name, page in (("posts_2", PAGES[0]), ("posts_10", PAGES[1])):
+        write_pages(str(tmp_path / "in"), name, [{k: v for k, v in page.items() if k != "page"}])
+    assert sorted(r["page"] for r in source.read_feed(spark, str(tmp_path / "in")).collect()) == [2, 10]
+    write_pages(str(tmp_path / "bad"), "unnumbered", [{"totalItems": 1, "member": []}])
+    with pytest.raises(Exception, match="no page number"):
+        source.read_feed(spark, str(tmp_path / "bad")).collect()
+
+
+def test_source_filter_follows_the_feed(spark, tmp_path):
+    rows = [member("kept", "/a", type="post", disabled_in_lists=False, category_id=None), member("hidden", "/b", type="post", disabled_in_lists=True)]
+    write_pages(str(tmp_path / "in"), "p1", [{"page": 1, "totalItems": 2, "member": rows}])
+    members = source.feed_members(source.read_feed(spark, str(tmp_path / "in")))
+    assert [r["title"] for r in source.feed_source_filter(members).collect()] == ["kept"]
+
+
 def test_window_horizon_and_first_wins(landed):
     pages = feed.page_horizon(landed)
     assert [r["page"] for r in pages.collect()] == [1, 2]
