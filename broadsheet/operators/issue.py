@@ -141,8 +141,8 @@ def author_index(
     rows = (
         chapters.withColumn("author", author_or_default(F.col("author")))
         .select("author", "title", "chapter_file", "published", "chapter_no")
-        .join(groups, "author")
     )
+    rows = join_dimension(rows, groups, "author")
     placed = global_positions(rows, ["author_pos", "published", "chapter_no"], "_no")
     placed = with_group_start(placed, "author_pos", "_no", "_start")
     return placed.select(
@@ -200,17 +200,19 @@ def chapter_content(
     return F.concat(F.lit(XHTML_OPEN), heading, F.lit(XHTML_BODY), parts, F.lit(XHTML_CLOSE))
 
 
-def chapter_documents(bodies: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+def chapter_places(chapters: DataFrame, groups: DataFrame) -> DataFrame:
+    """``(url, chapter_file, anchor)``: narrow rows, so that texts meet them by address only."""
+    named = chapters.select("url", "chapter_file", author_or_default(F.col("author")).alias("author"))
+    return join_dimension(named, groups.select("author", "anchor"), "author").drop("author")
+
+
+def chapter_documents(bodies: DataFrame) -> DataFrame:
     """``(path, category, content)`` of every article.
 
-    ``groups`` gives the anchors of the author index; without it they come from the name.
+    An ``anchor`` column gives the place in the author index; without it the name does.
     """
-    if groups is None:
+    if "anchor" not in bodies.columns:
         bodies = bodies.withColumn("anchor", author_anchor(F.col("author")))
-    else:
-        anchors = groups.select(F.col("author").alias("_author"), "anchor")
-        name = author_or_default(F.col("author"))
-        bodies = bodies.join(anchors, name == F.col("_author"), "left").drop("_author")
     parts = ("title", "author", "anchor", "excerpt", "body_html")
     content = chapter_content(*[F.col(c) for c in parts])
     return bodies.select(F.col("chapter_file").alias("path"), "category", content.alias("content"))

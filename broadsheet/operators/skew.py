@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from broadsheet.session import materialize
+
 # Bound of the list of heavy keys; it is broadcast whatever the data.
 MAX_HEAVY_KEYS = 1000
 # A dimension of short rows up to this size is broadcast; a larger one is shuffled.
@@ -37,7 +39,9 @@ def salted_join(
     """
     if heavy is None:
         return left.join(right, key)
-    marks = F.broadcast(heavy.select(key).distinct().withColumn("_heavy", F.lit(True)))
+    # both sides read the list, so it is written once
+    listed = materialize(heavy.select(key).distinct())
+    marks = F.broadcast(listed.withColumn("_heavy", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[c for c in left.columns if c != key]), F.lit(salts))
     salted_left = left.join(marks, key, "left").withColumn(
         "_salt", F.when(F.col("_heavy"), spread).otherwise(F.lit(0)).cast("int")
@@ -56,7 +60,10 @@ def salted_join(
 def join_dimension(
     left: DataFrame, dim: DataFrame, key: str, max_rows: int = MAX_BROADCAST_ROWS
 ) -> DataFrame:
-    """Inner join with a written dimension: broadcast while it is counted to be small."""
+    """Inner join with a written dimension: broadcast while it is counted to be small.
+
+    A larger one is shuffled, with the most frequent keys of ``left`` salted.
+    """
     if dim.limit(max_rows + 1).count() <= max_rows:
-        dim = F.broadcast(dim)
-    return left.join(dim, key)
+        return left.join(F.broadcast(dim), key)
+    return salted_join(left, dim, key, heavy_keys(left, key))

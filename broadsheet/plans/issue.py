@@ -7,12 +7,13 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from broadsheet.operators.assets import asset_manifest, asset_rewrite, judge_assets
-from broadsheet.operators.feed import first_wins, last_n_days
+from broadsheet.operators.feed import first_wins, last_n_days, require_rows
 from broadsheet.operators.issue import (
     assign_chapter_files,
     author_groups,
     author_index,
     chapter_documents,
+    chapter_places,
     group_by_category,
     issue_summary,
     issue_toc,
@@ -64,6 +65,8 @@ def build_issue(
     body texts move once, to meet them by address.
     """
     window = materialize(issue_window(refs, now, days, order))
+    if strict:
+        require_rows(window, "no article in the window")
     extracted = extract_window(window, pages, extract)
     cleaned, rejects = split_rejects(materialize(clean_pages(extracted, clean, site)), strict)
 
@@ -83,9 +86,7 @@ def build_issue(
     return {
         "toc": issue_toc(chapters),
         "author_index": author_index(chapters, groups),
-        "documents": chapter_documents(
-            bodies.join(chapters.select("url", "chapter_file"), "url"), groups
-        ),
+        "documents": chapter_documents(bodies.join(chapter_places(chapters, groups), "url")),
         "summary": issue_summary(window, cleaned, now, site),
         "assets": manifest,
         "rejects": rejects,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
@@ -48,7 +49,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         current = jsc.getCheckpointDir()
         if current.isDefined():
             return current.get()
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="broadsheet-")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
