@@ -2,12 +2,15 @@
 
 A text's word shingles that no template has cannot take part in a match, so the shingles are first
 met with the broadcast set of template shingles (``MAX_SHINGLES`` at most). What is left, few rows
-of texts with license-like passages, is filed under overlapping windows of ``WINDOW`` shingle
-positions, at half-window steps: any passage of up to half a window lies whole in one of them.
+of texts with license-like passages, is filed under overlapping windows at half-window steps: any
+passage of up to half a window lies whole in one of them. Templates fall into classes by length, and
+each class has its own windows: ``WINDOW`` shingle positions for notices of up to half of that, twice
+as many for texts up to twice as long, and so on, so that a window is at least twice its template.
+Windows with fewer shingles than the shortest template of the class needs are dropped.
 A window's minima over its shingles form ``BANDS`` bands of one row, so a window of similarity s to
-a template retrieves it with probability 1 - (1 - s)^BANDS. A lone notice is at s = 0.8 or more; even
-at s = 0.1, where the window holds ten times the notice in words of other templates, the chance to
-miss it is 1e-6. Retrieved templates are verified by the exact share of their shingles that the
+a template retrieves it with probability 1 - (1 - s)^BANDS. A lone license is at s = 0.8 or more; even
+at s = 0.1, where the window holds ten times the license in words of others of its class, the chance
+to miss it is 1e-6. Retrieved templates are verified by the exact share of their shingles that the
 window contains.
 
 Defined cases: null text has no words; a template needs at least one shingle; equal shingles in a
@@ -18,11 +21,15 @@ give no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import cache
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.llm.secrets import row_key
 
 SHINGLE = 3
+#: Positions in a window of the shortest class, for templates of up to half as many.
 WINDOW = 64
 BANDS = 128
 PERCENT = 80
@@ -37,6 +44,15 @@ TEMPLATES = {
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "mit": "Released under the MIT License.",
 }
+#: Whole license texts, as files of the package.
+TEXTS = "license_texts"
+
+
+@cache
+def full_texts() -> dict[str, str]:
+    """Whole license texts by name."""
+    found = (f for f in files("broadsheet.llm").joinpath(TEXTS).iterdir() if f.name.endswith(".txt"))
+    return {f"{f.name.removesuffix('.txt')}-text": f.read_text("utf-8") for f in found}
 
 
 def words_of(text: Column) -> Column:
@@ -60,14 +76,19 @@ def template_table(spark: SparkSession, templates: dict[str, str] | None = None)
     return spark.createDataFrame(sorted((templates or TEMPLATES).items()), "template string, text string")
 
 
-def banded(sets: DataFrame, key: str) -> DataFrame:
-    """``key`` and ``band`` of every set: for each band the minimum of its seeded hash over the shingles."""
-    return (
-        sets.select(key, "shingle", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("number"))
-        .groupBy(key, "number")
-        .agg(F.min(F.xxhash64("number", "shingle")).alias("least"))
-        .select(key, F.xxhash64("number", "least").alias("band"))
-    )
+def banded(shingles: Column) -> Column:
+    """Bands of a set of shingles: for each band the minimum of its seeded hash over the set."""
+
+    def band(number: Column) -> Column:
+        return F.xxhash64(number, F.array_min(F.transform(shingles, lambda s: F.xxhash64(number, s))))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), band)
+
+
+def half_window(n: Column) -> Column:
+    """Step of the windows for templates of ``n`` positions: the next power of two, ``WINDOW // 2`` at least."""
+    least = (WINDOW // 2 - 1).bit_length()
+    return F.pow(F.lit(2), F.greatest(F.length(F.bin(n - 1)), F.lit(least))).cast("bigint")
 
 
 def scan(documents: DataFrame, templates: DataFrame, percent: int = PERCENT, max_shingles: int = MAX_SHINGLES) -> DataFrame:
@@ -77,10 +98,11 @@ def scan(documents: DataFrame, templates: DataFrame, percent: int = PERCENT, max
             F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
         )
     )
-    known = templates.select("template", F.explode(shingles_of(words_of(F.col("text")))).alias("s")).select(
-        "template", _hash().alias("shingle")
-    ).distinct()
-    wanted = known.select("shingle").distinct()
+    spelled = templates.select("template", shingles_of(words_of(F.col("text"))).alias("all")).where(F.size("all") > 0)
+    halves = spelled.groupBy("template").agg(half_window(F.sum(F.size("all"))).alias("half"))
+    known = spelled.select("template", F.explode("all").alias("s")).select("template", _hash().alias("shingle")).join(halves, "template")
+    sets = known.groupBy("half", "template").agg(F.collect_set("shingle").alias("own"))
+    wanted = known.select("half", "shingle").distinct()
     if wanted.limit(max_shingles + 1).count() <= max_shingles:
         wanted = F.broadcast(wanted)
     placed = (
@@ -88,32 +110,35 @@ def scan(documents: DataFrame, templates: DataFrame, percent: int = PERCENT, max
         .select("row_key", "pos", _hash().alias("shingle"))
         .join(wanted, "shingle")
     )
-    half = WINDOW // 2
-    block = F.floor(F.col("pos") / half)
+    block = F.floor(F.col("pos") / F.col("half"))
     # Position p lies in the windows that start at its half-window and at the one before.
     windows = (
-        placed.select("row_key", "shingle", "pos", F.explode(F.array(block, block - 1)).alias("window"))
-        .where((F.col("window") >= 0) | (F.col("pos") < half) & (F.col("window") == 0))
-        .groupBy("row_key", "window", "shingle")
+        placed.select("row_key", "half", "shingle", "pos", F.explode(F.array(block, block - 1)).alias("window"))
+        .where(F.col("window") >= 0)
+        .groupBy("row_key", "half", "window", "shingle")
         .agg(F.min("pos").alias("pos"))
     )
     # A window that many documents copy is compared once: its shingles are its name.
-    named = windows.groupBy("row_key", "window").agg(
-        F.sort_array(F.collect_set("shingle")).alias("shingles"), F.min("pos").alias("pos")
+    shortest = sets.groupBy("half").agg(F.min(F.size("own")).alias("shortest"))
+    named = (
+        windows.groupBy("row_key", "half", "window")
+        .agg(F.sort_array(F.collect_set("shingle")).alias("shingles"), F.min("pos").alias("pos"))
+        .join(F.broadcast(shortest), "half")
+        .where(100 * F.size("shingles") >= percent * F.col("shortest"))
+        .select("row_key", "half", "shingles", "pos")
     )
-    distinct = named.select("shingles").distinct()
-    window_bands = banded(distinct.select("shingles", F.explode("shingles").alias("shingle")), "shingles")
-    template_bands = banded(known, "template")
-    sets = known.groupBy("template").agg(F.collect_set("shingle").alias("own"))
-    retrieved = window_bands.join(template_bands, "band").select("shingles", "template").distinct()
+    distinct = named.select("half", "shingles").distinct()
+    window_bands = distinct.select("half", "shingles", F.explode(F.array_distinct(banded(F.col("shingles")))).alias("band"))
+    template_bands = sets.select("half", "template", F.explode(F.array_distinct(banded(F.col("own")))).alias("band"))
+    retrieved = window_bands.join(template_bands, ["half", "band"]).select("half", "shingles", "template").distinct()
     share = F.size(F.array_intersect("shingles", "own"))
     verified = (
-        retrieved.join(sets, "template")
-        .select("shingles", "template", share.alias("n_match"), F.size("own").alias("n_template"))
+        retrieved.join(sets, ["half", "template"])
+        .select("half", "shingles", "template", share.alias("n_match"), F.size("own").alias("n_template"))
         .where(100 * F.col("n_match") >= percent * F.col("n_template"))
     )
     best = (
-        named.join(verified, "shingles")
+        named.join(verified, ["half", "shingles"])
         .groupBy("row_key", "template")
         .agg(F.max(F.struct("n_match", (-F.col("pos")).alias("before"), "n_template")).alias("b"))
     )
@@ -137,7 +162,7 @@ def _sql_shingles(key: str, table: str) -> str:
 
 
 _LIST = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
-#: DuckDB SQL for the query's rows: every window against every template.
+#: DuckDB SQL for the query's rows of notices: every window against every template.
 SQL = f"""
 WITH t(template, text) AS (VALUES {_LIST}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),

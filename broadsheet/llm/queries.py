@@ -47,7 +47,7 @@ ORACLE["op2_warc_derivatives"] = warc.SQL
 
 @query
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark))
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.template_table(spark, licenses.TEMPLATES | licenses.full_texts()))
 
 
 ORACLE["op3_license_scan"] = licenses.SQL
