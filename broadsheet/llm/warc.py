@@ -9,13 +9,20 @@ Defined cases: a null or empty payload gives records with empty text; a null hea
 or record id stays null and its line is left out of the serialized record; without a source digest
 the payload's own is taken; records of other types are skipped; an element that is never closed
 reaches to the end of the page; repeated responses each give their records; an empty table gives
-none; extra columns are ignored.
+none; extra columns are ignored. Character references of the text are decoded as HTML 5 reads them,
+in one pass, and a no-break space that is written as one becomes a blank; the title field keeps its
+references as they are written.
 """
 
 from __future__ import annotations
 
+from html import unescape
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from broadsheet.functions.text import _code_point, _literal_map, let
+
 #: Date of records whose source table has none.
 NO_DATE = "1970-01-01T00:00:00Z"
 #: Fixed patterns, in the order they are applied.
@@ -26,7 +33,15 @@ BLOCK_TAG = (
     r"|hr|html|li|main|nav|ol|option|p|pre|section|table|tbody|td|tfoot|th|thead|title|tr|ul)(?:[\s/][^>]*)?>"
 )
 TAG = r"</?[A-Za-z!?][^>]*>"
+#: The references of the SQL; the query looks them up first and knows all others too.
 ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+#: A reference to U+00A0 by name or number.
+BLANK = r"&(?:nbsp;?|#0*160(?![0-9]);?|#[xX]0*[aA]0(?![0-9a-fA-F]);?)"
+#: Names that end without a semicolon too, longer ones first: the rest of a word may follow.
+OPEN_NAME = "^&(" + "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))) + ")"
+REFERENCE = r"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|&"
+#: Low numbers, of which some stand for another character than their own or for none.
+LOW_NUMBER = {str(n): unescape(f"&#{n};") for n in range(0xA0)}
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
 LINK = r"(?i)<a\s[^>]*href"
 
@@ -35,14 +50,52 @@ def hidden(name: str) -> str:
     return rf"(?is)<{name}(?:\s[^>]*)?>.*?(?:</{name}\s*>|\z)"
 
 
+def references(text: Column) -> Column:
+    """Character references decoded as ``html.unescape`` does."""
+
+    def named(tok: Column) -> Column:
+        start = F.regexp_extract(tok, OPEN_NAME, 1)
+        open_one = F.concat(F.try_element_at(_literal_map(html5), start), F.substr(tok, F.length(start) + 2))
+        return F.coalesce(F.try_element_at(_literal_map(html5), F.substr(tok, F.lit(2))), F.when(start != "", open_one), tok)
+
+    def numbered(digits: Column, base: int) -> Column:
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+
+        def char(n: Column) -> Column:
+            nothing = n.between(0xFDD0, 0xFDEF) | (n % 0x10000 >= 0xFFFE)
+            return (
+                F.when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd")
+                .when(n < 0xA0, F.try_element_at(_literal_map(LOW_NUMBER), n.cast("string")))
+                .when(nothing, "")
+                .otherwise(_code_point(n))
+            )
+
+        return let(F.when(F.length(short) <= 7, F.conv(short, base, 10).cast("bigint")), char)
+
+    def one(tok: Column) -> Column:
+        common = F.when(~tok.startswith("&"), tok)
+        for entity, character in ENTITIES:
+            common = common.when(tok == entity, F.lit(character))
+        return (
+            common.when(tok.rlike("^&#[0-9]"), numbered(F.regexp_extract(tok, "([0-9]+)", 1), 10))
+            .when(tok.rlike("^&#[xX]"), numbered(F.regexp_extract(tok, "^&#[xX]([0-9a-fA-F]+)", 1), 16))
+            .otherwise(named(tok))
+        )
+
+    def decoded(value: Column) -> Column:
+        joined = F.array_join(F.transform(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0)), one), "")
+        return F.when(value.contains("&"), joined).otherwise(value)
+
+    return let(text, decoded)
+
+
 def plain_text(html: Column) -> Column:
     """Text of a page: comments and hidden elements gone, block tags as line ends, tags dropped."""
     text = F.regexp_replace(html, COMMENT, "")
     for name in HIDDEN:
         text = F.regexp_replace(text, hidden(name), "")
     text = F.regexp_replace(F.regexp_replace(text, BLOCK_TAG, "\n"), TAG, "")
-    for entity, character in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(character))
+    text = references(F.regexp_replace(text, BLANK, " "))
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(text, r" ?\n[ \n]*", "\n"), r"\A\n+|\n+\z", ""))
 
