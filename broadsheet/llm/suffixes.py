@@ -90,19 +90,25 @@ def pieces(data: bytes, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return np.repeat(text, parts), begin, finish, low[begin]
 
 
+OF_CONTENT = (("low", np.uint32), ("size", np.uint8))
+OF_OCCURRENCE = (("doc", np.int64), ("row", np.uint32), ("start", np.int32), ("which", np.int32))
+
+
 def _pack(**arrays) -> bytes:
-    n = len(arrays["low"])
-    body = b"".join([np.int32(n).tobytes(), *(arrays[k].tobytes() for k in ("low", "doc", "row", "start", "size")), arrays["content"]])
+    """Occurrences (``doc``, ``row``, ``start``, ``which``) of distinct contents (``low``, ``size``, ``content``)."""
+    counts = np.array([len(arrays["low"]), len(arrays["doc"])], np.int32)
+    body = b"".join([counts.tobytes(), *(arrays[k].tobytes() for k, _ in (*OF_CONTENT, *OF_OCCURRENCE)), arrays["content"]])
     return zstandard.ZstdCompressor(level=3).compress(body)
 
 
 def _unpack(payload: bytes) -> dict:
     body = zstandard.ZstdDecompressor().decompress(payload)
-    n = int(np.frombuffer(body, np.int32, 1)[0])
-    at, out = 4, {}
-    for name, kind in (("low", np.uint32), ("doc", np.int64), ("row", np.uint32), ("start", np.int32), ("size", np.uint8)):
-        out[name] = np.frombuffer(body, kind, n, at)
-        at += n * np.dtype(kind).itemsize
+    counts = np.frombuffer(body, np.int32, 2)
+    at, out = 8, {}
+    for names, n in zip((OF_CONTENT, OF_OCCURRENCE), counts.tolist()):
+        for name, kind in names:
+            out[name] = np.frombuffer(body, kind, n, at)
+            at += n * np.dtype(kind).itemsize
     out["doc"] = np.cumsum(out["doc"])
     out["content"] = body[at:]
     return out
@@ -122,8 +128,12 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[at], start[at], (reach - shift)[np.append(at[1:], len(row)) - 1]
 
 
-def file_pieces(n_buckets: int, window: int):
-    """Mapper: blocks of texts to packed pieces by bucket, and spans that are settled already."""
+def file_pieces(n_buckets: int, window: int, groups: bool = False):
+    """Mapper: blocks of texts to packed pieces by bucket, and spans that are settled already.
+
+    With ``groups``, settled pieces send their occurrences too; a content leaves the block once
+    all the same.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,22 +157,24 @@ def file_pieces(n_buckets: int, window: int):
                 out_bucket, out_payload = [], []
                 done = np.flatnonzero(settled)
                 spans = merged(text[done], start[done], start[done] + finish[done] - begin[done])
-                ship = np.flatnonzero(~settled)
+                ship = np.arange(len(text)) if groups else np.flatnonzero(~settled)
                 bucket = ((low[ship] >> np.uint64(20)) % np.uint64(n_buckets)).astype(np.int64)
                 ranked = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[ranked]) != 0)) if len(ranked) else []
                 for a, b in zip(cuts, [*cuts[1:], len(ranked)]):
                     part = ship[ranked[a:b]]
                     doc = docs[text[part]]
+                    leads, which = np.unique(first[part], return_inverse=True)
                     out_bucket.append(int(bucket[ranked[a]]))
                     out_payload.append(
                         _pack(
-                            low=(low[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+                            low=(low[leads] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
                             doc=np.diff(doc, prepend=np.int64(0)),
                             row=rows[text[part]].astype(np.uint32),
                             start=start[part].astype(np.int32),
-                            size=(finish[part] - begin[part]).astype(np.uint8),
-                            content=b"".join([content[i] for i in part.tolist()]),
+                            size=(finish[leads] - begin[leads]).astype(np.uint8),
+                            which=which.astype(np.int32),
+                            content=b"".join([content[i] for i in leads.tolist()]),
                         )
                     )
                 if len(spans[0]):
@@ -305,6 +317,29 @@ def _interval_spans(tree: tuple, least: np.ndarray, first: np.ndarray, by_conten
         a = b
 
 
+def _occurrences(found: list[tuple], distinct: list[bytes], least, first, by_content, doc, row, start):
+    """Columns of all groups in several documents: intervals, and whole pieces that no interval has."""
+    most = np.full(len(distinct), -1)
+    np.maximum.at(most, np.repeat(np.arange(len(distinct)), np.diff(first)), doc[by_content])
+    whole = {(n, c) for n, where, offset in found for c, o in zip(where.tolist(), offset.tolist()) if o == 0 and n == len(distinct[c])}
+    alone = [c for c in np.flatnonzero(least < most).tolist() if (len(distinct[c]), c) not in whole]
+    found = [*found, *((len(distinct[c]), np.array([c]), np.array([0])) for c in alone)]
+
+    def columns(bucket: int) -> list[np.ndarray]:
+        parts = [np.zeros((5, 0), np.int64)]
+        for number, (length, where, offset) in enumerate(found):
+            if least[where].min() == most[where].max():
+                continue
+            counts = first[where + 1] - first[where]
+            at = by_content[_spread(first[where], counts)]
+            # Rows repeated in several blocks are one occurrence.
+            places = np.unique(np.stack([doc[at], row[at], start[at] + np.repeat(offset, counts)]), axis=1)
+            parts.append(np.vstack([np.full((1, places.shape[1]), bucket << 32 | number), np.full((1, places.shape[1]), length), places]))
+        return list(np.concatenate(parts, axis=1))
+
+    return columns
+
+
 def settle(window: int, groups: bool = False):
     """Reducer of one bucket: spans to remove, or with ``groups`` the maximal repeats themselves."""
 
@@ -317,18 +352,23 @@ def settle(window: int, groups: bool = False):
         spans = [[k[0], k[1] & 0xFFFFFFFF, k[2], k[3]] for k in known]
         found: list[tuple] = []
         if payloads:
-            low, doc, row, start, size = (np.concatenate([p[k] for p in payloads]) for k in ("low", "doc", "row", "start", "size"))
+            low, size, doc, row, start = (np.concatenate([p[k] for p in payloads]) for k in ("low", "size", "doc", "row", "start"))
+            heads = np.cumsum([0] + [len(p["low"]) for p in payloads])
+            which = np.concatenate([p["which"].astype(np.int64) + head for p, head in zip(payloads, heads)])
             blob = b"".join([p["content"] for p in payloads])
-            end = np.cumsum(size, dtype=np.int64)
+            end = np.cumsum(size, dtype=np.int64)[which]
+            low, size = low[which], size[which]
             # Grams that only one document has are done.
             order = np.argsort(low, kind="stable")
             edge = np.flatnonzero(np.append(True, np.diff(low[order].astype(np.int64)) != 0))
             several = np.minimum.reduceat(doc[order], edge) < np.maximum.reduceat(doc[order], edge)
             shared = order[np.repeat(several, np.diff(np.append(edge, len(order))))]
             if len(shared):
-                texts_of = [blob[b - s : b] for b, s in zip(end[shared].tolist(), size[shared].tolist())]
                 seen: dict[bytes, int] = {}
-                content = np.fromiter((seen.setdefault(t, len(seen)) for t in texts_of), np.int64, len(texts_of))
+                sent, at = np.unique(which[shared], return_index=True)
+                bounds = zip(end[shared][at].tolist(), size[shared][at].tolist())
+                number = np.fromiter((seen.setdefault(blob[b - s : b], len(seen)) for b, s in bounds), np.int64, len(sent))
+                content = number[np.searchsorted(sent, which[shared])]
                 distinct = list(seen)
                 doc, row, start, size, low = doc[shared], row[shared].astype(np.int64), start[shared].astype(np.int64), size[shared].astype(np.int64), low[shared]
                 least = np.full(len(distinct), NO_ID)
@@ -343,9 +383,6 @@ def settle(window: int, groups: bool = False):
                 mixed = np.flatnonzero(times[which] > 1)
                 by_content = np.argsort(content, kind="stable")
                 first = np.searchsorted(content[by_content], np.arange(len(distinct) + 1))
-                if groups:
-                    for c in np.flatnonzero(times[which] == 1):
-                        found.append((len(distinct[c]), np.array([c]), np.array([0])))
                 if len(mixed):
                     pieces_of = [distinct[i] for i in mixed]
                     if groups:
@@ -356,12 +393,8 @@ def settle(window: int, groups: bool = False):
                             tree = length, low_end, high_end, mixed[piece], offset
                             spans += _interval_spans(tree, least, first, by_content, doc, row, start)
                 if groups:
-                    out = []
-                    for number, (length, where, offset) in enumerate(found):
-                        for w, o in zip(where, offset):
-                            for at in by_content[first[w] : first[w + 1]]:
-                                out.append((int(frame["bucket"].iloc[0]) << 32 | number, length, doc[at], row[at], start[at] + o))
-                    return pd.DataFrame(out, columns=GROUP_COLUMNS) if out else empty()
+                    out = _occurrences(found, distinct, least, first, by_content, doc, row, start)
+                    return pd.DataFrame({k: v for k, v in zip(GROUP_COLUMNS, out(int(frame["bucket"].iloc[0])))})
         if groups or not spans:
             return empty()
         doc, row, begin, finish = (np.concatenate([s[k] for s in spans]) for k in range(4))
@@ -387,19 +420,18 @@ def _rows(documents: DataFrame) -> DataFrame:
     return rows.select("doc_id", row.alias("row"), F.col("text").cast("binary").alias("text"))
 
 
-def _filed(rows: DataFrame, window: int) -> DataFrame:
+def _filed(rows: DataFrame, window: int, groups: bool = False) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_BYTES))
-    return rows.mapInArrow(file_pieces(n_buckets, window), "bucket int, payload binary, settled binary")
+    return rows.mapInArrow(file_pieces(n_buckets, window, groups=groups), "bucket int, payload binary, settled binary")
 
 
 def repeat_groups(documents: DataFrame, window: int = WINDOW) -> DataFrame:
     """Maximal repeats that lie in at least two documents, one row for each occurrence.
 
-    Occurrences settled before the shuffle are left out: each block sends a piece once, for its
-    smallest document. ``tag`` tells rows of one id apart.
+    ``tag`` tells rows of one id apart.
     """
-    return _filed(_rows(documents), window).groupBy("bucket").applyInPandas(
+    return _filed(_rows(documents), window, groups=True).groupBy("bucket").applyInPandas(
         settle(window, groups=True), "repeat_id bigint, length bigint, doc bigint, tag bigint, start bigint"
     )
 

@@ -85,3 +85,38 @@ def test_groups_list_all_occurrences(make_docs, words):
     for r in S.repeat_groups(docs).collect():
         found[r.repeat_id].add(r.doc)
     assert any(docs_of == set(range(5)) for docs_of in found.values())
+
+
+def brute_groups(rows, window=50):
+    """Maximal repeats inside pieces by trying every substring."""
+    of_gram = defaultdict(list)
+    for doc, text in dict.fromkeys(rows):
+        data = text.encode()
+        for _, a, b, low in zip(*S.pieces(data, np.array([0, len(data)]), window)):
+            of_gram[int(low)].append((doc, int(a), data[a:b]))
+    out = Counter()
+    for found in of_gram.values():
+        where = defaultdict(list)
+        for p, (_, _, piece) in enumerate(found):
+            for a in range(len(piece) - window + 1):
+                for b in range(a + window, len(piece) + 1):
+                    where[piece[a:b]].append((p, a))
+        for text, at in where.items():
+            right = {found[p][2][a + len(text) : a + len(text) + 1] or p for p, a in at}
+            left = {found[p][2][a - 1 : a] if a else (p, a) for p, a in at}
+            places = frozenset((found[p][0], found[p][1] + a) for p, a in at)
+            if len(right) > 1 and len(left) > 1 and len({d for d, _ in places}) > 1:
+                out[(len(text), places)] += 1
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_groups_with_exact_copies_equal_brute_force(make_docs, words, partitions):
+    shared = words(30, 1)
+    rows = [(k, words(20, 10 + k % 3) + " " + shared + " " + words(15, 50 + k % 4)) for k in range(12)]
+    rows += [(42, words(60, 7)), (43, words(60, 7)), (44, "x" + words(60, 7)), (45, "é" * 40), (46, shared)]
+    groups = defaultdict(list)
+    for r in S.repeat_groups(make_docs(rows).repartition(partitions)).collect():
+        groups[r.repeat_id, r.length].append((r.doc, r.start))
+    assert all(len(set(at)) == len(at) for at in groups.values())
+    assert Counter((length, frozenset(at)) for (_, length), at in groups.items()) == brute_groups(rows)
