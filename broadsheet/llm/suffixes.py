@@ -2,8 +2,11 @@
 
 A string of ``window`` bytes that two texts share must contain the same least gram (by hash), so
 every window is filed under its least gram: a text becomes pieces, maximal runs of windows with
-one least gram, and equal windows of any two texts meet in one bucket. A bucket holds about
-``bucket_bytes`` of text whatever the corpus is. Before the shuffle, a piece that occurs in
+one least gram, and equal windows of any two texts meet in one bucket. There is a bucket for each
+``BUCKET_BYTES`` of the corpus. The text of each gram is counted first; windows of a gram with more
+than ``BUCKET_BYTES`` are filed under their next-least gram too, and so on, at last under a hash of
+the whole window: equal windows share all of these. What cannot be split are equal windows, which
+each block sends once. Before the shuffle, a piece that occurs in
 several documents of a block leaves it once, for the smallest document; for the others the
 verdict is known already and they only send a span.
 
@@ -37,12 +40,18 @@ GRAM = 8
 RUN = 79
 BLOCK_BYTES = 4_000_000
 BUCKET_BYTES = 2_000_000
+#: Next-least grams that hot windows are filed under before the hash of the whole window.
+LEVELS = 6
+#: Hot keys every worker holds at most, those with most text.
+MAX_HOT = 1_000_000
 #: Rows with spans whose keys are broadcast at most; with more, all texts meet the spans by shuffle.
 MAX_BROADCAST_ROWS = 500_000
 #: Suffixes put out at a time.
 CHUNK = 500_000
 #: Stands for a null id.
 NO_ID = np.iinfo(np.int64).max
+#: Stands for a window without a further gram.
+NO_GRAM = np.iinfo(np.uint64).max
 
 
 def gram_hashes(data: bytes, size: int = GRAM) -> np.ndarray:
@@ -90,6 +99,100 @@ def pieces(data: bytes, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.n
     return np.repeat(text, parts), begin, finish, low[begin]
 
 
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    h = (a ^ (b + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _split(data: bytes, begin: np.ndarray, finish: np.ndarray, key: np.ndarray, least: np.ndarray, level: int, window: int):
+    """Runs of windows of pieces that share one further key: piece number, start, end, key and least gram.
+
+    ``least`` is the greatest gram used so far; at ``LEVELS`` the window's own hash is the key.
+    """
+    size = finish - begin
+    blob = b"".join([data[a:b] for a, b in zip(begin.tolist(), finish.tolist())])
+    h = gram_hashes(blob)
+    heads, counts = np.cumsum(size) - size, size - window + 1
+    at = _spread(heads, counts)
+    if level < LEVELS:
+        h[h <= np.repeat(least, size)[: len(h)]] = NO_GRAM
+        low, width, need = h, 1, window - GRAM + 1
+        while 2 * width <= need:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        further = np.minimum(low[at], low[at + need - width])
+    else:
+        further = h[at]
+        for k in [*range(GRAM, window - GRAM, GRAM), window - GRAM]:
+            further = _mixed(further, h[at + k])
+    owner = np.repeat(np.arange(len(size)), counts)
+    new = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (further[1:] != further[:-1])))
+    runs = np.diff(np.append(new, len(at)))
+    piece = owner[new]
+    start = begin[piece] + at[new] - heads[piece]
+    return piece, start, start + runs + window - 1, _mixed(key[piece], further[new]), further[new]
+
+
+def refiled(data: bytes, text, begin, finish, low, hot: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Pieces with those of hot keys (sorted) cut by further keys until no key is hot."""
+    done, key, least = [], low, low
+    for level in range(LEVELS + 1):
+        at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
+        again = hot[at] == key
+        done.append((text[~again], begin[~again], finish[~again], key[~again]))
+        text = text[again]
+        if not len(text):
+            break
+        piece, begin, finish, key, least = _split(data, begin[again], finish[again], key[again], least[again], level, window)
+        text = text[piece]
+    else:
+        done.append((text, begin, finish, key))
+    return tuple(np.concatenate([d[k] for d in done]) for k in range(4))
+
+
+def count_keys(share: float, window: int):
+    """Mapper: keys, of whatever level, that have more than a share of a block's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, BLOCK_BYTES):
+                body = texts(block)
+                offsets = np.concatenate([[0], np.cumsum([len(t) for t in body])]).astype(np.int64)
+                data = b"".join(body)
+                _, begin, finish, key = pieces(data, offsets, window)
+                least, keys, sizes = key, [], []
+                for level in range(LEVELS + 1):
+                    if not len(key):
+                        break
+                    names, which = np.unique(key, return_inverse=True)
+                    size = np.bincount(which, finish - begin).astype(np.int64)
+                    heavy = size > share * len(data)
+                    keys.append(names[heavy].view(np.int64))
+                    sizes.append(size[heavy])
+                    again = heavy[which]
+                    if level == LEVELS or not again.any():
+                        break
+                    _, begin, finish, key, least = _split(data, begin[again], finish[again], key[again], least[again], level, window)
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sizes))], ["key", "size"])
+
+    return run
+
+
+def hot_keys(rows: DataFrame, total: int, window: int) -> np.ndarray:
+    """Keys with more than ``BUCKET_BYTES`` of text, sorted.
+
+    A block leaves out keys with less than its share of half a bucket, so all blocks together miss
+    less than half a bucket of any key. Whichever keys are taken, the result is the same.
+    """
+    counted = rows.mapInArrow(count_keys(BUCKET_BYTES / (2 * total), window), "key bigint, size bigint")
+    hot = counted.groupBy("key").agg(F.sum("size").alias("size")).where(F.col("size") > BUCKET_BYTES // 2)
+    found = hot.orderBy(F.desc("size")).limit(MAX_HOT).select("key").toArrow().column("key").to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
 OF_CONTENT = (("low", np.uint32), ("size", np.uint8))
 OF_OCCURRENCE = (("doc", np.int64), ("row", np.uint32), ("start", np.int32), ("which", np.int32))
 
@@ -128,11 +231,11 @@ def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return row[at], start[at], (reach - shift)[np.append(at[1:], len(row)) - 1]
 
 
-def file_pieces(n_buckets: int, window: int, groups: bool = False):
+def file_pieces(n_buckets: int, window: int, hot: np.ndarray | None = None, groups: bool = False):
     """Mapper: blocks of texts to packed pieces by bucket, and spans that are settled already.
 
     With ``groups``, settled pieces send their occurrences too; a content leaves the block once
-    all the same.
+    all the same. ``hot`` are the keys whose windows are filed under a further key.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,6 +252,8 @@ def file_pieces(n_buckets: int, window: int, groups: bool = False):
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in body])]).astype(np.int64)
                 data = b"".join(body)
                 text, begin, finish, low = pieces(data, offsets, window)
+                if hot is not None and len(hot):
+                    text, begin, finish, low = refiled(data, text, begin, finish, low, hot, window)
                 content = [data[a:b] for a, b in zip(begin.tolist(), finish.tolist())]
                 seen: dict[bytes, int] = {}
                 first = np.fromiter((seen.setdefault(c, i) for i, c in enumerate(content)), np.int64, len(content))
@@ -178,7 +283,8 @@ def file_pieces(n_buckets: int, window: int, groups: bool = False):
                         )
                     )
                 if len(spans[0]):
-                    out_bucket.append(int(rows[0]) % n_buckets)
+                    # Any bucket will do; ids spread the blocks.
+                    out_bucket.append((int(docs[0]) * 31 + int(docs[-1]) * 17 + int(rows[0])) % n_buckets)
                     out_payload.append(None)
                 k = len(spans[0])
                 packed = [None] * (len(out_payload) - bool(k))
@@ -423,7 +529,8 @@ def _rows(documents: DataFrame) -> DataFrame:
 def _filed(rows: DataFrame, window: int, groups: bool = False) -> DataFrame:
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, -(-total // BUCKET_BYTES))
-    return rows.mapInArrow(file_pieces(n_buckets, window, groups=groups), "bucket int, payload binary, settled binary")
+    hot = hot_keys(rows, total, window) if n_buckets > 1 else None
+    return rows.mapInArrow(file_pieces(n_buckets, window, hot, groups), "bucket int, payload binary, settled binary")
 
 
 def repeat_groups(documents: DataFrame, window: int = WINDOW) -> DataFrame:

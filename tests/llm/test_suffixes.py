@@ -120,3 +120,44 @@ def test_groups_with_exact_copies_equal_brute_force(make_docs, words, partitions
         groups[r.repeat_id, r.length].append((r.doc, r.start))
     assert all(len(set(at)) == len(at) for at in groups.values())
     assert Counter((length, frozenset(at)) for (_, length), at in groups.items()) == brute_groups(rows)
+
+
+def hot_rows(words):
+    """One gram, the least of all, in every document, with other words around it."""
+    pool = [words(3, k).replace(" ", "")[:8].ljust(8, "q") for k in range(500)]
+    hot = min(pool, key=lambda w: int(S.gram_hashes(w.encode())[0]))
+    lines = [f"{words(9, 100 + k % 150)} {hot} {words(9, 500 + k % 130)}" for k in range(300)]
+    return list(enumerate(lines))
+
+
+def test_hot_grams_are_split(make_docs, words, monkeypatch):
+    monkeypatch.setattr(S, "BUCKET_BYTES", 4_000)
+    rows = hot_rows(words)
+    docs = S._rows(make_docs(rows).repartition(3)).cache()
+    total = sum(len(t) for _, t in rows)
+    text = [t.encode() for _, t in rows]
+    data, offsets = b"".join(text), np.concatenate([[0], np.cumsum([len(t) for t in text])]).astype(np.int64)
+    plain = S.pieces(data, offsets)
+
+    def most(filed):
+        contents = {(int(low), data[a:b]) for _, a, b, low in zip(*filed)}
+        sizes = Counter()
+        for low, content in contents:
+            sizes[low] += len(content)
+        return max(sizes.values())
+
+    hot = S.hot_keys(docs, total, 50)
+    split = S.refiled(data, *plain, hot, 50)
+    assert most(plain) > S.BUCKET_BYTES >= most(split)
+    # Every window is filed once, and equal windows under one key.
+    def windows(filed):
+        return Counter((int(t), k) for t, a, b, _ in zip(*filed) for k in range(a, b - 49))
+
+    assert windows(plain) == windows(split)
+    keys = defaultdict(set)
+    for _, a, b, low in zip(*split):
+        for k in range(a, b - 49):
+            keys[data[k : k + 50]].add(int(low))
+    assert all(len(k) == 1 for k in keys.values())
+    got = Counter(tuple(r) for r in S.digests(S.remove_repeats(make_docs(rows).repartition(3))).collect())
+    assert got == brute(rows)
