@@ -58,11 +58,11 @@ def importable(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, **options: object) -> DataFrame:
     """``df`` written once as Parquet in the shared checkpoint folder and read back.
 
-    Cuts the lineage, survives lost executors, and later steps read the columns they need.
+    ``options`` go to the writer. Cuts the lineage, survives lost executors, and later steps read the columns they need.
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/written-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

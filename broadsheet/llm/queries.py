@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import bpe, decontaminate, licenses, lm, near, quality, secrets, sharding, simhash, suffixes, warc
+from broadsheet.llm import alignment, bpe, decontaminate, licenses, lm, near, quality, secrets, sharding, simhash, suffixes, warc
 from broadsheet.llm.batches import importable
 from broadsheet.session import configure
 
@@ -16,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 SHARDS = [f"shard-{i:02d}" for i in range(64)]
+BYTE_LEVEL, PIECES = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -98,3 +99,8 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES)
