@@ -8,7 +8,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from broadsheet.llm import alignment, bpe, decontaminate, licenses, lm, near, quality, secrets, sharding, simhash, suffixes, warc
+from broadsheet.llm import alignment, bpe, decontaminate, licenses, lm, merkle, near, quality, secrets, sharding, simhash, suffixes, warc
 from broadsheet.llm.batches import importable
 from broadsheet.session import configure
 
@@ -96,6 +96,14 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN))
 
 
+@query
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_merkle_manifest"] = merkle.SQL
+
+
 @query
 def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
