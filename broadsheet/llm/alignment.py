@@ -10,8 +10,8 @@ How many documents hold a pair of ids is counted over the corpus. A block keeps
 its documents' links as places in that list, so what is shuffled for the counts shrinks with the
 number of pairs that repeat. Counts come back to a block as one list next to the block's links.
 
-Words after single spaces are encoded once and remembered: neither tokenizer merges over such a
-space (checked on B's vocabulary). Texts with other blanks are encoded whole.
+Words after single spaces or line ends are encoded once and remembered: neither tokenizer merges
+over these (which is checked). Texts with other blanks are encoded whole.
 
 Defined cases: null and empty texts, and texts whose tokens don't give back their bytes, have no
 tokens, zeros and no groups; special tokens' names are plain text; repeated rows and ids count as
@@ -21,30 +21,30 @@ empty table gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 from uuid import uuid4
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import tiktoken
+from public_tokenizers import PATTERN
 from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.llm.batches import blocks, id_and_text, texts, written
 
 #: Text aligned at a time.
-ALIGN_BYTES = 3_000_000
+ALIGN_BYTES = 1_000_000
 ROW_GROUP_BYTES = 16 << 20
-#: Distinct words whose ids a worker remembers; beyond, it starts anew.
-MAX_WORDS = 200_000
-#: Longest word that is remembered.
-WORD_CHARS = 48
-#: Blanks at either end, next to each other, or of another kind than space and line end; and B's mark of a space.
-UNUSUAL = re.compile("\\A\\s|\\s\\s|\\s\\Z|[^\\S \\n]|▁")
+#: Distinct words whose ids a worker remembers; beyond, it starts anew before the next block.
+MAX_WORDS = 250_000
+#: Words encoded as one text.
+WORDS_AT_ONCE = 500
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 
@@ -65,49 +65,56 @@ def _unwritten() -> dict[str, int]:
 
 
 class Side:
-    """One tokenizer: bytes of its ids and a memory of words."""
+    """One tokenizer and the bytes of its ids."""
 
     def __init__(self, token_bytes: list[bytes]):
         self.token_bytes = token_bytes
         self.lengths = np.array([len(token) for token in token_bytes], np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
-        self._number: dict[str, int] = {}
-        self._ids: list[list[int]] = []
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text after one space."""
+        """Ids of each text after one space; none for an empty text."""
         raise NotImplementedError
 
-    def encode(self, rows: list[str]) -> list[np.ndarray]:
-        """Ids of each text after one space; words between single spaces go through the memory."""
-        if len(self._ids) > MAX_WORDS:
-            self._forget()
-        number, plain, whole = self._number, {}, []
-        fresh: dict[str, None] = {}
-        for at, row in enumerate(rows):
-            if UNUSUAL.search(row):
-                whole.append(at)
-                continue
-            plain[at] = words = row.split(" ")
-            fresh.update(dict.fromkeys(word for word in words if word not in number))
-        asked = list(fresh)
-        for word, ids in zip(asked, self.encode_all(asked)):
-            number[word] = len(self._ids)
-            self._ids.append(ids)
-        known = self._ids
-        out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(rows)
-        for at, words in plain.items():
-            ids = chain.from_iterable(map(known.__getitem__, map(number.__getitem__, words)))
-            out[at] = np.fromiter(ids, np.int64)
-        for at, ids in zip(whole, self.encode_all([rows[at] for at in whole])):
-            out[at] = np.array(ids, np.int64)
-        for word in asked:
-            if len(word) > WORD_CHARS:
-                known[number.pop(word)] = []
+    def faithful(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of each text after one space, None where their bytes are something else."""
+        out: list[np.ndarray | None] = []
+        for text, ids in zip(texts, self.encode_all(texts)):
+            same = b"".join(map(self.token_bytes.__getitem__, ids)) == (" " + text).encode()
+            out.append(np.array(ids, np.int32) if same and text else None)
         return out
 
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has; -1 where it is not faithful.
+
+        Many words are encoded as one text, which is cut at its spaces.
+        """
+        ids, sizes = [], []
+        for start in range(0, len(words), WORDS_AT_ONCE):
+            part = words[start : start + WORDS_AT_ONCE]
+            (joint,) = self.faithful([" ".join(part)])
+            if joint is None:
+                for own in self.faithful(part):
+                    ids.append(np.zeros(0, np.int32) if own is None else own)
+                    sizes.append([-1 if own is None else len(own)])
+                continue
+            token_ends = np.cumsum(self.lengths[joint])
+            word_ends = np.cumsum([len(word.encode()) + 1 for word in part])
+            cuts = np.searchsorted(token_ends, word_ends)
+            if not np.array_equal(token_ends[cuts], word_ends):
+                raise ValueError("a token reaches over a space")
+            ids.append(joint)
+            sizes.append(np.diff(cuts, prepend=-1))
+        return self._without_space(words, np.concatenate(ids), np.concatenate(sizes))
+
+    def _without_space(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that begin with a line end follow no space: they lose the token that stands for it."""
+        own = np.maximum(sizes, 0)
+        after_line = np.fromiter((word[:1] == "\n" for word in words), bool, len(words)) & (sizes > 0)
+        first = (np.cumsum(own) - own)[after_line]
+        if (self.lengths[ids[first]] != 1).any():
+            raise ValueError("a token reaches over a line end")
+        return np.delete(ids, first), sizes - after_line
+
 
 class ByteLevel(Side):
     def __init__(self, path: str):
@@ -121,9 +128,26 @@ class ByteLevel(Side):
         for token, i in self.tokenizer.get_vocab().items():
             pieces[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
         super().__init__(pieces)
+        self.ranked = self._ranked(path)
+
+    def _ranked(self, path: str) -> tiktoken.Encoding | None:
+        """The same merges by rank, several times faster; None where ids don't ascend as merges do."""
+        with open(path, encoding="utf-8") as lines:
+            model = json.load(lines)["model"]
+        joined = ["".join(pair.split(" ") if isinstance(pair, str) else pair) for pair in model["merges"]]
+        ids = [model["vocab"].get(token) for token in joined]
+        singles = sorted(i for token, i in model["vocab"].items() if len(token) == 1)
+        if singles != list(range(256)) or ids != list(range(256, 256 + len(ids))):
+            return None
+        ranks = {self.token_bytes[i]: i for i in range(256 + len(ids))}
+        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        return [found.ids for found in self.tokenizer.encode_batch([" " + text for text in texts], add_special_tokens=False)]
+        # The two libraries follow different versions of Unicode, which agree on ASCII.
+        ascii_only = [self.ranked is not None and text.isascii() for text in texts]
+        rest = [" " + text for text, plain in zip(texts, ascii_only) if not plain]
+        others = iter(self.tokenizer.encode_batch(rest, add_special_tokens=False) if rest else [])
+        return [self.ranked.encode_ordinary(" " + text) if plain else next(others).ids for text, plain in zip(texts, ascii_only)]
 
 
 class Pieces(Side):
@@ -131,27 +155,92 @@ class Pieces(Side):
         from sentencepiece import SentencePieceProcessor
 
         self.tokenizer = SentencePieceProcessor(model_file=path)
-        pieces, over_space = [], False
+        pieces = []
         for i in range(self.tokenizer.get_piece_size()):
             piece = self.tokenizer.id_to_piece(i)
-            over_space |= SPACE in piece.lstrip(SPACE)
+            if SPACE in piece.lstrip(SPACE):
+                raise ValueError(f"piece {piece!r} reaches over a space")
             byte = re.fullmatch("<0x([0-9A-F]{2})>", piece) if self.tokenizer.is_byte(i) else None
             pieces.append(bytes([int(byte[1], 16)]) if byte else piece.replace(SPACE, " ").encode())
-        self.by_word = not over_space
         super().__init__(pieces)
 
-    def encode(self, rows: list[str]) -> list[np.ndarray]:
-        return super().encode(rows) if self.by_word else [np.array(ids, np.int64) for ids in self.encode_all(rows)]
-
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        # An empty text gets no space from the tokenizer; it has no tokens, here as there.
         return self.tokenizer.encode(texts, num_threads=1) if texts else []
 
 
+class Memory:
+    """Words met before and both sides' ids of them, in one array for each side."""
+
+    def __init__(self, sides: tuple[Side, Side]):
+        self.sides = sides
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        #: Of each side: the ids of all words in a row, and where each word's begin; a last one ends them.
+        self.flat = [np.zeros(0, np.int32) for _ in self.sides]
+        self.begin = [np.zeros(1, np.int64) for _ in self.sides]
+        #: Words without tokens: a text with one has none.
+        self.bad = np.zeros(0, bool)
+
+    def _learn(self, words: list[str]) -> None:
+        self.number.update(zip(words, range(len(self.number), len(self.number) + len(words))))
+        bad = np.zeros(len(words), bool)
+        for no, side in enumerate(self.sides):
+            ids, sizes = side.words(words)
+            bad |= sizes < 0
+            ends = self.begin[no][-1] + np.cumsum(np.maximum(sizes, 0))
+            self.flat[no] = np.concatenate([self.flat[no], ids])
+            self.begin[no] = np.concatenate([self.begin[no], ends])
+        self.bad = np.concatenate([self.bad, bad])
+
+    def encode(self, rows: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides of each text; none where their bytes are not a space and the text."""
+        if len(self.number) > MAX_WORDS:
+            self._forget()
+        none = np.zeros(0, np.int32)
+        out = [(none, none)] * len(rows)
+        by_word = [at for at, row in enumerate(rows) if row and _is_plain(row)]
+        plain = set(by_word)
+        whole = [at for at, row in enumerate(rows) if row and at not in plain]
+        for at, *both in zip(whole, *(side.faithful([rows[at] for at in whole]) for side in self.sides)):
+            if all(ids is not None for ids in both):
+                out[at] = tuple(both)
+        if not by_word:
+            return out
+        words = " ".join(rows[at] for at in by_word).replace("\n", " \n").split(" ")
+        fresh = [word for word in set(words) if word not in self.number]
+        if fresh:
+            self._learn(sorted(fresh, key=str.isascii))
+        asked = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        ends = np.cumsum([rows[at].count(" ") + rows[at].count("\n") + 1 for at in by_word])
+        starts = np.concatenate([[0], ends[:-1]])
+        faults = np.add.reduceat(self.bad[asked].astype(np.int64), starts)
+        each = [self._gathered(no, asked, ends) for no in range(len(self.sides))]
+        for at, fault, *both in zip(by_word, faults.tolist(), *each):
+            if not fault:
+                out[at] = tuple(both)
+        return out
+
+    def _gathered(self, no: int, asked: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        """Ids of one side of each text, whose words' numbers end at ``ends``."""
+        first = self.begin[no][asked]
+        size = self.begin[no][asked + 1] - first
+        upto = np.cumsum(size)
+        places = np.repeat(first - (upto - size), size)
+        places += np.arange(len(places))
+        return np.split(self.flat[no][places], upto[ends[:-1] - 1])
+
+
+def _is_plain(text: str) -> bool:
+    """Whether blanks are single spaces and line ends between other characters, without B's mark of a space."""
+    return SPACE not in text and " ".join(text.split()) == text.replace("\n", " ")
+
+
 @lru_cache(maxsize=1)
-def sides(a_path: str, b_path: str) -> tuple[Side, Side]:
-    """Both tokenizers, once for each worker."""
-    return ByteLevel(a_path), Pieces(b_path)
+def memory(a_path: str, b_path: str) -> Memory:
+    """Both tokenizers and what they have met, once for each worker."""
+    return Memory((ByteLevel(a_path), Pieces(b_path)))
 
 
 def _starts(lengths: np.ndarray) -> np.ndarray:
@@ -179,7 +268,7 @@ class Aligned:
 
     @staticmethod
     def _frame(rows: list[np.ndarray], side: Side) -> pd.DataFrame:
-        ids = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        ids = np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64)
         doc = np.repeat(np.arange(len(rows)), [len(row) for row in rows])
         return pd.DataFrame({"doc": doc, "at": _starts(side.lengths[ids]), "no": np.arange(len(ids)), "id": ids})
 
@@ -211,20 +300,9 @@ def _numerals(size: int) -> list[str]:
     return [f"{i}{sign}" for sign in ",|;" for i in range(size)]
 
 
-def _encoded(rows: list[bytes], a: Side, b: Side) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids of both sides of each text; none where their bytes are not a space and the text."""
-    shown = [row.decode("utf-8", "replace") for row in rows]
-    none = np.zeros(0, np.int64)
-    out = []
-    for data, *both in zip(rows, a.encode(shown), b.encode(shown)):
-        whole = b" " + data
-        same = data and all(b"".join(map(side.token_bytes.__getitem__, ids.tolist())) == whole for side, ids in zip((a, b), both))
-        out.append(tuple(both) if same else (none, none))
-    return out
-
-
-def _block_row(doc_id: pa.Array, rows: list[bytes], a: Side, b: Side) -> pa.RecordBatch:
-    aligned = Aligned(_encoded(rows, a, b), a, b)
+def _block_row(doc_id: pa.Array, rows: list[bytes], known: Memory) -> pa.RecordBatch:
+    a, b = known.sides
+    aligned = Aligned(known.encode([row.decode("utf-8", "replace") for row in rows]), a, b)
     n_rows, n_b_ids = len(rows), len(b.token_bytes)
     n_groups, shown = aligned.groups(n_rows, a, b)
     a_ids, b_ids, a_doc = (x.to_numpy() for x in (aligned.a["id"], aligned.b["id"], aligned.a["doc"]))
@@ -259,10 +337,10 @@ def align_blocks(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """A row for each block of documents: their figures, and their links as places in ``pairs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = sides(a_path, b_path)
+        known = memory(a_path, b_path)
         for batch in batches:
             for block in blocks(batch, ALIGN_BYTES):
-                yield _block_row(block.column("doc_id"), texts(block), a, b)
+                yield _block_row(block.column("doc_id"), texts(block), known)
 
     return id_and_text(documents).mapInArrow(run, ALIGNED)
 
@@ -303,7 +381,7 @@ def alignment(documents: DataFrame, a_path: str, b_path: str) -> DataFrame:
     """
     # A row is a block of some megabytes; small row groups bound what a reader holds.
     aligned = written(align_blocks(documents, a_path, b_path), **{"parquet.block.size": ROW_GROUP_BYTES})
-    counts = pair_counts(aligned, len(sides(a_path, b_path)[1].token_bytes))
+    counts = pair_counts(aligned, len(memory(a_path, b_path).sides[1].token_bytes))
     listed = aligned.select(F.col("block").alias("holder"), F.posexplode("pairs").alias("at", "pair"))
     counted = listed.join(counts, "pair").select("holder", "at", "n_docs", "best")
     figures = aligned.drop("pairs", "docs").groupBy("block").cogroup(counted.groupBy("holder"))
