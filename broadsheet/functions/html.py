@@ -40,6 +40,9 @@ _BLOCK_TAGS = (
 
 _ITEM = "struct<t:string,n:string,k:int,c:string>"
 _SPANS = "array<struct<s:int,e:int,r:int>>"
+# Elements of one part of a fold, and characters of open names kept.
+FOLDED = 256
+OPEN_NAMES = 4000
 Items = Column
 Predicate = Callable[[Column], Column]
 
@@ -246,6 +249,216 @@ def _walk(tokens: Items, walked: Column, roots: Sequence[Predicate]) -> Column:
     return F.aggregate(walked, start, step, finish)
 
 
+def _folded(
+    every: Column,
+    start: Column,
+    step: Callable[[Column, Column], Column],
+    finish: Callable[[Column, Column], Column],
+) -> Column:
+    """Fold whose steps append subtrees to the state's ``now``; ``finish`` gets the state and all of them.
+
+    A state is copied at every step. So the fold goes over parts of ``FOLDED`` elements, and what a
+    part has found is put aside in an outer fold, which is copied once a part.
+    """
+    none = F.array().cast(_SPANS)
+    zero = F.struct(start.alias("st"), F.array().cast(f"array<{_SPANS}>").alias("full"))
+
+    def in_parts(bound: Column) -> Column:
+        def one_part(acc: Column, at: Column) -> Column:
+            def put_aside(st: Column) -> Column:
+                return F.struct(
+                    st.withField("now", none).alias("st"),
+                    F.array_append(acc["full"], st["now"]).alias("full"),
+                )
+
+            part = F.slice(bound, at, F.lit(FOLDED))
+            return let(F.aggregate(part, acc["st"], step), put_aside)
+
+        parts = F.sequence(F.lit(1), F.greatest(F.size(bound), F.lit(1)), F.lit(FOLDED))
+        return F.aggregate(parts, zero, one_part, lambda acc: finish(acc["st"], F.flatten(acc["full"])))
+
+    return let(every, in_parts)
+
+
+def _span(s: Column, e: Column, r: Column) -> Column:
+    return F.struct(s.alias("s"), e.alias("e"), r.alias("r"))
+
+
+def paragraphs(tokens: Items) -> Column:
+    """Paragraphs and end tags without one, of a lambda variable: ``r`` is 1 for paragraphs, else 0.
+
+    Paragraphs don't nest: one ends at its end tag or before the next block tag, so each is
+    told from the next tag alone and the work is linear in the tokens.
+    """
+
+    def paired(at: Column) -> Column:
+        def whole(i: Column, no: Column) -> Column:
+            def ended(x: Column, after: Column) -> Column:
+                nxt = F.get(tokens, after)
+                end = (
+                    F.when(after.isNull(), F.size(tokens) - 1)
+                    .when((nxt["n"] == "p") & (nxt["k"] == CLOSE), after)
+                    .otherwise(after - 1)
+                )
+                return F.when(x["k"] == OPEN, _span(i, end, F.lit(1))).when(
+                    x["k"] == VOID, _span(i, i, F.lit(1))
+                )
+
+            def stray(before: Column) -> Column:
+                opened = (before["n"] == "p") & (before["k"] == OPEN)
+                return F.when(~F.coalesce(opened, F.lit(False)), _span(i, i, F.lit(0)))
+
+            x = F.get(tokens, i)
+            closing = stray(F.get(tokens, F.get(at, no - 1)))
+            return F.when(
+                x["n"] == "p", F.when(x["k"] == CLOSE, closing).otherwise(ended(x, F.get(at, no + 1)))
+            )
+
+        return F.filter(F.transform(at, whole), lambda span: span.isNotNull())
+
+    return let(positions(tokens, _is_block), paired)
+
+
+def closed_subtrees(tokens: Items, *roots: Predicate) -> Column:
+    """Outermost subtrees to be dropped: ``spans`` as ``subtrees`` gives them, and ``repaired``.
+
+    The names of open elements are kept as a string, the last opened first. A root ends at its
+    own end tag, or before the end tag of an element opened before it, or, being a paragraph,
+    before the next block tag. A root that nothing closes ends before the next block tag unless
+    it is a block itself, which reaches to the end; raw text always does. ``repaired`` counts the
+    roots, paragraphs aside, that end without their own end tag.
+
+    Elements that no later end tag names are not kept, and at most ``OPEN_NAMES`` characters of
+    names, so a page full of open tags stays linear. ``tokens`` has to be a lambda variable.
+    """
+    nothing = F.struct(F.array().cast(_SPANS).alias("spans"), F.lit(0).alias("repaired"))
+
+    def with_ends(ends: Column) -> Column:
+        # Where each name is closed for the last time.
+        backwards = F.reverse(F.transform(ends, lambda i: F.get(tokens, i)["n"]))
+        return let(backwards, lambda names: let(_last_ends(ends, names), walk))
+
+    def _last_ends(ends: Column, names: Column) -> Column:
+        each = F.array_distinct(names)
+        last = F.transform(
+            each, lambda n: F.get(ends, F.size(ends) - F.array_position(names, n).cast("int"))
+        )
+        return F.map_from_arrays(each, last)
+
+    def walk(last: Column) -> Column:
+        walked = positions(tokens, lambda x: x["k"].between(OPEN, CLOSE))
+        return _close_by_stack(tokens, walked, last, roots)
+
+    found = F.exists(tokens, lambda x: _number(x, roots) > 0)
+    ends = positions(tokens, lambda x: x["k"] == CLOSE)
+    return F.when(found, let(ends, with_ends)).otherwise(nothing)
+
+
+def _popped(names: Column, name: Column) -> Column:
+    """Open names after closing the last one called ``name``, null when none is."""
+    at = F.position(F.concat(F.lit(">"), name, F.lit(">")), names)
+    return F.when(at > 0, F.substring(names, at + F.length(name) + 1, F.length(names)))
+
+
+def _close_by_stack(tokens: Items, walked: Column, last: Column, roots: Sequence[Predicate]) -> Column:
+    """Walk the tags with the names open around (``up``) and inside (``own``) the open root."""
+    empty = F.lit(">")
+
+    def state(up, own, s, r, ends, now, repaired):
+        """``ends``: how the open root ends, by tags (0), before a block (1), not at all (2)."""
+        named = zip(("up", "own", "s", "r", "ends", "now", "repaired"), (up, own, s, r, ends, now, repaired))
+        return F.struct(*[value.alias(name) for name, value in named])
+
+    def outside(up, now, repaired):
+        return state(up, empty, F.lit(-1), F.lit(0), F.lit(0), now, repaired)
+
+    def pushed(names, x, i):
+        closes_later = F.coalesce(F.try_element_at(last, x["n"]), F.lit(-1)) > i
+        longer = F.substring(F.concat(F.lit(">"), x["n"], names), 1, OPEN_NAMES)
+        return F.when((x["k"] == OPEN) & closes_later, longer).otherwise(names)
+
+    def without_p(names, x):
+        return F.when(_is_block(x), F.coalesce(_popped(names, F.lit("p")), names)).otherwise(names)
+
+    def outer_step(x, i, up, now, repaired):
+        """A tag outside of any root."""
+
+        def opened(above):
+            def rooted(r):
+                closes_later = F.coalesce(F.try_element_at(last, x["n"]), F.lit(-1)) > i
+                how = (
+                    F.when(one_of(x["n"], _RAW_TAGS), 2)
+                    .when(closes_later | (above != empty) | _is_block(x), 0)
+                    .otherwise(1)
+                )
+                own = F.concat(F.lit(">"), x["n"], empty)
+                return (
+                    F.when(r == 0, outside(pushed(above, x, i), now, repaired))
+                    .when(x["k"] == OPEN, state(above, own, i, r, how, now, repaired))
+                    .otherwise(outside(above, F.array_append(now, _span(i, i, r)), repaired))
+                )
+
+            return let(_number(x, roots), rooted)
+
+        closed = outside(F.coalesce(_popped(up, x["n"]), up), now, repaired)
+        return F.when(x["k"] == CLOSE, closed).otherwise(let(without_p(up, x), opened))
+
+    def step(st, i):
+        def at(x):
+            is_p = st["own"].endswith(">p>") & (F.get(tokens, st["s"])["n"] == "p")
+
+            def ended(e, fault):
+                return F.array_append(st["now"], _span(st["s"], e, st["r"])), st["repaired"] + fault
+
+            def inside(own, up=None):
+                return state(st["up"] if up is None else up, own, st["s"], st["r"], st["ends"], st["now"], st["repaired"])
+
+            before, fault = ended(i - 1, F.when(is_p, 0).otherwise(1))
+            here, _ = ended(i, F.lit(0))
+
+            def closing(rest):
+                above = _popped(st["up"], x["n"])
+                return (
+                    F.when(rest == empty, outside(st["up"], here, st["repaired"]))
+                    .when(rest.isNotNull(), inside(rest))
+                    .when(above.isNotNull(), outside(above, before, fault))
+                    .otherwise(st)
+                )
+
+            def opening(rest):
+                # A block ends the root where that is a paragraph.
+                return F.when(rest == empty, outer_step(x, i, st["up"], before, fault)).otherwise(
+                    inside(pushed(rest, x, i))
+                )
+
+            return (
+                F.when(st["s"] < 0, outer_step(x, i, st["up"], st["now"], st["repaired"]))
+                .when(st["ends"] == 2, st)
+                .when(
+                    st["ends"] == 1,
+                    F.when(_is_block(x), outer_step(x, i, st["up"], before, fault)).otherwise(st),
+                )
+                .when(x["k"] == CLOSE, let(_popped(st["own"], x["n"]), closing))
+                .otherwise(let(without_p(st["own"], x), opening))
+            )
+
+        return let(F.get(tokens, i), at)
+
+    def finish(st, spans):
+        x = F.get(tokens, st["s"])
+        block = F.get(F.filter(walked, lambda i: (i > st["s"]) & _is_block(F.get(tokens, i))), F.lit(0))
+        stays_open = _is_block(x) | (st["ends"] == 2)
+        end = F.when(stays_open | block.isNull(), F.size(tokens) - 1).otherwise(block - 1)
+        rest = F.array_append(spans, _span(st["s"], end, st["r"]))
+        fault = F.when(x["n"] == "p", 0).otherwise(1)
+        return F.when(
+            st["s"] >= 0, F.struct(rest.alias("spans"), (st["repaired"] + fault).alias("repaired"))
+        ).otherwise(F.struct(spans.alias("spans"), st["repaired"].alias("repaired")))
+
+    start = outside(empty, F.array().cast(_SPANS), F.lit(0))
+    return _folded(walked, start, step, lambda st, spans: let(spans, lambda found: finish(st, found)))
+
+
 def part(tokens: Items, span: Column) -> Items:
     return F.slice(tokens, span["s"] + 1, span["e"] - span["s"] + 1)
 
@@ -278,7 +491,7 @@ def splice(tokens: Items, spans: Column, new: Callable[[Column, Items], Items] |
 
 
 def drop_subtrees(tokens: Items, *roots: Predicate) -> Items:
-    return let(tokens, lambda toks: splice(toks, subtrees(toks, *roots), None))
+    return let(tokens, lambda toks: splice(toks, closed_subtrees(toks, *roots)["spans"], None))
 
 
 def first_subtree(tokens: Items, root: Predicate) -> Items:
@@ -364,23 +577,20 @@ def empty_subtrees(tokens: Items, root: Predicate, content: Predicate) -> Column
     A stack of open roots is kept; the last content position tells which are empty.
     """
 
-    def state(stack, full, out):
-        return F.struct(stack.alias("stack"), full.alias("full"), out.alias("out"))
+    def state(stack, full, now):
+        return F.struct(stack.alias("stack"), full.alias("full"), now.alias("now"))
 
     def entry(n, d, s):
         return F.struct(n.alias("n"), d.alias("d"), s.alias("s"))
 
     def step(st, i):
-        x, stack, full, out = F.get(tokens, i), st["stack"], st["full"], st["out"]
+        x, stack, full, out = F.get(tokens, i), st["stack"], st["full"], st["now"]
         below = F.slice(stack, 1, F.size(stack) - 1)
 
         def at_top(top):
             by = F.when(x["k"] == OPEN, 1).when(x["k"] == CLOSE, -1).otherwise(0)
             moved = F.array_append(below, entry(top["n"], top["d"] + by, top["s"]))
-            found = F.array_append(
-                F.filter(out, lambda o: o["s"] < top["s"]),
-                F.struct(top["s"].alias("s"), i.alias("e"), F.lit(1).alias("r")),
-            )
+            found = F.array_append(out, _span(top["s"], i, F.lit(1)))
             return (
                 F.when(x["n"] != top["n"], st)
                 .when(top["d"] + by > 0, state(moved, full, out))
@@ -395,10 +605,18 @@ def empty_subtrees(tokens: Items, root: Predicate, content: Predicate) -> Column
             .otherwise(let(F.element_at(stack, -1), at_top))
         )
 
-    start = state(
-        F.array().cast("array<struct<n:string,d:int,s:int>>"), F.lit(-1), F.array().cast(_SPANS)
-    )
+    start = state(F.array().cast("array<struct<n:string,d:int,s:int>>"), F.lit(-1), F.array().cast(_SPANS))
     every = F.sequence(F.lit(0), F.size(tokens) - 1)
-    return F.when(
-        F.exists(tokens, root), F.aggregate(every, start, step, lambda st: st["out"])
-    ).otherwise(F.array().cast(_SPANS))
+    found = _folded(every, start, step, lambda _, spans: let(F.array_sort(spans), _outermost))
+    return F.when(F.exists(tokens, root), found).otherwise(F.array().cast(_SPANS))
+
+
+def _outermost(spans: Column) -> Column:
+    """Subtrees without those inside others; ``spans`` is a lambda variable in ascending order."""
+
+    def step(st, span):
+        kept = F.struct(F.array_append(st["now"], span).alias("now"), span["e"].alias("end"))
+        return F.when(span["s"] > st["end"], kept).otherwise(st)
+
+    start = F.struct(F.array().cast(_SPANS).alias("now"), F.lit(-1).alias("end"))
+    return _folded(spans, start, step, lambda _, found: found)

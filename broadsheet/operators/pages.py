@@ -231,30 +231,18 @@ def _drop_paragraphs(toks: Column, p: CleanProfile) -> Column:
 
         return let(H.part(toks, span), test)
 
-    def is_end(x: Column) -> Column:
-        return (x["k"] == H.CLOSE) & (x["n"] == "p")
-
-    def cut(spans: Column) -> Column:
-        closed = F.transform(
-            F.filter(spans, lambda s: is_end(F.element_at(toks, s["e"] + 1))), lambda s: s["e"]
-        )
-        return let(closed, lambda ends: H.splice(toks, cuts(spans, ends), None))
+    def dropped(spans: Column) -> Column:
+        return H.splice(toks, F.filter(spans, lambda span: (span["r"] == 0) | blank(span)), None)
 
-    def cuts(spans: Column, ends: Column) -> Column:
-        dropped = F.filter(spans, blank)
-        strays = F.filter(H.positions(toks, is_end), lambda i: ~F.array_contains(ends, i))
-        spans = F.transform(
-            strays, lambda i: F.struct(i.alias("s"), i.alias("e"), F.lit(0).alias("r"))
-        )
-        return F.when(F.size(ends) == F.size(F.filter(toks, is_end)), dropped).otherwise(
-            F.array_sort(F.concat(dropped, spans))
-        )
-
-    return let(H.subtrees(toks, _PARAGRAPH), cut)
+    return let(H.paragraphs(toks), dropped)
 
 
 def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]:
-    """The cleaning rules in order, each from tokens to tokens."""
+    """The cleaning rules in order.
+
+    The first gives the visible tokens, the second adds the subtrees to drop; from the third on
+    tokens go with the number of repaired subtrees.
+    """
 
     def is_embed(x: Column) -> Column:
         classed = (x["c"] != "") & x["c"].rlike(p.embed_class)
@@ -267,29 +255,47 @@ def clean_stages(p: CleanProfile, base: str) -> list[Callable[[Column], Column]]
         # closed ones are single tokens; an open one reaches to the end, as its text would
         return x["k"].between(H.OPEN, H.VOID) & x["n"].isin("script", "style", "noscript")
 
-    def drops_and_embeds(toks: Column) -> Column:
+    def found(toks: Column) -> Column:
+        dropped = H.any_of((*p.drop, *p.ads))
+        return F.struct(toks.alias("toks"), H.closed_subtrees(toks, dropped, is_embed, is_script).alias("drop"))
+
+    def drops_and_embeds(both: Column) -> Column:
+        toks = both["toks"]
+
         def new(span: Column, embed: Column) -> Column:
             shown = H.drop_subtrees(embed, H.any_of(p.drop))
             return F.when(span["r"] != 2, H.no_items()).otherwise(let(shown, _unwrap_embed))
 
-        dropped = H.any_of((*p.drop, *p.ads))
-        return H.splice(toks, H.subtrees(toks, dropped, is_embed, is_script), new)
+        spliced = let(toks, lambda ts: H.splice(ts, both["drop"]["spans"], new))
+        return F.struct(spliced.alias("toks"), both["drop"]["repaired"].alias("repaired"))
 
     def visible(toks: Column) -> Column:
         return F.filter(H.inner(toks), lambda x: x["k"] < H.DECL)
 
+    def then(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        """A rule on the tokens alone; the number of repairs stays."""
+
+        def run(both: Column) -> Column:
+            return F.struct(let(both["toks"], rule).alias("toks"), both["repaired"].alias("repaired"))
+
+        return run
+
     return [
         visible,
+        found,
         drops_and_embeds,
-        lambda toks: F.transform(toks, lambda x: H.with_token(x, _edit_tag(x, p, base))),
-        lambda toks: H.splice(
-            toks, H.empty_subtrees(toks, H.matches(p.empty_embed), is_content), None
+        then(lambda toks: F.transform(toks, lambda x: H.with_token(x, _edit_tag(x, p, base)))),
+        then(
+            lambda toks: H.splice(
+                toks, H.empty_subtrees(toks, H.matches(p.empty_embed), is_content), None
+            )
         ),
-        lambda toks: _drop_paragraphs(toks, p),
+        then(lambda toks: _drop_paragraphs(toks, p)),
     ]
 
 
-def _cleaned(toks: Column) -> Column:
+def _cleaned(both: Column) -> Column:
+    toks = both["toks"]
     images = F.transform(
         F.filter(toks, lambda x: (x["n"] == "img") & (x["k"] != H.CLOSE)),
         lambda x: H.attribute(x["t"], "src"),
@@ -297,6 +303,7 @@ def _cleaned(toks: Column) -> Column:
     return F.struct(
         H.html_of(toks).alias("body_html"),
         F.array_distinct(F.filter(images, lambda s: s != "")).alias("image_urls"),
+        both["repaired"].alias("n_repaired"),
     )
 
 
@@ -305,13 +312,18 @@ def clean_pages(
     profile: CleanProfile = NEWS_CLEAN,
     site: Site = Site(),
     prose: str = "prose_html",
+    repairs: bool = False,
 ) -> DataFrame:
-    """Cleaned body and image addresses instead of the raw body; other columns stay."""
+    """Cleaned body and image addresses instead of the raw body; other columns stay.
+
+    With ``repairs`` also ``n_repaired``: dropped subtrees that ended without their own end tag.
+    """
     tokens, *rules, record = _clean_columns(prose, profile, site.base)
     out = articles.withColumn("_toks", tokens)
     for rule in rules:
         out = out.withColumn("_toks", rule)
-    return with_columns_once(out, record).drop("_toks", prose)
+    out = with_columns_once(out, record).drop("_toks", prose)
+    return out if repairs else out.drop("n_repaired")
 
 
 @lru_cache

@@ -79,6 +79,9 @@ _DIRTY = (
     """'<div class="embed"><div class="embed"> </div><b> </b></div>'""",
     """'<div class="embed"><span>t</span><div class="embed"></div></div>'""",
     """'<p> Rek<b>lama</b> </p><p><img src="https://cdn.example/lost.jpg"></p><p>&nbsp;</p>'""",
+    """'<section><div class="ad-slot">ad</section><p>a</p>'""",
+    """'<p>b</p><iframe src="x"><p>after</p>'""",
+    """'<ul><li>a<li><iframe>b</ul><p>c</p>'""",
     """concat('<p>tail <a href="/news/', page_id, '">a</a><div>end</div>')""",
 )
 _CLEAN = (
@@ -88,6 +91,9 @@ _CLEAN = (
     """concat('<figure><img src="https://cdn.example/', page_id, '-800.jpg"/></figure>')""",
     """concat('<img src="https://news.example/i/', page_id, '.png" alt="a &gt; b"/>')""",
     """'<div class="embed"><span>t</span></div>'""",
+    """'<section></section><p>a</p>'""",
+    """'<p>b</p><p>after</p>'""",
+    """'<ul><li>a<li></ul><p>c</p>'""",
     """concat('<p>tail <a href="https://news.example/news/', page_id, '">a</a><div>end</div>')""",
 )
 DIRTY_BODIES = f"""

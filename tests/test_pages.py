@@ -200,6 +200,24 @@ CLEANING = {
     "open paragraph before a block": ("<p>reklama<div>t</div>", "<div>t</div>"),
     "stray end": ("<p>a<div>b</div></p>c", "<p>a<div>b</div>c"),
     "unclosed drop root": ('a<div class="ad-slot">b<p>c</p>', "a"),
+    "ad closed by an earlier element": (
+        '<section><div class="ad-slot">ad</section><p>a</p>', "<section></section><p>a</p>"
+    ),
+    "frame that nothing closes": ('<p>a</p><iframe src="x"><p>after', "<p>a</p><p>after"),
+    "frame in a list": ("<ul><li>a<li><iframe>b</ul><p>c</p>", "<ul><li>a<li></ul><p>c</p>"),
+    "frame in a paragraph": ("<p>a<iframe>b</p><p>c</p>", "<p>a</p><p>c</p>"),
+    "end tag of an element inside the ad": (
+        '<section><div class="ad-slot"><section>x</section>y</div>t</section>',
+        "<section>t</section>",
+    ),
+    "stray end inside an ad": ('<div class="ad-slot">x</section>y</div>t', "t"),
+    "ad after an unclosed one": (
+        '<ul><li><span class="ad-slot">x</ul>t<div class="ad-slot">y</div>u', "<ul><li></ul>tu"
+    ),
+    "embed closed by an earlier element": (
+        '<section><div class="oembed"><a href="https://t.example/1">x</a></section><p>y</p>',
+        '<section><p><a href="https://t.example/1">x</a></p></section><p>y</p>',
+    ),
     "upper case": ('<P CLASS="post-excerpt">x</P><P>t</P>', "<P>t</P>"),
 }
 
@@ -209,6 +227,28 @@ def test_cleaning_rules(spark):
     assert {k: b for k, (b, _) in zip(CLEANING, got)} == {k: v[1] for k, v in CLEANING.items()}
 
 
+def test_repairs_are_counted(spark):
+    bodies = [
+        '<section><div class="ad-slot">ad</section><iframe><p>a</p>',
+        '<div class="ad-slot">x</div><p class="post-excerpt">lead<div>t</div>',
+        'a<div class="ad-slot">b',
+    ]
+    df = pages(spark, *[f'<div class="prose">{b}</div>' for b in bodies])
+    rows = P.clean_pages(df, prose="html", repairs=True).orderBy("page_id").collect()
+    assert [r["n_repaired"] for r in rows] == [2, 0, 1]
+
+
+def test_many_subtrees(spark):
+    """Long pages: subtrees of several parts of a fold."""
+    n = 3 * H.FOLDED + 5
+    ads = "".join(f'<div class="ad-slot">x</div><p>{i}</p><p> </p>' for i in range(n))
+    embeds = '<div class="embed"><div class="embed"> </div><b></b></div>t' * n
+    got = [body for body, _ in clean(spark, ads, embeds, "<section><i>" * n + "<iframe>x" + "</section>" * n + "t")]
+    assert got[0] == "".join(f"<p>{i}</p>" for i in range(n))
+    assert got[1] == "t" * n
+    assert got[2].endswith("<i></section>" + "</section>" * (n - 1) + "t")
+
+
 def test_cleaning_nothing(spark):
     df = pages(spark, "", '<div class="prose"></div>', "x").withColumn(
         "html", F.when(F.col("html") != "x", F.col("html"))
