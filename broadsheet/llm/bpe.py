@@ -22,6 +22,7 @@ import base64
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +40,13 @@ MAX_PAIRS = 400_000
 REMEMBER_BYTES = 64
 #: Characters below are the same letters and numbers in every version of Unicode since 1991.
 OLDER_THAN = "\u0250"
-#: Blanks at either end, next to each other, or of another kind than space and line end.
-BLANK_RUNS = re.compile(r"\A\s|\s\s|\s\Z|[^\S \n]")
+#: Key of what a state has begun, next to bytes.
+BEGUN = -1
+#: Between words while texts are cut; texts that hold it go match by match.
+CUT = "\0"
+#: Words whose ids are remembered, and ids decoded at a time.
+MAX_WORDS = 250_000
+STREAMED = 4096
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -94,40 +100,68 @@ class Transducer:
                 node = found
             self.complete[node] = rank
         self._reached: dict[int, bool] = {}
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._made: dict[int, tuple[int, ...] | None] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # A state lists node and token before, longest begun token first; last comes the token
-        # that ended just here. At the start nothing is before (-1).
-        self._open: list[tuple[int, ...]] = [(-1,)]
-        self._number = {self._open[0]: 0}
-        #: By ``state << 8 | byte``: next state, token that ends the prefix, how far back a
-        #: begun token reaches.
-        self._steps: dict[int, tuple[int, int, int]] = {}
-
-    def merge(self, data: bytes) -> list[int]:
-        """The merges applied by definition; used for short byte strings only."""
+        # A state is the dictionary of its transitions, by byte: next state, token that ends the
+        # prefix, how far back a begun token reaches. Under BEGUN it lists node and token before,
+        # longest begun token first; last comes the token that ended just here (-1 at the start).
+        self._start: dict = {BEGUN: (-1,)}
+        self._states: dict[tuple[int, ...], dict] = {self._start[BEGUN]: self._start}
+
+    def merge(self, data: bytes, below: int | None = None) -> list[int]:
+        """The merges applied by definition, those below a rank only; used for single tokens."""
+        below = len(self.ranks) + 1 if below is None else below
         parts = [bytes([b]) for b in data]
         while len(parts) > 1:
-            best, at = min(
-                (self.ranks.get(parts[i] + parts[i + 1], len(self.ranks) + 1), i) for i in range(len(parts) - 1)
-            )
-            if best > len(self.ranks):
+            best, at = min((self.ranks.get(parts[i] + parts[i + 1], below), i) for i in range(len(parts) - 1))
+            if best >= below:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ranks[part] for part in parts]
 
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that were merged into this one; None for a byte."""
+        known = self._made.get(token, 0)
+        if known == 0:
+            data, known = self.tokens[token], None
+            if len(data) > 1:
+                known = tuple(self.merge(data, token))
+                if len(known) != 2:
+                    raise ValueError(f"token {token} is not made of two")
+            self._made[token] = known
+        return known
+
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens' joint bytes are encoded as just these two."""
-        known = self._pairs.get((left, right))
+        """Whether the two tokens' joint bytes are encoded as just these two.
+
+        Merges at the joint are undone, the latest first. The two stay apart unless what then meets
+        at the joint would have been merged before that; of equal merges the left one comes first.
+        """
+        key = left << 32 | right
+        known = self._pairs.get(key)
         if known is None:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
-            joint = self.tokens[left] + self.tokens[right]
-            known = self._pairs[(left, right)] = self.merge(joint) == [left, right]
+            known = self._pairs[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        tokens, ranks, before = self.tokens, self.ranks, len(self.ranks) + 1
+        while True:
+            joint = ranks.get(tokens[left] + tokens[right])
+            if joint is not None and joint < before:
+                return False
+            of_left, of_right = self._halves(left), self._halves(right)
+            if of_left and (left > right or not of_right):
+                before, left = left, of_left[1]
+            elif of_right:
+                before, right = right + 1, of_right[0]
+            else:
+                return True
+
     def _whole(self, token: int) -> bool:
         """Whether the merges reach the token from its bytes."""
         known = self._reached.get(token)
@@ -135,44 +169,43 @@ class Transducer:
             known = self._reached[token] = self.merge(self.tokens[token]) == [token]
         return known
 
-    def _step(self, state: int, byte: int) -> tuple[int, int, int]:
+    def _step(self, state: dict, byte: int) -> tuple[dict, int, int]:
         """The transition on a byte: determinised now, kept for later."""
-        begun = self._open[state]
+        begun = state[BEGUN]
+        child, complete, inner = self.child, self.complete, self.inner
         carried: list[int] = []
         ended = -1
-        for node, before in (*zip(begun[:-1:2], begun[1::2]), (0, begun[-1])):
-            node = self.child.get(node << 8 | byte)
+        for at in range(0, len(begun), 2):
+            # The last entry is a token that ended here: one begins at the root after it.
+            node, before = (begun[at], begun[at + 1]) if at + 1 < len(begun) else (0, begun[at])
+            node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = self.complete[node]
+            token = complete[node]
             if token >= 0 and ended < 0 and self._whole(token) and (before < 0 or self.may_follow(before, token)):
                 ended = token
-            if self.inner[node]:
+            if inner[node]:
                 carried += (node, before)
         if ended < 0:
             raise ValueError("a byte without a token")
+        back = self.depth[carried[0]] if carried else 0
         carried.append(ended)
         key = tuple(carried)
-        number = self._number.get(key)
-        if number is None:
-            number = self._number[key] = len(self._open)
-            self._open.append(key)
-        step = self._steps[state << 8 | byte] = (number, ended, self.depth[key[0]] if len(key) > 1 else 0)
+        after = self._states.get(key)
+        if after is None:
+            after = self._states[key] = {BEGUN: key}
+        step = state[byte] = (after, ended, back)
         return step
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one match."""
-        if len(self._open) > MAX_STATES:
+        if len(self._states) > MAX_STATES:
             self._forget()
-        steps = self._steps
-        state, ids = 0, []
+        state, ids = self._start, []
         #: Tokens that end the prefixes not yet emitted.
         pending: list[int] = []
         for byte in data:
-            step = steps.get(state << 8 | byte)
-            if step is None:
-                step = self._step(state, byte)
-            state, ended, back = step
+            state, ended, back = state.get(byte) or self._step(state, byte)
             pending.append(ended)
             if not back:
                 # No token begun earlier is open: what is pending is final.
@@ -226,16 +259,19 @@ class Utf8Machine:
 
 
 class Tokenizer:
-    """Pattern, transducer and the ids of matches met before."""
+    """Pattern, transducer and the ids of words met before."""
 
     def __init__(self, path: str, pattern: str, newer: str = ""):
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.newer = re.compile(newer) if newer else None
-        #: Ids of pieces at the start of a line, and of pieces after one space.
-        self._first: dict[str, list[int]] = {}
-        self._spaced: dict[str, list[int]] = {}
         self._known: dict[str, list[int]] = {}
+        self._number: dict[str, int] = {}
+        #: Of all words met: their ids in a row, where each word's begin, and the block that had it last.
+        self._flat = np.zeros(0, np.int32)
+        self._begin = np.zeros(1, np.int64)
+        self._used = np.zeros(0, np.int64)
+        self._block = 0
 
     def matches(self, text: str) -> list[str]:
         """The text cut by the pattern; characters in ``newer`` count as unassigned."""
@@ -258,37 +294,70 @@ class Tokenizer:
             ids += found
         return ids
 
-    def _piece(self, piece: str, memory: dict[str, list[int]], lead: str) -> list[int]:
-        found = self._by_match(lead + piece)
-        if len(piece) <= REMEMBER_BYTES:
-            if len(memory) >= MAX_MATCHES:
-                memory.clear()
-            memory[piece] = found
-        return found
-
     def encode(self, text: str) -> list[int]:
-        """Ids of a text.
+        """Ids of a text, match by match."""
+        return self._by_match(text)
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a word with the blank before it; one of ASCII letters after a space is one match."""
+        letters = word[1:]
+        if word[:1] == " " and letters.isascii() and letters.isalpha():
+            return self.transducer.encode(word.encode())
+        return self._by_match(word)
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's end.
 
         Where blanks are single spaces and line ends between other characters, a match never
-        reaches over them (a space opens the next match, a line end is one by itself), so the
-        pieces between are encoded apart and remembered. Other texts go match by match.
+        reaches over them: a space opens the next match, a line end is one by itself. So such
+        texts are cut before every blank, and each distinct word is encoded once. Words that
+        recent blocks had are remembered. Other texts go match by match.
         """
-        if BLANK_RUNS.search(text):
-            return self._by_match(text)
-        ids: list[int] = []
-        first, spaced = self._first, self._spaced
-        end_of_line = self._by_match("\n")
-        for number, line in enumerate(text.split("\n")):
-            if number:
-                ids += end_of_line
-            pieces = iter(line.split(" "))
-            piece = next(pieces)
-            found = first.get(piece)
-            ids += self._piece(piece, first, "") if found is None else found
-            for piece in pieces:
-                found = spaced.get(piece)
-                ids += self._piece(piece, spaced, " ") if found is None else found
-        return ids
+        plain = [at for at, text in enumerate(texts) if _is_plain(text)]
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+        for at in set(range(len(texts))).difference(plain):
+            out[at] = np.array(self._by_match(texts[at]), np.int32)
+        if plain:
+            joint = CUT.join(texts[at] for at in plain)
+            words = joint.replace(" ", CUT + " ").replace("\n", CUT + "\n").split(CUT)
+            self._learn([word for word in set(words) if word not in self._number])
+            asked = np.fromiter(map(self._number.__getitem__, words), np.int64, len(words))
+            self._used[asked] = self._block
+            first = self._begin[asked]
+            size = self._begin[asked + 1] - first
+            upto = np.cumsum(size)
+            ids = self._flat[np.repeat(first - (upto - size), size) + np.arange(upto[-1])]
+            n_words = np.cumsum([texts[at].count(" ") + texts[at].count("\n") + 1 for at in plain])
+            for at, part in zip(plain, np.split(ids, upto[n_words[:-1] - 1])):
+                out[at] = part
+            self._block += 1
+            self._forget()
+        ends = np.cumsum([len(part) for part in out])
+        return np.concatenate(out) if out else np.zeros(0, np.int32), ends
+
+    def _learn(self, words: list[str]) -> None:
+        found = list(map(self._word, words))
+        self._number.update(zip(words, range(len(self._number), len(self._number) + len(words))))
+        ends = self._begin[-1] + np.cumsum([len(ids) for ids in found], dtype=np.int64)
+        fresh = np.fromiter(chain.from_iterable(found), np.int32)
+        self._flat = np.concatenate([self._flat, fresh])
+        self._begin = np.concatenate([self._begin, ends])
+        self._used = np.concatenate([self._used, np.full(len(words), self._block)])
+
+    def _forget(self) -> None:
+        """Beyond ``MAX_WORDS``, keep the words that came up again most lately, half as many at most."""
+        if len(self._number) <= MAX_WORDS:
+            return
+        order = np.argsort(self._used, kind="stable")[-MAX_WORDS // 2 :]
+        order.sort()
+        keep = np.zeros(len(self._used), bool)
+        keep[order] = True
+        size = np.diff(self._begin)
+        self._flat = self._flat[np.repeat(keep, size)]
+        self._begin = np.concatenate([[0], np.cumsum(size[keep])])
+        self._used = self._used[keep]
+        words = [word for word, kept in zip(self._number, keep.tolist()) if kept]
+        self._number = dict(zip(words, range(len(words))))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         try:
@@ -296,22 +365,37 @@ class Tokenizer:
         except KeyError as missing:
             raise ValueError(f"no token has the id {missing}") from None
 
-    def decode_stream(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as the ids arrive; never half a character."""
+    def decode_stream(self, ids: Iterable[int], at_once: int = 1) -> Iterator[str]:
+        """Text as the ids arrive, ``at_once`` of them; never half a character."""
         machine = Utf8Machine()
-        for token in ids:
-            if piece := machine.feed(self.decode_bytes([token])):
+        ids = iter(ids)
+        while some := list(islice(ids, at_once)):
+            if piece := machine.feed(self.decode_bytes(some)):
                 yield piece
         if rest := machine.close():
             yield rest
 
 
+    def decode(self, ids: Iterable[int]) -> bytes:
+        """The bytes of the text that the stream gives."""
+        return "".join(self.decode_stream(ids, STREAMED)).encode()
+
+
+def _is_plain(text: str) -> bool:
+    """Whether blanks are single spaces and line ends between other characters."""
+    return CUT not in text and text != "" and " ".join(text.split()) == text.replace("\n", " ")
+
+
 @lru_cache(maxsize=2)
 def tokenizer(path: str, pattern: str, newer: str = "") -> Tokenizer:
     """One tokenizer for each worker and vocabulary."""
     return Tokenizer(path, pattern, newer)
 
 
+def _lists(flat: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat))
+
+
 def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` of every whole text; ``path`` is a rank file every worker has."""
 
@@ -321,11 +405,8 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         encoder = tokenizer(path, pattern, newer)
         for batch in batches:
             for block in blocks(batch):
-                rows = [np.array(encoder.encode(text.decode("utf-8", "replace")), np.int32) for text in texts(block)]
-                offsets = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
-                flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), ids], ["doc_id", "ids"])
+                flat, ends = encoder.encode_all([text.decode("utf-8", "replace") for text in texts(block)])
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), _lists(flat, ends)], ["doc_id", "ids"])
 
     return id_and_text(documents).mapInArrow(run, "doc_id bigint, ids array<int>")
 
@@ -340,7 +421,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                data = [None if ids is None else decoder.decode_bytes(ids) for ids in part.column("ids").to_pylist()]
+                data = [None if ids is None else decoder.decode(ids) for ids in part.column("ids").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), part.column("ids"), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"]
                 )
@@ -356,13 +437,11 @@ def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
         both = tokenizer(path, pattern, newer)
         for batch in batches:
             for block in blocks(batch):
-                rows = [both.encode(text.decode("utf-8", "replace")) for text in texts(block)]
-                data = [both.decode_bytes(ids) for ids in rows]
-                offsets = np.concatenate([[0], np.cumsum([len(row) for row in rows])]).astype(np.int32)
-                flat = np.fromiter((token for row in rows for token in row), np.int32, offsets[-1])
+                flat, ends = both.encode_all([text.decode("utf-8", "replace") for text in texts(block)])
+                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                data = [both.decode(flat[start:end].tolist()) for start, end in zip(starts.tolist(), ends.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array(data, pa.binary())],
-                    ["doc_id", "ids", "decoded"],
+                    [block.column("doc_id"), _lists(flat, ends), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"]
                 )
 
     return id_and_text(documents).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
