@@ -26,6 +26,7 @@ from importlib.resources import files
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from broadsheet.llm.batches import written
 from broadsheet.llm.secrets import row_key
 
 SHINGLE = 3
@@ -120,7 +121,8 @@ def scan(documents: DataFrame, templates: DataFrame, percent: int = PERCENT, max
     )
     # A window that many documents copy is compared once: its shingles are its name.
     shortest = sets.groupBy("half").agg(F.min(F.size("own")).alias("shortest"))
-    named = (
+    # Few rows; written once, since the texts are read for them.
+    named = written(
         windows.groupBy("row_key", "half", "window")
         .agg(F.sort_array(F.collect_set("shingle")).alias("shingles"), F.min("pos").alias("pos"))
         .join(F.broadcast(shortest), "half")
@@ -161,24 +163,33 @@ def _sql_shingles(key: str, table: str) -> str:
         WHERE len(w) > 0)"""
 
 
-_LIST = ", ".join(f"('{name}', '{text}')" for name, text in sorted(TEMPLATES.items()))
-#: DuckDB SQL for the query's rows of notices: every window against every template.
-SQL = f"""
-WITH t(template, text) AS (VALUES {_LIST}),
+def _sql() -> str:
+    """DuckDB SQL for the query's rows: every window against every template of its class."""
+    texts = sorted((TEMPLATES | full_texts()).items())
+    listed = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in texts)
+    least = (WINDOW // 2 - 1).bit_length()
+    return f"""
+WITH t(template, text) AS (VALUES {listed}),
 d AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
-own AS (SELECT DISTINCT template, s FROM ({_sql_shingles('template', 't')})),
+spelled AS ({_sql_shingles('template', 't')}),
+halves AS (SELECT template, CAST(pow(2, greatest(length(bin(count(*) - 1)), {least})) AS BIGINT) AS half FROM spelled GROUP BY template),
+own AS (SELECT DISTINCT template, half, s FROM spelled JOIN halves USING (template)),
 sizes AS (SELECT template, count(*) AS n_template FROM own GROUP BY template),
-placed AS (SELECT r, pos, s FROM ({_sql_shingles('r', 'd')}) WHERE s IN (SELECT s FROM own)),
+wanted AS (SELECT DISTINCT half, s FROM own),
+placed AS (SELECT r, half, pos, s FROM ({_sql_shingles('r', 'd')}) JOIN wanted USING (s)),
 filed AS (
-  SELECT r, pos, s, pos // {WINDOW // 2} AS win FROM placed
-  UNION ALL SELECT r, pos, s, pos // {WINDOW // 2} - 1 FROM placed WHERE pos >= {WINDOW // 2}
-), firsts AS (SELECT r, win, min(pos) AS pos FROM filed GROUP BY r, win),
+  SELECT r, half, pos, s, pos // half AS win FROM placed
+  UNION ALL SELECT r, half, pos, s, pos // half - 1 FROM placed WHERE pos >= half
+), firsts AS (SELECT r, half, win, min(pos) AS pos FROM filed GROUP BY r, half, win),
 shared AS (
-  SELECT r, win, template, count(DISTINCT filed.s) AS n_match FROM filed JOIN own ON filed.s = own.s GROUP BY r, win, template
+  SELECT r, half, win, template, count(DISTINCT s) AS n_match FROM filed JOIN own USING (half, s) GROUP BY r, half, win, template
 ), good AS (
-  SELECT * FROM shared JOIN sizes USING (template) JOIN firsts USING (r, win) WHERE 100 * n_match >= {PERCENT} * n_template
+  SELECT * FROM shared JOIN sizes USING (template) JOIN firsts USING (r, half, win) WHERE 100 * n_match >= {PERCENT} * n_template
 ), best AS (
   SELECT *, row_number() OVER (PARTITION BY r, template ORDER BY n_match DESC, pos) AS k FROM good
 )
 SELECT doc_id, template, n_match, n_template, pos AS position FROM best JOIN d USING (r) WHERE k = 1
 """
+
+
+SQL = _sql()
