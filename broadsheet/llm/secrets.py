@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from broadsheet.llm.batches import written
+
 #: Fixed patterns of the base kinds, in their order, with the group whose length is tested.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -136,8 +138,10 @@ def scan(documents: DataFrame, owner: Column | None = None, repository: Column |
     owner = F.col("source") if owner is None else owner
     repository = F.col("source") if repository is None else repository
     rows = scan_rows(documents, owner, repository)
+    # Written once: the patterns run over the texts for them, and they are counted and classified.
+    found = written(candidates(rows).drop_duplicates(["row_key", "kind", "start"]))
     per_row = (
-        classify(candidates(rows).drop_duplicates(["row_key", "kind", "start"]))
+        classify(found)
         .withColumn("rank", F.array_position(F.array(*(F.lit(k) for k in KINDS)), F.col("kind")).cast("int"))
         .groupBy("row_key")
         .agg(F.array_sort(F.collect_list(F.struct("start", "rank", "kind", "end", "owners", "repositories", "live"))).alias("all_spans"))
