@@ -58,7 +58,8 @@ def place(df: DataFrame, key: str, shards: list[str], size: int = TABLE_SIZE) ->
     owners = df.sparkSession.createDataFrame(
         [(slot, shards[owner]) for slot, owner in enumerate(table)], "slot int, shard string"
     )
-    rows = df.drop("shard").withColumn("slot", slot_of(F.col(key), size))
+    # The slot is found first, since the key may itself be called like an output.
+    rows = df.withColumn("_slot", slot_of(F.col(key), size)).drop("slot", "shard").withColumnRenamed("_slot", "slot")
     return rows.join(F.broadcast(owners), "slot")
 
 
@@ -67,5 +68,7 @@ def write_shards(df: DataFrame, key: str, shards: list[str], path: str, files: i
 
     A key with very many rows stays in its shard but spreads over the shard's files.
     """
-    placed = place(df, key, shards, size).withColumn("_file", (F.rand(17) * files).cast("int"))
+    # By the row itself, so that a task that runs again puts it into the same file.
+    file = F.pmod(F.xxhash64(*(c for c, kind in df.dtypes if not kind.startswith("map"))), F.lit(files)).cast("int")
+    placed = place(df.withColumn("_file", file), key, shards, size)
     placed.repartition(len(shards) * files, "shard", "_file").drop("_file").write.partitionBy("shard").parquet(path)

@@ -9,7 +9,8 @@ Defined cases: a null or empty payload gives records with empty text; a null hea
 or record id stays null and its line is left out of the serialized record; without a source digest
 the payload's own is taken; records of other types are skipped; an element that is never closed
 reaches to the end of the page; repeated responses each give their records; an empty table gives
-none; extra columns are ignored. Character references of the text are decoded as HTML 5 reads them,
+none; extra columns are ignored. Pages are read by the charset of their header, and bytes that are
+no character become U+FFFD. Character references of the text are decoded as HTML 5 reads them,
 in one pass, and a no-break space that is written as one becomes a blank; the title field keeps its
 references as they are written.
 """
@@ -43,6 +44,12 @@ REFERENCE = r"&#[0-9]++;?|&#[xX][0-9a-fA-F]++;?|&[a-zA-Z][a-zA-Z0-9]*+;?|[^&]++|
 #: Low numbers, of which some stand for another character than their own or for none.
 LOW_NUMBER = {str(n): unescape(f"&#{n};") for n in range(0xA0)}
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
+CHARSET = r"(?im)^content-type:[^\r\n]*charset\s*=\s*[\"']?([^\s;\"']+)"
+#: Names under which Windows-1252 is sent, and its characters where Latin-1 has controls.
+LATIN = ("iso-8859-1", "iso8859-1", "latin1", "latin-1", "us-ascii", "ascii", "windows-1252", "cp1252")
+WINDOWS_1252 = tuple(
+    "".join(pair[k] for pair in ((chr(b), bytes([b]).decode("cp1252", "ignore")) for b in range(0x80, 0xA0)) if pair[1]) for k in (0, 1)
+)
 LINK = r"(?i)<a\s[^>]*href"
 
 
@@ -111,6 +118,16 @@ def digest_of(data: Column) -> Column:
     return F.concat(F.lit("sha256:"), F.sha2(data, 256))
 
 
+def decoded_page(payload: Column, http_header: Column) -> Column:
+    """A page's characters by the charset of its header: Latin-1 as browsers read it, or UTF-8.
+
+    What cannot be UTF-8 becomes U+FFFD; other charsets are read as UTF-8 too, so their ASCII stays.
+    """
+    charset = F.lower(F.regexp_extract(http_header, CHARSET, 1))
+    latin = F.translate(F.decode(payload, "ISO-8859-1"), *WINDOWS_1252)
+    return F.when(charset.isin(*LATIN), latin).otherwise(F.make_valid_utf8(payload.cast("string")))
+
+
 def responses_of_pages(pages: DataFrame) -> DataFrame:
     """Pages (``page_id``, ``url``, ``html``) as response records."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
@@ -138,7 +155,7 @@ def derivatives(records: DataFrame) -> DataFrame:
         F.coalesce("payload", F.lit("").cast("binary")).alias("payload"),
         F.coalesce("payload_digest", digest_of(F.coalesce("payload", F.lit("").cast("binary")))).alias("payload_digest"),
     )
-    html = F.decode("payload", "UTF-8")
+    html = decoded_page(F.col("payload"), F.col("http_header"))
     read = source.select(
         "*",
         plain_text(html).alias("text"),

@@ -124,3 +124,30 @@ def test_pages_with_nulls(spark):
     pages = spark.createDataFrame([(1, "http://x/", None), (None, None, ""), (2, "http://y/", "plain"), (2, "http://y/", "plain")], "page_id bigint, url string, html string")
     got = warc.digests(warc.derivatives(warc.responses_of_pages(pages))).collect()
     assert len(got) == 8 and warc.derivatives(warc.responses_of_pages(pages.limit(0))).count() == 0
+
+
+def test_sharding_keys_named_like_outputs(spark):
+    for name in ("shard", "slot", "_file"):
+        df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], f"{name} string, other int")
+        plain = sharding.place(df.withColumnRenamed(name, "key"), "key", ["a", "b", "c"])
+        want = {r["other"]: (r["slot"], r["shard"]) for r in plain.collect()}
+        assert {r["other"]: (r["slot"], r["shard"]) for r in sharding.place(df, name, ["a", "b", "c"]).collect()} == want
+
+
+def test_warc_charsets(spark):
+    def page(body, charset):
+        header = f"HTTP/1.1 200 OK\r\nX: 1\r\nContent-Type: text/html{charset}\r\n"
+        return ("response", f"<{body!r}{charset}>", "http://x.example", None, header, body, None)
+
+    latin = "<title>caf\xe9</title><p>na\xefve</p>".encode("latin-1")
+    rows = [
+        page(latin, "; charset=ISO-8859-1"),
+        page(b"<p>\x93quoted\x94 \x80</p>", ';charset="windows-1252"'),
+        page(latin, ""),
+        page("<p>漢字</p>".encode()[:-6], "; charset=utf-8"),
+        page(b"\xff\xfe<p>x</p>", "; charset=made-up"),
+    ]
+    schema = "record_type string, record_id string, target_uri string, warc_date string, http_header string, payload binary, payload_digest string"
+    made = warc.derivatives(spark.createDataFrame(rows, schema))
+    got = {r["refers_to"]: bytes(r["block"]).decode() for r in made.where("record_type = 'conversion'").collect()}
+    assert [got[row[1]] for row in rows] == ["café\nnaïve", "“quoted” €", "caf\ufffd\nna\ufffdve", "漢\ufffd", "\ufffd\ufffd\nx"]
