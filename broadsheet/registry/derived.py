@@ -37,6 +37,9 @@ SELECT e.event_id,
 FROM {events} e
 """
 
+# A line of a feed page that was cut off.
+CUT_LINE = """concat('{"page": ', page, ', "member": [{"title": "cut')"""
+
 # News pages around the articles of the pages table: one part or another is missing.
 NEWS_PAGES = """
 SELECT page_id, concat('https://news.example/news/', page_id) AS url, concat(

@@ -277,6 +277,28 @@ SELECT chapter_file AS path, category, concat('<!DOCTYPE html>', chr(10),
   CASE event_type WHEN 'signup' THEN 'Inne' ELSE event_type END AS category,
   CASE user_id % 3 WHEN 0 THEN concat('user ', user_id) WHEN 1 THEN concat('av ', user_id) END AS author_hint
 FROM events WHERE event_type <> 'error' AND event_id % 20 < 15""",
+    "feed_read_rejects": f"""WITH {FEED}, p AS (
+  SELECT CAST(event_id // 18 + 1 AS BIGINT) AS page, count(*) AS n_members FROM feed GROUP BY 1)
+SELECT page, n_members, NULL AS reject_reason, NULL AS record FROM p
+UNION ALL SELECT NULL, NULL, 'malformed_page', {D.CUT_LINE} FROM p WHERE page % 25 = 3""",
+    "ingest_first_wins": f"""WITH {FEED}, recent AS (
+  SELECT *, date_trunc('second', published) AS second FROM feed WHERE date_trunc('second', published) >= {CUTOFF})
+SELECT url, title, {_stamp("second")} AS published, CAST(event_id // 18 + 1 AS BIGINT) AS page_no,
+  CAST(event_id % 18 AS BIGINT) AS pos
+FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY event_id) AS rn FROM recent) WHERE rn = 1""",
+    "ingest_late_rows": f"""WITH {FEED}
+SELECT title, CAST(0 AS BIGINT) AS n_unaccounted FROM feed WHERE date_trunc('second', published) < {CUTOFF}
+UNION ALL SELECT NULL, 0""",
+    "cache_bucket_upsert": f"""WITH {FEED},
+new AS (SELECT slug, arg_max(title, published) AS html, max(published) AS fetched_at
+        FROM (SELECT *, {SLUG} AS slug FROM feed) WHERE slug NOT LIKE '%7%' GROUP BY slug),
+old AS (SELECT slug, arg_max(html, page_id) AS html, max(page_id) AS page_id FROM (SELECT *, {SLUG} AS slug FROM pages) GROUP BY slug)
+SELECT slug, html, {_stamp("fetched_at")} AS fetched_at FROM new
+UNION ALL SELECT slug, html, {_stamp("TIMESTAMP '2023-12-31' + page_id * INTERVAL 1 SECOND")} FROM old
+WHERE slug NOT IN (SELECT slug FROM new)""",
+    "page_join_laid_out": f"""WITH {FEED}, k AS (SELECT url, min(page_id) AS page_id FROM pages GROUP BY url)
+SELECT event_id, k.page_id, md5(html) AS html_md5
+FROM feed JOIN k ON feed.url = k.url JOIN pages p ON p.page_id = k.page_id AND p.url = k.url""",
     "ingest_stream": f"""SELECT DISTINCT concat('https://news.example/news/',
   event_id % (SELECT count(*) FROM pages)) AS url FROM events WHERE ts >= {CUTOFF}""",
 }

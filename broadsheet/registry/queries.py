@@ -16,7 +16,7 @@ from broadsheet.registry import derived as D
 from broadsheet.session import checkpoint_dir, configure, materialize
 from broadsheet.site import EXCLUDED_CATEGORY_ID, NEWS_EXTRACT, WEB_CLEAN, WEB_EXTRACT, Site
 from broadsheet.sources import cache, feed as feed_source, listing
-from broadsheet.sources.pages import join_pages, read_pages
+from broadsheet.sources.pages import join_laid_out, join_pages, lay_out_pages, read_pages
 from broadsheet.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,67 @@ def feed_read_json(spark, sf_dir):
     )
 
 
+def _land_feed(spark: SparkSession, sf_dir: str) -> str:
+    """Feed pages of 18 members, eight files of JSON lines in no order, some lines cut off."""
+    path = f"{_scratch(spark)}/landed"
+    member = F.struct(
+        "event_id", "title", F.col("url").alias("link"),
+        F.date_format("published", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("published"),
+    )
+    page = (F.floor(F.col("event_id") / 18) + 1).cast("int")
+    rows = sql(spark, sf_dir, D.FEED).groupBy(page.alias("page")).agg(
+        F.array_sort(F.collect_list(member)).alias("member")
+    )
+    whole = rows.select("page", F.to_json(F.struct("page", "member")).alias("value"))
+    cut = rows.where("page % 25 = 3").select("page", F.expr(D.CUT_LINE).alias("value"))
+    whole.union(cut).repartition(8, "page").select("value").write.text(path)
+    return path
+
+
+@query
+def feed_read_rejects(spark, sf_dir):
+    """Cut lines among landed pages: each is a reject, and the pages around them are read."""
+    pages, rejects = feed_source.read_feed_checked(spark, _land_feed(spark, sf_dir))
+    good = pages.select(
+        F.col("page").cast("bigint").alias("page"), F.size("member").cast("bigint").alias("n_members"),
+        F.lit(None).cast("string").alias("reject_reason"), F.lit(None).cast("string").alias("record"),
+    )
+    return good.unionByName(rejects.select("reject_reason", "record"), allowMissingColumns=True)
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> str:
+    """Landed files taken in four batches or more, and the lines of one file once again."""
+    landed, scratch, now = _land_feed(spark, sf_dir), _scratch(spark), now_of(spark, sf_dir)
+    lines = ingest.read_line_stream(spark, landed, files_per_batch=2)
+    ingest.ingest_feed(lines, f"{scratch}/tables", f"{scratch}/state", DAYS, now, SITE, n_buckets=16).awaitTermination()
+    again = feed_source.feed_lines(spark.read.text(landed))
+    first = again.agg(F.min("file")).first()[0]
+    ingest.merge_batch(again.where(F.col("file") == first), 1_000_000, f"{scratch}/tables", DAYS, now, SITE, n_buckets=16)
+    return f"{scratch}/tables"
+
+
+@query
+def ingest_first_wins(spark, sf_dir):
+    """First reference of each address in feed order, from files that land in any order."""
+    refs = spark.read.parquet(f"{_ingested(spark, sf_dir)}/refs")
+    return refs.select(
+        "url", "title", stamp("published").alias("published"),
+        F.col("page_no").cast("bigint").alias("page_no"), F.col("pos").cast("bigint").alias("pos"),
+    )
+
+
+@query
+def ingest_late_rows(spark, sf_dir):
+    """Members too old for the window, with the batches' accounts: no batch may lose a row."""
+    tables = _ingested(spark, sf_dir)
+    late = spark.read.parquet(f"{tables}/outcomes").where("outcome = 'late'")
+    sums = spark.read.parquet(f"{tables}/batches").agg(
+        F.count_if(F.expr("rejected + late + kept + duplicate <> landed")).alias("n")
+    )
+    rows = late.select("title", F.lit(0).cast("bigint").alias("n_unaccounted")).distinct()
+    return rows.unionByName(sums.select(F.lit(None).cast("string").alias("title"), F.col("n").alias("n_unaccounted")))
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder name below the checkpoint folder; Spark creates it where it writes."""
     return f"{checkpoint_dir(spark)}/run-{uuid4()}"
@@ -232,6 +293,34 @@ def cache_upsert(spark, sf_dir):
     )
 
 
+@query
+def cache_bucket_upsert(spark, sf_dir):
+    """Whole pages in a cache of folders, then every feed row written over it."""
+    path = f"{_scratch(spark)}/cache"
+    stored = read_pages(spark, f"{sf_dir}/pages.parquet").select(
+        U.article_slug(F.col("url")).alias("slug"),
+        "html",
+        F.expr("TIMESTAMP '2023-12-31 00:00:00' + make_dt_interval(0, 0, 0, page_id)").alias("fetched_at"),
+    )
+    new = feed_refs(spark, sf_dir).select(
+        U.article_slug(F.col("url")).alias("slug"),
+        F.col("title").alias("html"),
+        F.col("published").cast("timestamp").alias("fetched_at"),
+    )
+    for rows in (stored, new.where("slug NOT LIKE '%7%'")):
+        cache.upsert_buckets(spark, path, rows, n_buckets=16)
+    return spark.read.parquet(path).select("slug", "html", stamp("fetched_at").alias("fetched_at"))
+
+
+@query
+def page_join_laid_out(spark, sf_dir):
+    """Every feed row with the page of its address, pages laid out by address."""
+    name = f"pages_{uuid4().hex}"
+    lay_out_pages(read_pages(spark, f"{sf_dir}/pages.parquet"), name, 16, f"{_scratch(spark)}/pages")
+    found = join_laid_out(feed_refs(spark, sf_dir), name)
+    return found.select("event_id", "page_id", F.md5("html").alias("html_md5"))
+
+
 @query
 def fetch_outcome_routing(spark, sf_dir):
     routed = cache.route_fetches(sql(spark, sf_dir, D.FETCHES))
