@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.functions.urls import safe_slug
 from broadsheet.operators.links import replace_attribute
@@ -29,6 +29,29 @@ def asset_plan(manifest: DataFrame, asset_cache: DataFrame, enabled: bool = True
     return cache_status(wanted, asset_cache, "asset_key", enabled)
 
 
+def asset_files(spark: SparkSession, path: str) -> DataFrame:
+    """Landed image files as ``(asset_key, n_bytes, error)``; their contents are not read.
+
+    Files lie in folders ``asset_key=<key>`` or are named after their key. An empty file is no
+    image: the scan passes it over, so its key is missing.
+    """
+    files = _binary(spark, path)
+    return files.select("asset_key", F.col("length").alias("n_bytes"), F.lit(None).cast("string").alias("error"))
+
+
+def asset_contents(spark: SparkSession, path: str, max_bytes: int = MAX_ASSET_BYTES) -> DataFrame:
+    """``(asset_key, content)`` of files within the limit; larger and empty ones are skipped by the scan."""
+    small = _binary(spark, path).where((F.col("length") > 0) & (F.col("length") <= max_bytes))
+    return small.select("asset_key", "content")
+
+
+def _binary(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    folder = F.regexp_extract("path", "/asset_key=([^/]+)/[^/]*$", 1)
+    stem = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return files.withColumn("asset_key", F.when(folder != "", folder).otherwise(stem))
+
+
 def judge_assets(
     manifest: DataFrame,
     assets: DataFrame,

@@ -70,6 +70,38 @@ def take_while_recent(
     return kept.filter(F.col(order[0]) <= lead)
 
 
+def take_while_in_ranges(
+    df: DataFrame,
+    order: Sequence[str],
+    since: datetime,
+    published: str = "published",
+    page: str = "page_no",
+    first: int = 64,
+) -> DataFrame:
+    """``take_while_recent`` on a long feed: pages are read in growing ranges up to the first stop.
+
+    ``order`` begins with ``page``, a whole number from 0 on by which ``df``'s files can be skipped: a
+    partition column or one with statistics. What is read follows the place of the stop and not the
+    size of the feed. Each range sends one place or nothing to the driver.
+    """
+    if order[0] != page:
+        raise ValueError("the order has to begin with the page")
+    size, low = max(first, 1), 0
+    is_old = F.col(published) < instant(df, published, since)
+    place = F.min(F.when(is_old, F.struct(*order))).alias("stop")
+    while True:
+        high = low + size
+        found = df.filter((F.col(page) >= low) & (F.col(page) < high)).agg(place, F.count("*").alias("n")).first()
+        if found["stop"] is not None:
+            named = zip(order, found["stop"])
+            stop = F.struct(*[F.lit(value).cast(df.schema[name].dataType).alias(name) for name, value in named])
+            return df.filter((F.col(page) <= found["stop"][0]) & (F.struct(*order) < stop))
+        # Only a range without a row may be the feed's end, or a gap in its pages.
+        if not found["n"] and df.filter(F.col(page) >= high).isEmpty():
+            return df
+        low, size = high, 4 * size
+
+
 def page_horizon(
     pages: DataFrame,
     per_page: int = ITEMS_PER_PAGE,

@@ -112,14 +112,18 @@ def issue_toc(chapters: DataFrame, tz: str = TIME_ZONE) -> DataFrame:
     return rows.unionByName(index)
 
 
-def author_groups(chapters: DataFrame) -> DataFrame:
-    """``(author, author_pos, anchor)``: authors by casefolded name, ties by first chapter."""
+def author_groups(chapters: DataFrame, collation: str | None = None) -> DataFrame:
+    """``(author, author_pos, anchor)``: authors by casefolded name, ties by first chapter.
+
+    A ``collation`` such as ``pl`` orders names as that language does instead.
+    """
     authors = (
         chapters.withColumn("author", author_or_default(F.col("author")))
         .groupBy("author")
         .agg(F.min("chapter_no").alias("_first"))
     )
-    ranked = global_positions(authors, [casefold(F.col("author")), "_first"], "author_pos")
+    name = F.collate("author", collation) if collation else casefold(F.col("author"))
+    ranked = global_positions(authors, [name, "_first"], "author_pos")
     ranked = ranked.drop("_first").withColumn("anchor", author_anchor(F.col("author")))
     owned = with_group_start(ranked, "anchor", "author_pos", "_owner")
     suffixed = F.concat("anchor", F.lit("-"), F.substring(F.sha2("author", 256), 1, 8))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.operators.assets import asset_manifest, asset_rewrite, judge_assets
 from broadsheet.operators.feed import first_wins, last_n_days, require_rows
@@ -61,14 +61,19 @@ def build_issue(
     """Tables of an issue by name.
 
     References and cleaned pages are written once to the checkpoint folder, since all
-    tables start from them. Names, order, links and images are worked out on narrow rows;
+    tables start from them. ``rejects`` has the pages left out with the reason, and the pages
+    kept whose dropped mark-up was not closed (``unclosed_markup``). Names, order, links and images are worked out on narrow rows;
     body texts move once, to meet them by address.
     """
     window = materialize(issue_window(refs, now, days, order))
     if strict:
         require_rows(window, "no article in the window")
     extracted = extract_window(window, pages, extract)
-    cleaned, rejects = split_rejects(materialize(clean_pages(extracted, clean, site)), strict)
+    pages_cleaned = materialize(clean_pages(extracted, clean, site, repairs=True))
+    cleaned, rejects = split_rejects(pages_cleaned, strict)
+    # Kept, but told: mark-up that was dropped was not closed.
+    repaired = cleaned.where("n_repaired > 0").select("url", F.lit("unclosed_markup").alias("reject_reason"))
+    cleaned = cleaned.drop("n_repaired")
 
     narrow = cleaned.select("url", "slug", "title", "author", "category", "published", *order)
     chapters = group_by_category(assign_chapter_files(narrow, order), order)
@@ -89,14 +94,18 @@ def build_issue(
         "documents": chapter_documents(bodies.join(chapter_places(chapters, groups), "url")),
         "summary": issue_summary(window, cleaned, now, site),
         "assets": manifest,
-        "rejects": rejects,
+        "rejects": rejects.unionByName(repaired),
     }
 
 
 def write_issue(tables: dict[str, DataFrame], path: str) -> None:
-    """Write every table of an issue; documents are laid out by category."""
+    """Write every table of an issue; documents are laid out by category.
+
+    Documents are rebalanced by category: adaptive execution splits a large category and joins
+    small ones, so there are about as many files as their size needs, and one a category at least.
+    """
     for name, table in tables.items():
-        writer = table.write.mode("overwrite")
         if name == "documents":
-            writer = writer.partitionBy("category")
-        writer.parquet(f"{path}/{name}")
+            table.hint("rebalance", "category").write.mode("overwrite").partitionBy("category").parquet(f"{path}/{name}")
+        else:
+            table.write.mode("overwrite").parquet(f"{path}/{name}")

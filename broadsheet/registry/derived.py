@@ -156,6 +156,18 @@ SELECT e.event_id, e.event_id % {n} AS source_id, e.user_id % {n} AS target_id,
 FROM {events} e
 """
 
+# A link of each event, of which several kinds lead to no page.
+SKIPPED_LINKS = """
+SELECT event_id, CASE user_id % 6 WHEN 0 THEN '' WHEN 1 THEN concat('#part', user_id)
+  WHEN 2 THEN concat('mailto:u', user_id, '@x.example') WHEN 3 THEN concat('tel:', user_id)
+  WHEN 4 THEN concat('/news/', user_id) ELSE concat('https://news.example/news/', user_id) END AS href
+FROM {events}
+"""
+
+# A name whose first letter stands elsewhere in Polish than its code.
+POLISH_AUTHOR = """concat(CASE user_id % 8 WHEN 0 THEN 'Ż' WHEN 1 THEN 'Z' WHEN 2 THEN 'Ć' WHEN 3 THEN 'D'
+  WHEN 4 THEN 'Ł' WHEN 5 THEN 'L' WHEN 6 THEN 'Ą' ELSE 'B' END, lpad(CAST(user_id AS VARCHAR(20)), 6, '0'))"""
+
 # Landed fetches.
 FETCHES = """
 SELECT event_id, concat('https://news.example/news/', event_id) AS url,

@@ -126,6 +126,15 @@ WHERE ts >= {CUTOFF}""",
   (SELECT min(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20')""",
     "feed_take_while_pages": """SELECT o_orderkey FROM orders WHERE o_orderkey <
   (SELECT min(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20')""",
+    "feed_take_while_ranges": """SELECT o_orderkey FROM orders WHERE o_orderkey <
+  (SELECT min(o_orderkey) FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-20')""",
+    "asset_files_judged": """SELECT url, CAST(unnest([0, 1]) AS BIGINT) AS idx,
+  CASE WHEN page_id % 7 = 3 THEN 'missing' WHEN page_id % 50 * 100 + 1 <= 2500 THEN 'ok' ELSE 'too_large' END AS asset_status
+FROM pages""",
+    "author_index_by_locale": f"""SELECT author, row_number() OVER (ORDER BY author COLLATE pl) AS author_pos
+FROM (SELECT DISTINCT {D.POLISH_AUTHOR} AS author FROM events)""",
+    "link_skipped": f"""SELECT concat('https://news.example/news/', event_id) AS url, href
+FROM ({_fill(D.SKIPPED_LINKS)}) WHERE href LIKE '/news/%' OR href LIKE 'https:%'""",
     "feed_page_horizon": """WITH p AS (SELECT event_id // 18 AS page,
   count(*) FILTER (event_type = 'view') AS n_items,
   max(event_id) + max(user_id) * 20 AS "totalItems" FROM events GROUP BY 1)

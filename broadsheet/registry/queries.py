@@ -248,6 +248,21 @@ def feed_take_while_pages(spark, sf_dir):
     )
 
 
+@query
+def feed_take_while_ranges(spark, sf_dir):
+    """Feed rows laid out by page, read range by range up to the first old one."""
+    path = f"{_scratch(spark)}/feed"
+    rows = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") % 180).alias("pos"), "o_orderkey", "o_orderdate",
+        F.floor(F.col("o_orderkey") / 180).alias("page_no"),
+    )
+    rows.repartition("page_no").write.partitionBy("page_no").parquet(path)
+    laid_out = spark.read.parquet(path).withColumn("page_no", F.col("page_no").cast("bigint"))
+    since = datetime(1995, 1, 20, tzinfo=timezone.utc)
+    kept = feed.take_while_in_ranges(laid_out, ["page_no", "pos"], since, "o_orderdate", first=2)
+    return kept.select("o_orderkey")
+
+
 @query
 def feed_page_horizon(spark, sf_dir):
     events = table(spark, sf_dir, "events")
@@ -505,6 +520,38 @@ def asset_manifest(spark, sf_dir):
     )
 
 
+@query
+def asset_files_judged(spark, sf_dir):
+    """Image files as they landed: sizes from the files, some too large, some not there."""
+    path = f"{_scratch(spark)}/images"
+    manifest = assets.asset_manifest(_image_articles(spark, sf_dir))
+    no = F.regexp_extract("asset_url", r"(\d+)(?:-800)?\.[a-z]+$", 1).cast("bigint")
+    landed = manifest.withColumn("no", no).where("no % 7 <> 3")
+    # A file for each image: a line of text, so one byte more than its text.
+    texts = landed.select("asset_key", F.repeat(F.lit("x"), (F.col("no") % 50 * 100).cast("int")).alias("value"))
+    texts.distinct().repartition("asset_key").write.partitionBy("asset_key").text(path)
+    judged = assets.judge_assets(manifest, assets.asset_files(spark, path), max_bytes=2500)
+    return judged.select("url", F.col("idx").cast("bigint").alias("idx"), "asset_status")
+
+
+@query
+def author_index_by_locale(spark, sf_dir):
+    """Authors in Polish order."""
+    rows = table(spark, sf_dir, "events").select(
+        F.expr(D.POLISH_AUTHOR).alias("author"), F.col("event_id").alias("chapter_no")
+    )
+    return issue.author_groups(rows, collation="pl").select("author", "author_pos")
+
+
+@query
+def link_skipped(spark, sf_dir):
+    """Links that lead to no page are not looked up."""
+    made = sql(spark, sf_dir, D.SKIPPED_LINKS)
+    body = F.concat(F.lit('<p><a href="'), "href", F.lit('">x</a></p>')).alias("body_html")
+    bodies = made.select(F.concat(F.lit("https://news.example/news/"), "event_id").alias("url"), body)
+    return links.article_links(bodies, SITE).select("url", "href").distinct()
+
+
 def _image_articles(spark, sf_dir):
     cleaned = P.clean_pages(sql(spark, sf_dir, D.DIRTY_BODIES), site=SITE)
     # written once, several outputs start from it

@@ -10,7 +10,8 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from broadsheet.operators import feed
+from broadsheet.operators import assets, feed, issue
+from broadsheet.plans.issue import write_issue
 from broadsheet.sources import cache, feed as source, pages as P
 from broadsheet.streaming import ingest
 
@@ -169,3 +170,63 @@ def test_batches_equal_first_wins(spark, tmp_path):
     ingest.merge_batch(again, 0, out, 7, NOW, n_buckets=8)
     assert stored() == (want, len(want))
     assert len(spark.read.parquet(f"{out}/batches").collect()) == 4
+
+
+def test_pages_behind_the_stop_are_not_read(spark, tmp_path):
+    path = f"{tmp_path}/feed"
+    rows = [(page, pos, NOW - timedelta(hours=page + pos / 60)) for page in range(1, 400) for pos in range(3)]
+    df = spark.createDataFrame(rows, "page_no int, pos int, published timestamp")
+    df.repartition("page_no").write.partitionBy("page_no").parquet(path)
+    for page in range(200, 400):
+        for file in Path(path, f"page_no={page}").glob("*.parquet"):
+            file.write_bytes(b"not read")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    stored = spark.read.schema("pos int, published timestamp, page_no int").parquet(path)
+    since = NOW - timedelta(hours=30, minutes=1)
+    kept = feed.take_while_in_ranges(stored, ["page_no", "pos"], since, first=4)
+    want = [(page, pos) for page, pos, at in rows if at >= since]
+    assert sorted((r["page_no"], r["pos"]) for r in kept.collect()) == want
+    every = spark.createDataFrame(rows[:50], "page_no int, pos int, published timestamp")
+    assert feed.take_while_in_ranges(every, ["page_no", "pos"], NOW - timedelta(days=99), first=2).count() == 50
+    with pytest.raises(ValueError, match="page"):
+        feed.take_while_in_ranges(every, ["pos"], since)
+
+
+def test_asset_files(spark, tmp_path):
+    sizes = {"a": 10, "b": 3000, "c": 0}
+    for key, size in sizes.items():
+        folder = tmp_path / "images" / (f"asset_key={key}" if key != "b" else "x")
+        folder.mkdir(parents=True)
+        (folder / ("part-0" if key != "b" else "b.jpg")).write_bytes(b"x" * size)
+    files = assets.asset_files(spark, f"{tmp_path}/images")
+    assert {r["asset_key"]: r["n_bytes"] for r in files.collect()} == {"a": 10, "b": 3000}
+    assert "content" not in plan_of(files)
+    manifest = spark.createDataFrame([(k,) for k in "abcd"], "asset_key string")
+    judged = {r["asset_key"]: r["asset_status"] for r in assets.judge_assets(manifest, files, max_bytes=2000).collect()}
+    assert judged == {"a": "ok", "b": "too_large", "c": "missing", "d": "missing"}
+    contents = assets.asset_contents(spark, f"{tmp_path}/images", max_bytes=2000)
+    assert "LessThanOrEqual(length,2000)" in plan_of(contents)
+    assert [(r["asset_key"], bytes(r["content"])) for r in contents.collect()] == [("a", b"x" * 10)]
+
+
+def test_documents_are_written_in_few_files(spark, tmp_path):
+    docs = spark.range(4000).select(
+        F.col("id").cast("string").alias("path"),
+        F.when(F.col("id") % 10 < 7, "Kraj").otherwise(F.concat(F.lit("c"), F.col("id") % 10)).alias("category"),
+        F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("content"),
+    )
+    write_issue({"documents": docs.repartition(16)}, f"{tmp_path}/issue")
+    found = list(Path(f"{tmp_path}/issue/documents").glob("category=*/*.parquet"))
+    assert len({f.parent for f in found}) == 4 and len(found) <= 4 + 1
+    assert spark.read.parquet(f"{tmp_path}/issue/documents").count() == 4000
+
+
+def test_authors_in_the_order_of_a_language(spark):
+    names = ["Zofia", "Żaneta", "Ćwik", "Dorn", "Łoś", "Lis", "adam"]
+    df = spark.createDataFrame([(n, i) for i, n in enumerate(names)], "author string, chapter_no long")
+
+    def order(**kw):
+        return [r["author"] for r in issue.author_groups(df, **kw).orderBy("author_pos").collect()]
+
+    assert order() == ["adam", "Dorn", "Lis", "Zofia", "Ćwik", "Łoś", "Żaneta"]
+    assert order(collation="pl") == ["adam", "Ćwik", "Dorn", "Lis", "Łoś", "Zofia", "Żaneta"]
