@@ -48,8 +48,6 @@ DEPTH = 4
 SMALL = 64
 #: Minima kept of each set for branching and estimates, 16 bits each.
 MINIMA = 128
-#: A pair of similarity 0.8 agrees in fewer minima with probability under 1e-5.
-LEAST_AGREEING = 82
 BLOCK = 512
 #: A component that has at least one in this many of a node's members fills it.
 COHESIVE = 4
@@ -65,6 +63,17 @@ def trees_for(recall: float, percent: int = PERCENT, branches: int = BRANCHES) -
     return max(1, math.ceil(math.log(1 - recall) / math.log(q)))
 
 
+def least_agreeing(recall: float, percent: int = PERCENT) -> int:
+    """Equal minima that a pair at the threshold has but for a tenth of what ``recall`` allows to lose."""
+    share, below, least = percent / 100, 0.0, 0
+    while least < MINIMA:
+        below += math.comb(MINIMA, least) * share**least * (1 - share) ** (MINIMA - least)
+        if below > (1 - recall) / 10:
+            break
+        least += 1
+    return least
+
+
 _RNG = np.random.default_rng(20)
 XOR = _RNG.integers(0, 2**64, MINIMA, dtype=np.uint64)
 ODD = _RNG.integers(0, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -181,11 +190,15 @@ def _pairs(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
 
 
-def _likely(minima: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Equal minima of the row pairs; 0 where the sizes or the minima rule a link out."""
+def _likely(minima: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray, limits: tuple[int, int]) -> np.ndarray:
+    """Equal minima of the row pairs; 0 where the sizes or the minima rule a link out.
+
+    ``limits``: the least number of equal minima, and the threshold in percent.
+    """
+    least, percent = limits
     agree = (minima[i] == minima[j]).sum(axis=1)
     low, high = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-    return np.where((agree >= LEAST_AGREEING) & (100 * low >= PERCENT * high), agree, 0)
+    return np.where((agree >= max(1, least)) & (100 * low >= percent * high), agree, 0)
 
 
 class _Rows:
@@ -214,7 +227,7 @@ class _Rows:
         self.columns = {k: v[start:] for k, v in self.columns.items()}
 
 
-def _nearest(small: int):
+def _nearest(small: int, limits: tuple[int, int]):
     """Round one over rows sorted by part of a node."""
 
     def propose(rows: _Rows, first: np.ndarray, hub: tuple | None) -> pa.RecordBatch:
@@ -228,18 +241,18 @@ def _nearest(small: int):
             i = np.flatnonzero(block[d:] == block[:-d])
             if not len(i):
                 break
-            agree = _likely(minima, size, i, i + d)
+            agree = _likely(minima, size, i, i + d, limits)
             for x, y in ((i, i + d), (i + d, i)):
                 more = agree > best[x]
                 best[x[more]], other[x[more]] = agree[more], rep[y[more]]
         good = best > 0
         head = first[group]
-        to_hub = (np.arange(n) > head) & (_likely(minima, size, np.arange(n), head) > 0)
+        to_hub = (np.arange(n) > head) & (_likely(minima, size, np.arange(n), head, limits) > 0)
         a, b = [rep[good], rep[to_hub]], [other[good], rep[head[to_hub]]]
         if hub is not None:
             # The first group began in an earlier batch: its first member counts here too.
             mine = np.flatnonzero(group == 0)
-            near = _likely(np.vstack([minima[mine], hub[2][None]]), np.append(size[mine], hub[1]), np.arange(len(mine)), np.full(len(mine), len(mine))) > 0
+            near = _likely(np.vstack([minima[mine], hub[2][None]]), np.append(size[mine], hub[1]), np.arange(len(mine)), np.full(len(mine), len(mine)), limits) > 0
             a.append(rep[mine[near]])
             b.append(np.full(int(near.sum()), hub[0]))
         return _pairs(np.concatenate(a), np.concatenate(b))
@@ -282,7 +295,7 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], rows: _Rows) -> Iterator[tu
         yield rows.columns, rows.groups()
 
 
-def _open(small: int):
+def _open(small: int, limits: tuple[int, int]):
     """Round two, by minima: members that may be linked to one of another component."""
 
     def mark(c: dict, first: np.ndarray) -> np.ndarray:
@@ -295,7 +308,7 @@ def _open(small: int):
             i, j = i[label[i] != label[j]], j[label[i] != label[j]]
             for at in range(0, len(i), 50_000):
                 x, y = i[at : at + 50_000], j[at : at + 50_000]
-                good = _likely(minima, size, x, y) > 0
+                good = _likely(minima, size, x, y, limits) > 0
                 marked[x[good]] = marked[y[good]] = True
 
         few = counts[group] <= small
@@ -407,7 +420,7 @@ def near_groups(
     documents: DataFrame, width: int = SHINGLE, percent: int = PERCENT, recall: float = RECALL, depth: int = DEPTH, small: int = SMALL
 ) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
-    trees = trees_for(recall, percent)
+    trees, limits = trees_for(recall, percent), (least_agreeing(recall, percent), percent)
     signed = written(signatures(documents, trees, width))
     full = signed.where("n_shingles > 0 and doc_id is not null")
     # A class is named by a 64-bit digest of its set; any member's minima will do.
@@ -428,7 +441,7 @@ def near_groups(
         parted.select("node", "part", "rep", "size", "minima")
         .repartition("node", "part")
         .sortWithinPartitions("node", "part", "rep")
-        .mapInArrow(_nearest(small), PAIRS)
+        .mapInArrow(_nearest(small, limits), PAIRS)
         .distinct()
     )
 
@@ -478,7 +491,7 @@ def near_groups(
         met.select("node", "meet", "rep", "label", "size", "block", "minima")
         .repartition("node", "meet")
         .sortWithinPartitions("node", "meet", "block", "rep")
-        .mapInArrow(_open(small), "node bigint, meet bigint, rep bigint, label bigint, block int")
+        .mapInArrow(_open(small, limits), "node bigint, meet bigint, rep bigint, label bigint, block int")
     )
     more = written(
         unsettled.join(whole, "rep")
@@ -507,9 +520,24 @@ def near_groups(
 def keep_first(documents: DataFrame) -> DataFrame:
     """One document of each group, the one with the least id; columns stay as they are.
 
-    Rows repeated under the kept id become one; rows without an id or without words stay.
+    A kept id keeps each of its distinct texts once; of rows that differ in other columns only, the
+    one with the least digest of all columns. Rows without an id or without words stay. Repeated
+    rows are found on ids and digests, so texts move only where a row repeats another's.
     """
     groups = near_groups(documents)
     kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
     named = documents.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("_kept_id"), "left_semi")
-    return named.drop_duplicates(["doc_id"]).union(documents.where("doc_id is null"))
+    text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
+    whole = F.sha2(F.to_json(F.struct(*documents.columns)).cast("binary"), 256)
+    keyed = named.withColumn("_text", text).withColumn("_whole", whole)
+    again = written(
+        keyed.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"))
+        .agg(F.count("*").alias("_n"), F.min("_whole").alias("_first"))
+        .where("_n > 1")
+    )
+    if not again.isEmpty():
+        same = (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_same"))
+        single = keyed.join(again, same, "left_anti")
+        first = keyed.join(again, same & (F.col("_whole") == F.col("_first"))).drop_duplicates(["doc_id", "_text"])
+        named = single.select(documents.columns).union(first.select(documents.columns))
+    return named.union(documents.where("doc_id is null"))

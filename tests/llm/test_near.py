@@ -55,6 +55,15 @@ def test_groups_equal_brute_force(make_docs, rows, small, depth):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows)
 
 
+def test_other_thresholds(make_docs, words):
+    base = [words(90, k) for k in range(12)]
+    rows = [(10 * k + c, edited(text, 8 + c, f"m{c}")) for k, text in enumerate(base) for c in range(5)]
+    for percent in (60, 90):
+        got = near.near_groups(make_docs(rows), percent=percent).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(rows, percent=percent)
+    assert near.least_agreeing(1 - 1e-6) == 77 and near.least_agreeing(1 - 1e-6, 40) < 40
+
+
 def test_edge_rows(make_docs):
     got = Counter(tuple(r) for r in near.near_groups(make_docs(EDGE_ROWS)).collect())
     assert got[(6, 1, 6, True)] == 2 and got[(1, 0, 1, True)] == got[(3, 0, 3, True)] == 1
@@ -75,6 +84,15 @@ def test_stage_keeps_one_of_each_group(make_docs, rows):
     assert Counter(r.doc_id for r in kept.collect()) == want
 
 
+def test_stage_keeps_distinct_texts_of_an_id(spark, make_docs, words):
+    one, other = words(40, 1), words(40, 2)
+    docs = make_docs([(1, one), (1, other), (1, one), (2, other), (3, words(40, 3))])
+    assert sorted((r.doc_id, r.text) for r in near.keep_first(docs).collect()) == sorted([(1, one), (1, other), (3, words(40, 3))])
+    plain = spark.createDataFrame([(7, "a b c d e", "y"), (7, "a b c d e", "x"), (7, "a b c d e", "x")], "doc_id int, text string, other string")
+    assert near.keep_first(plain).count() == 1
+    assert near.keep_first(plain).first() == near.keep_first(plain.repartition(3)).first()
+
+
 def test_trees_reach_the_recall():
     assert near.trees_for(1 - 1e-6) == 5 and near.trees_for(0.9) == 1
 
