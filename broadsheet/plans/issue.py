@@ -23,6 +23,7 @@ from broadsheet.operators.pages import clean_pages, extract_pages, split_rejects
 from broadsheet.operators.skew import heavy_keys
 from broadsheet.session import materialize
 from broadsheet.site import NEWS_CLEAN, NEWS_EXTRACT, CleanProfile, ExtractProfile, Site
+from broadsheet.sources.cache import fetch_plan, route_fetches
 from broadsheet.sources.feed import FEED_ORDER
 from broadsheet.sources.pages import join_pages
 
@@ -98,6 +99,54 @@ def build_issue(
     }
 
 
+def landed_pages(
+    window: DataFrame, fetches: DataFrame, cache: DataFrame | None = None, strict: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """Pages ``(url, page_id, html)`` of a window from the cache or from fetches, and what is skipped.
+
+    ``cache``: ``(slug, html)``, one row a slug; its page is taken before a fetched one.
+    ``fetches``: ``(url, status, error, html)``; of several good ones the least digest counts.
+    Skipped addresses come with the fetch's reason, those that were not fetched with ``not_fetched``.
+    """
+    urls = window.select("url").distinct()
+    if cache is None:
+        hits, misses = None, urls
+    else:
+        hits, misses = fetch_plan(urls, cache)
+        misses = misses.select("url")
+    routed = route_fetches(fetches.join(misses, "url", "left_semi"), strict)
+    good = F.col("outcome") == "ok"
+    fetched = routed.where(good).select("url", F.xxhash64("html").alias("page_id"), "html")
+    # Narrow rows: the reason of each address without a good fetch.
+    judged = routed.groupBy("url").agg(F.max(good).alias("ok"), F.min("reason").alias("reason"))
+    skipped = (
+        misses.join(judged, "url", "left")
+        .where(~F.coalesce("ok", F.lit(False)))
+        .select("url", F.coalesce("reason", F.lit("not_fetched")).alias("reject_reason"))
+    )
+    if hits is None:
+        return fetched, skipped
+    stored = hits.join(cache, "slug").select("url", F.lit(0).cast("bigint").alias("page_id"), "html")
+    return stored.unionByName(fetched), skipped
+
+
+def run_issue(
+    refs: DataFrame,
+    fetches: DataFrame,
+    now: datetime,
+    days: int = 7,
+    cache: DataFrame | None = None,
+    order: tuple[str, ...] = FEED_ORDER,
+    strict: bool = False,
+    **options: object,
+) -> dict[str, DataFrame]:
+    """``build_issue`` from what was fetched and cached; skipped addresses are among the rejects."""
+    window = materialize(issue_window(refs, now, days, order))
+    pages, skipped = landed_pages(window, fetches, cache, strict)
+    tables = build_issue(window, pages, now, days, order=order, strict=strict, **options)
+    return tables | {"rejects": tables["rejects"].unionByName(skipped)}
+
+
 def write_issue(tables: dict[str, DataFrame], path: str) -> None:
     """Write every table of an issue; documents are laid out by category.
 

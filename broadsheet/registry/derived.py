@@ -168,6 +168,18 @@ FROM {events}
 POLISH_AUTHOR = """concat(CASE user_id % 8 WHEN 0 THEN 'Ż' WHEN 1 THEN 'Z' WHEN 2 THEN 'Ć' WHEN 3 THEN 'D'
   WHEN 4 THEN 'Ł' WHEN 5 THEN 'L' WHEN 6 THEN 'Ą' ELSE 'B' END, lpad(CAST(user_id AS VARCHAR(20)), 6, '0'))"""
 
+# What became of fetching each page, and the columns of a run's tables that are compared.
+PAGE_STATUS = "CASE WHEN page_id % 19 = 0 THEN NULL WHEN page_id % 17 = 0 THEN 404 ELSE 200 END"
+PAGE_ERROR = "CASE WHEN page_id % 19 = 0 THEN 'timeout' END"
+RUN_TABLES = {
+    "toc": ("section_pos", "section", "chapter_pos", "title", "href", "date_label"),
+    "author_index": ("author_pos", "author", "anchor", "pos", "title", "href", "date_label"),
+    "documents": ("path", "category", "content"),
+    "summary": ("title", "period", "issue_name", "generated", "article_count", "count_label"),
+    "rejects": ("url", "reject_reason"),
+    "assets": ("url", "asset_url"),
+}
+
 # Landed fetches.
 FETCHES = """
 SELECT event_id, concat('https://news.example/news/', event_id) AS url,

@@ -311,5 +311,40 @@ FROM feed JOIN k ON feed.url = k.url JOIN pages p ON p.page_id = k.page_id AND p
     "ingest_stream": f"""SELECT DISTINCT concat('https://news.example/news/',
   event_id % (SELECT count(*) FROM pages)) AS url FROM events WHERE ts >= {CUTOFF}""",
 }
+
+
+def _run_tables() -> str:
+    """The tables of a run over pages that were fetched; authors are the pages' hosts."""
+    named = NAMED.replace("html FROM pages)", "html FROM pages WHERE page_id % 17 <> 0 AND page_id % 19 <> 0)")
+    anchor = "concat('author-', substr(regexp_replace(regexp_replace(lower(host), '[^a-z0-9_\\s\\-]', '', 'g'), '[\\s_]+', '-', 'g'), 1, 80))"
+    escaped = "replace(replace(replace(replace(h1, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+    content = f"""concat('<!DOCTYPE html>', chr(10),
+  '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="pl" xml:lang="pl">',
+  chr(10), '<head>', chr(10), '  <meta charset="utf-8"/>', chr(10), '  <title>', {escaped}, '</title>', chr(10),
+  '  <link rel="stylesheet" type="text/css" href="../style/nav.css"/>', chr(10), chr(10), '</head>', chr(10),
+  '<body>', chr(10), '  <h1>', {escaped}, '</h1>', chr(10), '  <p class="author"><a href="../authors.xhtml#',
+  {anchor}, '">', host, '</a></p>', chr(10), '  <div class="article-body">',
+  {ARTICLE}, '</div>', chr(10), '</body>', chr(10), '</html>')"""
+    parts = {
+        "toc": ORACLE["issue_toc"].partition("SELECT section_pos")[2],
+        "author_index": f"""dense_rank() OVER (ORDER BY lower(host), host) AS author_pos, host AS author, {anchor} AS anchor,
+  row_number() OVER (PARTITION BY host ORDER BY published, section_pos, chapter_pos) AS pos,
+  h1 AS title, chapter_file AS href, {_label("published")} AS date_label FROM hosted""",
+        "documents": f"chapter_file AS path, category, {content} AS content FROM hosted",
+        "summary": "* FROM summary",
+        "rejects": "w.url, CASE WHEN p.page_id % 19 = 0 THEN 'network' ELSE 'http_404' END AS reject_reason FROM win w JOIN pages p ON w.url = p.url WHERE p.page_id % 17 = 0 OR p.page_id % 19 = 0",
+    }
+    parts["toc"] = "section_pos" + parts["toc"]
+    summary = ORACLE["issue_summary"].partition("SELECT concat")
+    figures = "s AS (SELECT min(published) AS a, max(published) AS b, (SELECT count(*) FROM chapters) AS n FROM win)"
+    ctes = f"{named}, hosted AS (SELECT *, {HOST} AS host FROM chapters), {figures}, summary AS (SELECT concat{summary[2]})"
+    digests = []
+    for name, text in parts.items():
+        shown = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '-')" for c in D.RUN_TABLES[name])
+        digests.append(f"SELECT '{name}' AS table_name, md5(concat_ws('|', {shown})) AS row_md5 FROM (SELECT {text})")
+    return f"WITH {ctes} " + " UNION ALL ".join(digests)
+
+
+ORACLE["issue_run_tables"] = _run_tables()
 # A whole run has the same contents.
 ORACLE["issue_run"] = ORACLE["issue_toc"]

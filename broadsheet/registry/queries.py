@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
-from functools import wraps
+from functools import reduce, wraps
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from broadsheet.functions import text as T, urls as U
 from broadsheet.operators import assets, feed, issue, links, pages as P, skew
-from broadsheet.plans.issue import build_issue
+from broadsheet.plans.issue import build_issue, run_issue
 from broadsheet.registry import derived as D
 from broadsheet.session import checkpoint_dir, configure, materialize
 from broadsheet.site import EXCLUDED_CATEGORY_ID, NEWS_EXTRACT, WEB_CLEAN, WEB_EXTRACT, Site
@@ -106,6 +106,24 @@ def issue_run(spark, sf_dir):
     )["toc"]
 
 
+@query
+def issue_run_tables(spark, sf_dir):
+    """Every table of a whole run from feed rows and fetches: a row for each of theirs, as a digest."""
+    pages = read_pages(spark, f"{sf_dir}/pages.parquet")
+    fetches = pages.select("url", F.expr(D.PAGE_STATUS).alias("status"), F.expr(D.PAGE_ERROR).alias("error"), "html")
+    tables = run_issue(
+        feed_refs(spark, sf_dir), fetches, now_of(spark, sf_dir), DAYS, order=ORDER,
+        site=SITE, extract=WEB_EXTRACT, clean=WEB_CLEAN,
+    )
+
+    def digests(name: str) -> DataFrame:
+        shown = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in D.RUN_TABLES[name]]
+        digest = F.md5(F.concat_ws("|", *shown).cast("binary"))
+        return tables[name].select(F.lit(name).alias("table_name"), digest.alias("row_md5"))
+
+    return reduce(DataFrame.unionByName, map(digests, D.RUN_TABLES))
+
+
 @query
 def feed_valid_refs(spark, sf_dir):
     refs, rejects = feed_source.valid_refs(_members(spark, sf_dir), SITE, ("event_id",))

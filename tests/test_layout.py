@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import assets, feed, issue
-from broadsheet.plans.issue import write_issue
+from broadsheet.plans.issue import landed_pages, write_issue
 from broadsheet.sources import cache, feed as source, pages as P
 from broadsheet.streaming import ingest
 
@@ -230,3 +230,16 @@ def test_authors_in_the_order_of_a_language(spark):
 
     assert order() == ["adam", "Dorn", "Lis", "Zofia", "Ćwik", "Łoś", "Żaneta"]
     assert order(collation="pl") == ["adam", "Ćwik", "Dorn", "Lis", "Łoś", "Zofia", "Żaneta"]
+
+
+def test_pages_of_a_run_come_from_cache_or_fetches(spark):
+    window = spark.createDataFrame([(f"https://n.example/{s}",) for s in ("a", "b", "c", "d", "b")], "url string")
+    stored = spark.createDataFrame([("a", "cached a"), ("z", "other")], "slug string, html string")
+    rows = [("a", 500, None, "x"), ("b", 200, None, "page b"), ("b", None, "timeout", None), ("c", 404, None, None), ("q", 500, None, "")]
+    fetches = spark.createDataFrame([(f"https://n.example/{s}", *r) for s, *r in rows], "url string, status int, error string, html string")
+    pages, skipped = landed_pages(window, fetches, stored, strict=True)
+    assert {(r["url"][-1], r["html"]) for r in pages.collect()} == {("a", "cached a"), ("b", "page b")}
+    assert {(r["url"][-1], r["reject_reason"]) for r in skipped.collect()} == {("c", "http_404"), ("d", "not_fetched")}
+    pages, skipped = landed_pages(window, fetches)
+    assert {r["url"][-1] for r in pages.collect()} == {"b"}
+    assert {(r["url"][-1], r["reject_reason"]) for r in skipped.collect()} == {("a", "http_500"), ("c", "http_404"), ("d", "not_fetched")}
