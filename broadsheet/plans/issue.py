@@ -114,10 +114,12 @@ def landed_pages(
     else:
         hits, misses = fetch_plan(urls, cache)
         misses = misses.select("url")
-    routed = route_fetches(fetches.join(misses, "url", "left_semi"), strict)
+    landed = fetches.join(misses, "url", "left_semi")
     good = F.col("outcome") == "ok"
-    fetched = routed.where(good).select("url", F.xxhash64("html").alias("page_id"), "html")
-    # Narrow rows: the reason of each address without a good fetch.
+    fetched = route_fetches(landed).where(good).select("url", F.xxhash64("html").alias("page_id"), "html")
+    # Narrow rows: the reason of each address without a good fetch. Written, so that a strict run
+    # judges the window's fetches only.
+    routed = route_fetches(materialize(landed.select("url", "status", "error")), strict)
     judged = routed.groupBy("url").agg(F.max(good).alias("ok"), F.min("reason").alias("reason"))
     skipped = (
         misses.join(judged, "url", "left")
