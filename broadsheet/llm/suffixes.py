@@ -10,8 +10,9 @@ each block sends once. Before the shuffle, a piece that occurs in
 several documents of a block leaves it once, for the smallest document; for the others the
 verdict is known already and they only send a span.
 
-In a bucket, pieces whose gram no other piece has are done. The others get an enhanced suffix
-array: all suffixes of at least ``window`` bytes in order, with the common prefixes of neighbours.
+In a bucket, pieces whose gram no other piece has are done, and so are those in which the gram's
+neighbourhood, of a length that every window has on one side of it, is nowhere else. The others get
+an enhanced suffix array: all suffixes of at least ``window`` bytes in order, with the common prefixes of neighbours.
 A scan with a stack gives the tree of common-prefix intervals; an interval whose occurrences
 follow different bytes (or begin a piece) is a maximal repeat, and it is put out with all its
 occurrences. A repeat longer than a piece appears as overlapping maximal repeats, one for each piece.
@@ -48,6 +49,8 @@ MAX_HOT = 1_000_000
 MAX_BROADCAST_ROWS = 500_000
 #: Suffixes put out at a time.
 CHUNK = 500_000
+#: Bit of a piece's gram that tells pieces filed under further keys.
+REFILED = np.uint32(1)
 #: Stands for a null id.
 NO_ID = np.iinfo(np.int64).max
 #: Stands for a window without a further gram.
@@ -136,20 +139,20 @@ def _split(data: bytes, begin: np.ndarray, finish: np.ndarray, key: np.ndarray,
 
 
 def refiled(data: bytes, text, begin, finish, low, hot: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
-    """Pieces with those of hot keys (sorted) cut by further keys until no key is hot."""
+    """Pieces with those of hot keys (sorted) cut by further keys until no key is hot, and which are."""
     done, key, least = [], low, low
     for level in range(LEVELS + 1):
         at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
         again = hot[at] == key
-        done.append((text[~again], begin[~again], finish[~again], key[~again]))
+        done.append((text[~again], begin[~again], finish[~again], key[~again], np.full(int((~again).sum()), level > 0)))
         text = text[again]
         if not len(text):
             break
         piece, begin, finish, key, least = _split(data, begin[again], finish[again], key[again], least[again], level, window)
         text = text[piece]
     else:
-        done.append((text, begin, finish, key))
-    return tuple(np.concatenate([d[k] for d in done]) for k in range(4))
+        done.append((text, begin, finish, key, np.full(len(text), True)))
+    return tuple(np.concatenate([d[k] for d in done]) for k in range(5))
 
 
 def count_keys(share: float, window: int):
@@ -252,8 +255,9 @@ def file_pieces(n_buckets: int, window: int, hot: np.ndarray | None = None, grou
                 offsets = np.concatenate([[0], np.cumsum([len(t) for t in body])]).astype(np.int64)
                 data = b"".join(body)
                 text, begin, finish, low = pieces(data, offsets, window)
+                further = np.zeros(len(text), bool)
                 if hot is not None and len(hot):
-                    text, begin, finish, low = refiled(data, text, begin, finish, low, hot, window)
+                    text, begin, finish, low, further = refiled(data, text, begin, finish, low, hot, window)
                 content = [data[a:b] for a, b in zip(begin.tolist(), finish.tolist())]
                 seen: dict[bytes, int] = {}
                 first = np.fromiter((seen.setdefault(c, i) for i, c in enumerate(content)), np.int64, len(content))
@@ -273,7 +277,7 @@ def file_pieces(n_buckets: int, window: int, hot: np.ndarray | None = None, grou
                     out_bucket.append(int(bucket[ranked[a]]))
                     out_payload.append(
                         _pack(
-                            low=(low[leads] & np.uint64(0xFFFFFFFF)).astype(np.uint32),
+                            low=low[leads].astype(np.uint32) & ~REFILED | further[leads],
                             doc=np.diff(doc, prepend=np.int64(0)),
                             row=rows[text[part]].astype(np.uint32),
                             start=start[part].astype(np.int32),
@@ -388,6 +392,39 @@ def interval_tree(contents: list[bytes], window: int = WINDOW) -> tuple[np.ndarr
     return length[differ], low[differ], high[differ], piece[chosen].astype(np.int64), offset[chosen].astype(np.int64)
 
 
+def sharing(contents: list[bytes], low: np.ndarray, window: int) -> np.ndarray:
+    """Which pieces may hold a window that another place of the bucket holds too.
+
+    A window has its least gram somewhere and at least half of its other bytes on one side of it.
+    So a gram with that many bytes before it, or behind it, comes again wherever the window does.
+    Pieces filed under further keys (``REFILED``) stay.
+    """
+    side = -(-(window - GRAM) // 2)
+    sizes = np.array([len(c) for c in contents], np.int64)
+    heads = np.cumsum(sizes) - sizes
+    data = b"".join(contents) + bytes(GRAM)
+    h = gram_hashes(data)
+    marks = np.repeat(low.astype(np.uint32) & ~REFILED, sizes)
+    at = np.flatnonzero((h[: len(marks)].astype(np.uint32) & ~REFILED) == marks)
+    piece = np.searchsorted(heads, at, "right") - 1
+    before, behind = at - heads[piece], heads[piece] + sizes[piece] - at
+    keys, owners = [], []
+    for good, begin, tag in ((before >= side, at - side, 1), (behind >= GRAM + side, at, 2)):
+        begin = begin[good]
+        key = np.full(len(begin), tag, np.uint64)
+        for k in [*range(0, side, GRAM), side]:
+            key = _mixed(key, h[begin + k])
+        keys.append(key)
+        owners.append(piece[good])
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    order = np.argsort(key)
+    same = key[order][1:] == key[order][:-1]
+    again = np.append(same, False) | np.append(False, same)
+    out = (low.astype(np.uint32) & REFILED) != 0
+    out[owner[order[again[: len(order)]]]] = True
+    return out
+
+
 def maximal_repeats(contents: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Length, piece numbers and offsets of every maximal repeat."""
     lengths, low, high, piece, offset = interval_tree(contents, window)
@@ -487,6 +524,8 @@ def settle(window: int, groups: bool = False):
                 gram_of[content] = low
                 _, which, times = np.unique(gram_of, return_inverse=True, return_counts=True)
                 mixed = np.flatnonzero(times[which] > 1)
+                if len(mixed):
+                    mixed = mixed[sharing([distinct[i] for i in mixed], gram_of[mixed], window)]
                 by_content = np.argsort(content, kind="stable")
                 first = np.searchsorted(content[by_content], np.arange(len(distinct) + 1))
                 if len(mixed):
