@@ -38,11 +38,6 @@ XHTML_BODY = (
 XHTML_CLOSE = "\n</body>\n</html>"
 
 
-def build_articles(refs: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Extracted pages with date, category and order of their reference."""
-    return refs.drop("title", "author_hint").join(extracted, "url")
-
-
 def assign_chapter_files(articles: DataFrame, order: Sequence[str]) -> DataFrame:
     """Add ``chapter_file`` and ``n_sharing``; the first article keeps a shared name.
 

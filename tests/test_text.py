@@ -87,10 +87,14 @@ def test_strip_takes_all_white_space(evaluate):
 
 
 def test_date_label_is_local(evaluate):
-    late = F.lit("2026-06-03 22:30:00").cast("timestamp")
-    assert evaluate(T.date_label(late)) == "04.06.2026"
-    winter = F.lit("2026-01-03 22:30:00").cast("timestamp")
-    assert evaluate(T.date_label(winter)) == "03.01.2026"
+    """The day changes at local midnight, two hours before UTC's in summer and one in winter."""
+    for instant, label in [
+        ("2029-07-14 21:59:59", "14.07.2029"),
+        ("2029-07-14 22:00:00", "15.07.2029"),
+        ("2029-11-08 22:59:59", "08.11.2029"),
+        ("2029-11-08 23:00:00", "09.11.2029"),
+    ]:
+        assert evaluate(T.date_label(F.lit(instant).cast("timestamp"))) == label
 
 
 def test_category_rank_and_label(evaluate):
@@ -102,9 +106,15 @@ def test_category_rank_and_label(evaluate):
 
 
 def test_issue_title_and_name(evaluate):
-    a, b = (F.lit(d).cast("timestamp") for d in ("2026-05-28 10:00:00", "2026-06-04 10:00:00"))
-    assert evaluate(T.issue_title("Paper", a, b)) == "Paper — 28.05.2026 – 04.06.2026"
-    assert evaluate(T.issue_name("paper", a, b)) == "paper_2026-05-28_2026-06-04"
+    """Both ends count as local days, also over the turn of a year and within one day."""
+    cases = [
+        ("2031-12-30 23:30:00", "2032-01-02 03:00:00", "31.12.2031 – 02.01.2032", "2031-12-31_2032-01-02"),
+        ("2030-02-28 01:00:00", "2030-02-28 21:00:00", "28.02.2030 – 28.02.2030", "2030-02-28_2030-02-28"),
+    ]
+    for start, end, period, days in cases:
+        first, last = (F.lit(at).cast("timestamp") for at in (start, end))
+        assert evaluate(T.issue_title("Harbour", first, last)) == f"Harbour — {period}"
+        assert evaluate(T.issue_name("harbour", first, last)) == f"harbour_{days}"
 
 
 def test_parse_published(spark):

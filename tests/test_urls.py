@@ -56,25 +56,25 @@ def test_article_keys(evaluate):
     def keys(url, slug):
         return evaluate(U.article_url_keys(F.col("u"), F.col("s"), SITE), u=url, s=slug)
 
-    assert keys("https://news.example/news/foo/", "foo") == [
-        "https://news.example/news/foo/",
-        "https://news.example/news/foo",
-        "/news/foo",
-        "https://www.news.example/news/foo",
-        "https://www.news.example/news/foo/",
-    ]
-    # another path falls back to the slug, and the host is not checked
-    assert "/news/foo" in keys("https://other.example/live/foo", "foo")
-
-
-def test_href_keys(evaluate):
-    def keys(href):
-        return evaluate(U.href_lookup_keys(F.col("h"), SITE), h=href)
-
-    assert "https://news.example/news/target" in keys("/news/target#part")
-    assert keys("/news/target")[0] == "https://news.example/news/target"
-    for href in ["https://example.com/news/foo", "/live/x", "mailto:a@b", "#x", "https://news.example:81/news/x"]:
-        assert keys(href) == []
+    found = keys("https://news.example/news/river-gauge", "river-gauge")
+    assert found[0] == "https://news.example/news/river-gauge"
+    # the path alone, and both hosts with and without a last slash
+    hosts = ("https://news.example", "https://www.news.example")
+    every = {"/news/river-gauge"} | {f"{host}/news/river-gauge{end}" for host in hosts for end in ("", "/")}
+    assert set(found) == every and len(found) == len(every)
+    # an address of another section and host is known by its slug too
+    assert "/news/low-tide" in keys("https://harbour.example/reports/low-tide", "low-tide")
+
+
+@pytest.mark.parametrize("href", ["/news/low-tide?page=2#map", "//www.news.example/news/low-tide/#map", "https://news.example/news/low-tide"])
+def test_href_keys(evaluate, href):
+    found = evaluate(U.href_lookup_keys(F.col("h"), SITE), h=href)
+    assert "/news/low-tide" in found and "https://www.news.example/news/low-tide" in found
+
+
+@pytest.mark.parametrize("href", ["https://harbour.example/news/low-tide", "/reports/low-tide", "tel:112", "#map", "http://news.example:8080/news/low-tide"])
+def test_hrefs_of_other_places_have_no_keys(evaluate, href):
+    assert evaluate(U.href_lookup_keys(F.col("h"), SITE), h=href) == []
 
 
 def test_fragment(evaluate):
