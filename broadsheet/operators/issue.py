@@ -21,6 +21,7 @@ from broadsheet.functions.text import (
 from broadsheet.functions.urls import chapter_file
 from broadsheet.operators.ranking import global_positions, with_group_start
 from broadsheet.operators.skew import join_dimension
+from broadsheet.session import materialize
 from broadsheet.site import AUTHOR_INDEX_TITLE, CATEGORY_ORDER, DEFAULT_AUTHOR, TIME_ZONE, Site
 
 AUTHORS_FILE = "authors.xhtml"
@@ -55,8 +56,9 @@ def assign_chapter_files(articles: DataFrame, order: Sequence[str]) -> DataFrame
         F.lit(".xhtml"),
     )
     own = F.col("_owner") == F.col("url")
+    # A common slug is a hot key: the owners are a dimension, broadcast while few and else salted.
     return (
-        named.join(owners, "chapter_file")
+        join_dimension(named, materialize(owners), "chapter_file")
         .withColumn("chapter_file", F.when(own, F.col("chapter_file")).otherwise(suffix))
         .drop("_owner")
     )

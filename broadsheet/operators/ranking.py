@@ -7,6 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from broadsheet.operators.skew import join_dimension
 from broadsheet.session import materialize
 
 
@@ -32,6 +33,10 @@ def global_positions(df: DataFrame, keys: Sequence[Column | str], name: str) ->
 
 
 def with_group_start(df: DataFrame, group: str, position: str, start: str) -> DataFrame:
-    """Add the lowest ``position`` of each group (one small row per group, joined back)."""
-    starts = df.groupBy(group).agg(F.min(position).alias(start))
-    return df.join(starts, group)
+    """Add the lowest ``position`` of each group.
+
+    The groups are a written dimension of one short row each, so a group with a large share of the
+    rows meets its row by broadcast, or salted where there are many groups.
+    """
+    starts = materialize(df.groupBy(group).agg(F.min(position).alias(start)))
+    return join_dimension(df, starts, group)

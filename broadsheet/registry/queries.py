@@ -87,6 +87,8 @@ def web_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     narrow = articles.select(
         "url", "slug", "title", "author_hint", "category", "published", *ORDER
     ).withColumnRenamed("author_hint", "author")
+    # names and order both start from it, and the pages are read for it
+    narrow = materialize(narrow)
     return issue.group_by_category(issue.assign_chapter_files(narrow, ORDER), ORDER)
 
 
