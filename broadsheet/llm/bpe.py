@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 from broadsheet.llm.batches import blocks, id_and_text, texts
 
 #: Entries a worker keeps; beyond, the memory is emptied and filled anew.
-MAX_STATES = 200_000
+MAX_STATES = 300_000
 MAX_MATCHES = 150_000
-MAX_PAIRS = 400_000
+MAX_PAIRS = 600_000
 #: Longest match whose ids are remembered.
 REMEMBER_BYTES = 64
 #: Characters below are the same letters and numbers in every version of Unicode since 1991.
@@ -45,7 +45,7 @@ BEGUN = -1
 #: Between words while texts are cut; texts that hold it go match by match.
 CUT = "\0"
 #: Words whose ids are remembered, and ids decoded at a time.
-MAX_WORDS = 250_000
+MAX_WORDS = 600_000
 STREAMED = 4096
 
 
@@ -135,7 +135,7 @@ class Transducer:
         return known
 
     def may_follow(self, left: int, right: int) -> bool:
-        """Whether the two tokens' joint bytes are encoded as just these two.
+        """Whether the two tokens' joint bytes are encoded as just these two; -1 is no token, at the start.
 
         Merges at the joint are undone, the latest first. The two stay apart unless what then meets
         at the joint would have been merged before that; of equal merges the left one comes first.
@@ -145,7 +145,7 @@ class Transducer:
         if known is None:
             if len(self._pairs) >= MAX_PAIRS:
                 self._pairs.clear()
-            known = self._pairs[key] = self._apart(left, right)
+            known = self._pairs[key] = self._whole(right) and (left < 0 or self._apart(left, right))
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -172,7 +172,7 @@ class Transducer:
     def _step(self, state: dict, byte: int) -> tuple[dict, int, int]:
         """The transition on a byte: determinised now, kept for later."""
         begun = state[BEGUN]
-        child, complete, inner = self.child, self.complete, self.inner
+        child, complete, inner, pairs = self.child, self.complete, self.inner, self._pairs
         carried: list[int] = []
         ended = -1
         for at in range(0, len(begun), 2):
@@ -181,9 +181,12 @@ class Transducer:
             node = child.get(node << 8 | byte)
             if node is None:
                 continue
-            token = complete[node]
-            if token >= 0 and ended < 0 and self._whole(token) and (before < 0 or self.may_follow(before, token)):
-                ended = token
+            if ended < 0:
+                token = complete[node]
+                if token >= 0:
+                    may = pairs.get(before << 32 | token)
+                    if may or may is None and self.may_follow(before, token):
+                        ended = token
             if inner[node]:
                 carried += (node, before)
         if ended < 0:
