@@ -6,6 +6,7 @@ Texts travel as UTF-8 bytes: ``bytes.split()`` cuts at exactly the ASCII blanks
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Iterator
 from pathlib import Path
@@ -20,6 +21,13 @@ from broadsheet.session import checkpoint_dir
 
 #: Text handled at a time; bounds the arrays a task holds, a longer text goes alone.
 BLOCK_BYTES = 2_000_000
+#: Rows and bytes of a batch that Spark hands to a Python worker, so that long texts don't pile up.
+ARROW_CONF = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+#: Where the C library can return free memory.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def id_and_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,6 +46,14 @@ def blocks(batch: pa.RecordBatch, limit: int = BLOCK_BYTES) -> Iterator[pa.Recor
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
     for start, end in zip(cuts, cuts[1:]):
         yield batch.slice(start, end - start)
+    release()
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the machine: workers are kept for later stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
 
 
 def texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -46,10 +62,12 @@ def texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def importable(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import the package from where the driver did.
+    """Bound the batches of Python workers, and let those on this machine import the package.
 
-    On a cluster the package is installed on the executors or passed with ``--py-files``.
+    They import it from where the driver did. On a cluster the package is installed on the executors or passed with ``--py-files``.
     """
+    for key, value in ARROW_CONF.items():
+        spark.conf.set(key, value)
     root = str(Path(__file__).resolve().parents[2])
     known = spark.sparkContext.environment
     paths = known.get("PYTHONPATH", "").split(os.pathsep)
