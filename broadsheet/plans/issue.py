@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from broadsheet.operators.assets import asset_manifest, asset_rewrite, judge_assets
 from broadsheet.operators.feed import first_wins, last_n_days, require_rows
@@ -21,7 +21,7 @@ from broadsheet.operators.issue import (
 from broadsheet.operators.links import article_links, link_index, rewrite_links
 from broadsheet.operators.pages import clean_pages, extract_pages, split_rejects
 from broadsheet.operators.skew import heavy_keys
-from broadsheet.session import materialize
+from broadsheet.session import materialize, work_tables
 from broadsheet.site import NEWS_CLEAN, NEWS_EXTRACT, CleanProfile, ExtractProfile, Site
 from broadsheet.sources.cache import fetch_plan, route_fetches
 from broadsheet.sources.feed import FEED_ORDER
@@ -140,15 +140,30 @@ def run_issue(
     cache: DataFrame | None = None,
     order: tuple[str, ...] = FEED_ORDER,
     strict: bool = False,
+    allow_empty: bool = False,
     **options: object,
 ) -> dict[str, DataFrame]:
-    """``build_issue`` from what was fetched and cached; skipped addresses are among the rejects."""
+    """``build_issue`` from what was fetched and cached; skipped addresses are among the rejects.
+
+    Without a reference in the window, or without an article of them, there is no issue and
+    ``EmptyWindow`` is raised, unless ``allow_empty``.
+    """
     window = materialize(issue_window(refs, now, days, order))
+    if not allow_empty:
+        require_rows(window, "no reference in the window")
     pages, skipped = landed_pages(window, fetches, cache, strict)
     tables = build_issue(window, pages, now, days, order=order, strict=strict, **options)
+    if not allow_empty:
+        require_rows(tables["documents"].select("path"), "no article in the window")
     return tables | {"rejects": tables["rejects"].unionByName(skipped)}
 
 
+def issue_to(path: str, spark: SparkSession, *args: object, **options: object) -> None:
+    """``run_issue`` and ``write_issue`` in one: the run's work tables are gone afterwards."""
+    with work_tables(spark):
+        write_issue(run_issue(*args, **options), path)
+
+
 def write_issue(tables: dict[str, DataFrame], path: str) -> None:
     """Write every table of an issue; documents are laid out by category.
 

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from broadsheet.operators.feed import cutoff, first_wins, instant, last_n_days
 from broadsheet.schemas import FEED_PAGE
-from broadsheet.session import materialize
+from broadsheet.session import materialize, work_tables
 from broadsheet.site import Site
 from broadsheet.sources.cache import N_BUCKETS, merge_buckets
 from broadsheet.sources.feed import FEED_ORDER, feed_lines, feed_members, numbered, parse_pages, valid_refs
@@ -127,7 +127,8 @@ def ingest_feed(
     """``merge_batch`` for everything that has landed, batch by batch, then stop."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        merge_batch(batch, batch_id, out, days, now, site, n_buckets)
+        with work_tables(batch.sparkSession):
+            merge_batch(batch, batch_id, out, days, now, site, n_buckets)
 
     return (
         lines.writeStream.foreachBatch(one)

@@ -11,7 +11,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import assets, feed, issue
-from broadsheet.plans.issue import landed_pages, write_issue
+from broadsheet.plans.issue import issue_to, landed_pages, run_issue, write_issue
+from broadsheet.session import checkpoint_dir, materialize, work_tables
 from broadsheet.sources import cache, feed as source, pages as P
 from broadsheet.streaming import ingest
 
@@ -243,3 +244,41 @@ def test_pages_of_a_run_come_from_cache_or_fetches(spark):
     pages, skipped = landed_pages(window, fetches)
     assert {r["url"][-1] for r in pages.collect()} == {"b"}
     assert {(r["url"][-1], r["reject_reason"]) for r in skipped.collect()} == {("a", "http_500"), ("c", "http_404"), ("d", "not_fetched")}
+
+
+def test_work_tables_are_removed(spark):
+    def tables():
+        return {p.name for p in Path(checkpoint_dir(spark)).glob("table-*")}
+
+    before = tables()
+    with work_tables(spark) as keep:
+        with work_tables(spark) as keep_inner:
+            one, two = materialize(spark.range(3)), materialize(spark.range(4))
+            both = keep_inner(materialize(one.union(two)))
+            assert len(tables() - before) == 3
+        assert len(tables() - before) == 1
+        keep(both)
+    assert both.count() == 7 and len(tables() - before) == 1
+    with pytest.raises(ZeroDivisionError):
+        with work_tables(spark):
+            materialize(spark.range(2))
+            1 / 0
+    assert len(tables() - before) == 1
+
+
+def test_a_run_leaves_no_work_tables(spark, tmp_path):
+    before = set(Path(checkpoint_dir(spark)).glob("table-*"))
+    url = "https://news.example/news/tide"
+    row = ("Tide", url, NOW - timedelta(days=1), "Kraj", "Jo", 1, 0)
+    refs = spark.createDataFrame([row], "title string, url string, published timestamp, category string, author_hint string, page_no int, pos int")
+    html = '<h1>Tide</h1><div class="prose"><p class="post-excerpt">Lead</p><section><div class="ad-slot">ad</section><p>body</p></div>'
+    fetches = spark.createDataFrame([(url, 200, None, html)], "url string, status int, error string, html string")
+    issue_to(f"{tmp_path}/issue", spark, refs, fetches, NOW)
+    assert set(Path(checkpoint_dir(spark)).glob("table-*")) == before
+    document = spark.read.parquet(f"{tmp_path}/issue/documents").first()
+    assert document["path"] == "chapters/tide.xhtml" and "<section></section><p>body</p>" in document["content"]
+    for old, got in ((refs, fetches.where("false")), (refs.where("false"), fetches)):
+        with pytest.raises(feed.EmptyWindow), work_tables(spark):
+            run_issue(old, got, NOW)
+    rejects = spark.read.parquet(f"{tmp_path}/issue/rejects").collect()
+    assert [(r["url"], r["reject_reason"]) for r in rejects] == [(url, "unclosed_markup")]
