@@ -10,9 +10,8 @@ or record id stays null and its line is left out of the serialized record; witho
 the payload's own is taken; records of other types are skipped; an element that is never closed
 reaches to the end of the page; repeated responses each give their records; an empty table gives
 none; extra columns are ignored. Pages are read by the charset of their header, and bytes that are
-no character become U+FFFD. Character references of the text are decoded as HTML 5 reads them,
-in one pass, and a no-break space that is written as one becomes a blank; the title field keeps its
-references as they are written.
+no character become U+FFFD. Character references of text and title are decoded as HTML 5 reads them,
+in one pass, and a no-break space that is written as one becomes a blank.
 """
 
 from __future__ import annotations
@@ -159,7 +158,7 @@ def derivatives(records: DataFrame) -> DataFrame:
     read = source.select(
         "*",
         plain_text(html).alias("text"),
-        F.trim(F.regexp_replace(F.regexp_extract(html, TITLE, 1), r"\s+", " ")).alias("title"),
+        F.trim(F.regexp_replace(references(F.regexp_replace(F.regexp_extract(html, TITLE, 1), BLANK, " ")), r"\s+", " ")).alias("title"),
         F.regexp_count(html, F.lit(LINK)).alias("n_links"),
         F.coalesce(F.regexp_extract("http_header", r"^HTTP/\S+ (\d+)", 1), F.lit("")).alias("status"),
     )
@@ -223,13 +222,18 @@ def digests(records: DataFrame) -> DataFrame:
     return records.drop("block")
 
 
+def _sql_references(text: str) -> str:
+    for entity, character in ENTITIES:
+        text = "replace({}, '{}', '{}')".format(text, entity, character.replace("'", "''"))
+    return text
+
+
 def _sql_text(html: str) -> str:
     text = f"regexp_replace({html}, '{COMMENT}', '', 'g')"
     for name in HIDDEN:
         text = f"regexp_replace({text}, '{hidden(name)}', '', 'g')"
     text = rf"regexp_replace(regexp_replace({text}, '{BLOCK_TAG}', chr(10), 'g'), '{TAG}', '', 'g')"
-    for entity, character in ENTITIES:
-        text = "replace({}, '{}', '{}')".format(text, entity, character.replace("'", "''"))
+    text = _sql_references(text)
     text = rf"regexp_replace({text}, '[ \t\r\f]+', ' ', 'g')"
     return rf"trim(regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '\A\n+|\n+\z', '', 'g'), ' ')"
 
@@ -243,7 +247,7 @@ WITH source AS (
          'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || strlen(coalesce(html, '')) AS http_header FROM pages
 ), filed AS (
   SELECT {_UUID.format('h')} AS refers_to, target_uri, http_header, 'sha256:' || sha256(html) AS payload_digest, {_sql_text('html')} AS text,
-         trim(regexp_replace(regexp_extract(html, '{TITLE}', 1), '\s+', ' ', 'g'), ' ') AS title, len(regexp_extract_all(html, '{LINK}')) AS n_links FROM source
+         trim(regexp_replace({_sql_references(f"regexp_extract(html, '{TITLE}', 1)")}, '\s+', ' ', 'g'), ' ') AS title, len(regexp_extract_all(html, '{LINK}')) AS n_links FROM source
 ), made AS (
   SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
          'title: ' || title || {_CRLF} || 'http-status: 200' || {_CRLF} || 'links: ' || n_links || {_CRLF} || 'text-length: ' || length(text) || {_CRLF}
