@@ -525,7 +525,8 @@ def keep_first(documents: DataFrame) -> DataFrame:
     rows are found on ids and digests, so texts move only where a row repeats another's.
     """
     groups = near_groups(documents)
-    kept = groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
+    # Written, since the rows are met with it twice.
+    kept = written(groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
     named = documents.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("_kept_id"), "left_semi")
     text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     whole = F.sha2(F.to_json(F.struct(*documents.columns)).cast("binary"), 256)
