@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import assets, feed, issue
 from broadsheet.plans.issue import issue_to, landed_pages, run_issue, write_issue
+from broadsheet.registry.queries import QUERIES
 from broadsheet.session import checkpoint_dir, materialize, work_tables
 from broadsheet.sources import cache, feed as source, pages as P
 from broadsheet.streaming import ingest
@@ -210,6 +211,32 @@ def test_asset_files(spark, tmp_path):
     assert [(r["asset_key"], bytes(r["content"])) for r in contents.collect()] == [("a", b"x" * 10)]
 
 
+def test_landed_assets(spark, tmp_path):
+    sizes = {"a": 10, "b": 3000, "c": 0}
+    rows = [(key, bytearray(b"x" * size)) for key, size in sizes.items()]
+    assets.land_assets(spark.createDataFrame(rows, "asset_key string, content binary"), f"{tmp_path}/images")
+    landed = assets.landed_assets(spark, f"{tmp_path}/images")
+    assert {r["asset_key"]: (r["n_bytes"], r["error"]) for r in landed.collect()} == {"a": (10, None), "b": (3000, None)}
+    assert "content" not in plan_of(landed)
+
+
+def test_images_of_the_query_land_in_few_files(spark, tmp_path):
+    pages = spark.range(60).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("https://news.example/"), "id").alias("url"),
+        F.lit("<article><h1>a</h1><p>b</p></article>").alias("html"),
+    )
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    before = set(Path(checkpoint_dir(spark)).glob("run-*/images"))
+    rows = QUERIES["asset_files_judged"](spark, str(tmp_path)).collect()
+    assert {(int(r["url"][21:]), r["idx"]): r["asset_status"] for r in rows} == {
+        (i, idx): "missing" if i % 7 == 3 else "ok" if i % 50 < 25 else "too_large" for i in range(60) for idx in (0, 1)
+    }
+    (landed,) = set(Path(checkpoint_dir(spark)).glob("run-*/images")) - before
+    # 104 images, at most a file for each shuffle partition
+    assert len([f for f in landed.rglob("*") if f.is_file() and f.name[0] not in "._"]) <= 4
+
+
 def test_documents_are_written_in_few_files(spark, tmp_path):
     docs = spark.range(4000).select(
         F.col("id").cast("string").alias("path"),
