@@ -30,7 +30,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
-from broadsheet.llm.batches import blocks, id_and_text, texts
+from broadsheet.llm.batches import blocks, id_and_text, release, texts
 
 #: Entries a worker keeps; beyond, the memory is emptied and filled anew.
 MAX_STATES = 300_000
@@ -40,12 +40,14 @@ MAX_PAIRS = 600_000
 REMEMBER_BYTES = 64
 #: Characters below are the same letters and numbers in every version of Unicode since 1991.
 OLDER_THAN = "\u0250"
-#: Key of what a state has begun, next to bytes.
-BEGUN = -1
 #: Between words while texts are cut; texts that hold it go match by match.
 CUT = "\0"
+#: Text encoded at a time: its words as objects take some fifty times its bytes.
+ENCODED_BYTES = 500_000
 #: Words whose ids are remembered, and ids decoded at a time.
 MAX_WORDS = 600_000
+#: Words remembered by workers that have to be sparing with memory.
+FEW_WORDS = 200_000
 STREAMED = 4096
 
 
@@ -105,11 +107,18 @@ class Transducer:
         self._forget()
 
     def _forget(self) -> None:
-        # A state is the dictionary of its transitions, by byte: next state, token that ends the
-        # prefix, how far back a begun token reaches. Under BEGUN it lists node and token before,
-        # longest begun token first; last comes the token that ended just here (-1 at the start).
-        self._start: dict = {BEGUN: (-1,)}
-        self._states: dict[tuple[int, ...], dict] = {self._start[BEGUN]: self._start}
+        # What a state has begun lists node and token before, longest begun token first; last comes
+        # the token that ended just here (-1 at the start).
+        self._begun: list[tuple[int, ...]] = [(-1,)]
+        self._states: dict[tuple[int, ...], int] = {self._begun[0]: 0}
+        # Transitions by ``state << 8 | byte``, each as one number: next state, token that ends the
+        # prefix (24 bits), how far back a begun token reaches (16 bits). Hundreds of thousands are
+        # kept, which as objects of their own would take twice the memory.
+        self._steps: dict[int, int] = {}
+
+    def forget_all(self) -> None:
+        self._forget()
+        self._pairs.clear()
 
     def merge(self, data: bytes, below: int | None = None) -> list[int]:
         """The merges applied by definition, those below a rank only; used for single tokens."""
@@ -169,9 +178,9 @@ class Transducer:
             known = self._reached[token] = self.merge(self.tokens[token]) == [token]
         return known
 
-    def _step(self, state: dict, byte: int) -> tuple[dict, int, int]:
+    def _step(self, state: int, byte: int) -> int:
         """The transition on a byte: determinised now, kept for later."""
-        begun = state[BEGUN]
+        begun = self._begun[state]
         child, complete, inner, pairs = self.child, self.complete, self.inner, self._pairs
         carried: list[int] = []
         ended = -1
@@ -196,21 +205,25 @@ class Transducer:
         key = tuple(carried)
         after = self._states.get(key)
         if after is None:
-            after = self._states[key] = {BEGUN: key}
-        step = state[byte] = (after, ended, back)
+            after = self._states[key] = len(self._begun)
+            self._begun.append(key)
+        step = self._steps[state << 8 | byte] = after << 40 | ended << 16 | back
         return step
 
     def encode(self, data: bytes) -> list[int]:
         """Ids of one match."""
         if len(self._states) > MAX_STATES:
             self._forget()
-        state, ids = self._start, []
+        state, ids, steps = 0, [], self._steps
         #: Tokens that end the prefixes not yet emitted.
         pending: list[int] = []
         for byte in data:
-            state, ended, back = state.get(byte) or self._step(state, byte)
-            pending.append(ended)
-            if not back:
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                step = self._step(state, byte)
+            state = step >> 40
+            pending.append(step >> 16 & 0xFFFFFF)
+            if not step & 0xFFFF:
                 # No token begun earlier is open: what is pending is final.
                 ids += self._trace(pending)
                 pending.clear()
@@ -265,10 +278,14 @@ class Tokenizer:
     """Pattern, transducer and the ids of words met before."""
 
     def __init__(self, path: str, pattern: str, newer: str = ""):
+        self.max_words = MAX_WORDS
         self.transducer = Transducer(read_ranks(path))
         self.pattern = regex.compile(pattern)
         self.newer = re.compile(newer) if newer else None
-        self._known: dict[str, list[int]] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self._known: dict[str, tuple[int, ...]] = {}
         self._number: dict[str, int] = {}
         #: Of all words met: their ids in a row, where each word's begin, and the block that had it last.
         self._flat = np.zeros(0, np.int32)
@@ -276,6 +293,12 @@ class Tokenizer:
         self._used = np.zeros(0, np.int64)
         self._block = 0
 
+    def forget_all(self) -> None:
+        """Empty every memory and give its space back; what is met again is found anew."""
+        self._empty()
+        self.transducer.forget_all()
+        release()
+
     def matches(self, text: str) -> list[str]:
         """The text cut by the pattern; characters in ``newer`` count as unassigned."""
         if self.newer is None or text.isascii() or max(text) < OLDER_THAN or not self.newer.search(text):
@@ -289,7 +312,7 @@ class Tokenizer:
             found = known.get(match)
             if found is None:
                 data = match.encode()
-                found = self.transducer.encode(data)
+                found = tuple(self.transducer.encode(data))
                 if len(data) <= REMEMBER_BYTES:
                     if len(known) >= MAX_MATCHES:
                         known.clear()
@@ -348,10 +371,10 @@ class Tokenizer:
         self._used = np.concatenate([self._used, np.full(len(words), self._block)])
 
     def _forget(self) -> None:
-        """Beyond ``MAX_WORDS``, keep the words that came up again most lately, half as many at most."""
-        if len(self._number) <= MAX_WORDS:
+        """Beyond ``max_words``, keep the words that came up again most lately, half as many at most."""
+        if len(self._number) <= self.max_words:
             return
-        order = np.argsort(self._used, kind="stable")[-MAX_WORDS // 2 :]
+        order = np.argsort(self._used, kind="stable")[-self.max_words // 2 :]
         order.sort()
         keep = np.zeros(len(self._used), bool)
         keep[order] = True
@@ -407,7 +430,7 @@ def encode(documents: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokenizer(path, pattern, newer)
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, ENCODED_BYTES):
                 flat, ends = encoder.encode_all([text.decode("utf-8", "replace") for text in texts(block)])
                 yield pa.RecordBatch.from_arrays([block.column("doc_id"), _lists(flat, ends)], ["doc_id", "ids"])
 
@@ -432,20 +455,29 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 
 
-def round_trip(documents: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``encode`` and ``decode`` in one pass, so that one worker holds one tokenizer."""
+def round_trip(documents: DataFrame, path: str, pattern: str, sparing: bool = False) -> DataFrame:
+    """``encode`` and ``decode`` in one pass, so that one worker holds one tokenizer.
+
+    ``sparing`` is for executors whose heap and workers earlier stages have filled: fewer words are
+    remembered and nothing is after a task, at the cost of finding them anew. Results are the same.
+    """
     newer = newer_characters()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = tokenizer(path, pattern, newer)
-        for batch in batches:
-            for block in blocks(batch):
-                flat, ends = both.encode_all([text.decode("utf-8", "replace") for text in texts(block)])
-                starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-                data = [both.decode(flat[start:end].tolist()) for start, end in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), _lists(flat, ends), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"]
-                )
+        both.max_words = FEW_WORDS if sparing else MAX_WORDS
+        try:
+            for batch in batches:
+                for block in blocks(batch, ENCODED_BYTES):
+                    flat, ends = both.encode_all([text.decode("utf-8", "replace") for text in texts(block)])
+                    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+                    data = [both.decode(flat[start:end].tolist()) for start, end in zip(starts.tolist(), ends.tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [block.column("doc_id"), _lists(flat, ends), pa.array(data, pa.binary())], ["doc_id", "ids", "decoded"]
+                    )
+        finally:
+            if sparing:
+                both.forget_all()
 
     return id_and_text(documents).mapInArrow(run, "doc_id bigint, ids array<int>, decoded binary")
 

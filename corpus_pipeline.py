@@ -43,7 +43,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the ids and of the decoded bytes."""
     _ready(spark)
-    return bpe.digests(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN))
+    return bpe.digests(bpe.round_trip(docs, RANKS, public_tokenizers.PATTERN, sparing=True))
 
 
 STAGES = [

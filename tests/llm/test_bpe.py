@@ -52,6 +52,33 @@ def test_small_memories_change_nothing(library, monkeypatch):
     assert small.encode(text) == library.encode_ordinary(text)
 
 
+def test_states_are_kept_as_numbers(ours):
+    """Objects of their own for each state took an executor beyond its memory."""
+    ours.encode("Several words, which lead to several states")
+    steps = ours.transducer._steps
+    assert len(steps) > 20 and all(type(step) is int for item in steps.items() for step in item)
+
+
+def test_what_is_forgotten_is_found_anew(library):
+    some = bpe.Tokenizer(PATH, PATTERN)
+    some.max_words = 4
+    texts = ["The quick brown fox", "Überraschung, the quick  fox", "", "a\nb c d e f g h"]
+    want = [i for text in texts for i in library.encode_ordinary(text)]
+    for _ in range(3):
+        ids, ends = some.encode_all(texts)
+        assert ids.tolist() == want and ends[-1] == len(want)
+        assert len(some._number) <= 4
+    some.forget_all()
+    assert not some._number and not some._known and not some.transducer._steps
+    assert some.encode_all(texts)[0].tolist() == want
+
+
+def test_sparing_round_trip_is_the_same(make_docs):
+    docs = make_docs(EDGE_ROWS)
+    full, sparing = (bpe.digests(bpe.round_trip(docs, PATH, PATTERN, sparing=how)) for how in (False, True))
+    assert sorted(map(tuple, full.collect()), key=str) == sorted(map(tuple, sparing.collect()), key=str)
+
+
 def test_streaming_decode_never_splits_a_character(ours):
     text = "naïve 漢字 😀 end"
     ids = ours.encode(text)
