@@ -63,22 +63,29 @@ def _card_fields(site: Site):
 
         href = H.first_attribute(card, is_link, "href")
         author = H.text_of(H.first_subtree(card, _AUTHOR))
+
+        def unless_empty(value: Column) -> Column:
+            # bound first: what nullif is given runs twice
+            return let(value, lambda text: F.nullif(text, F.lit("")))
+
         return F.struct(
             H.text_of(H.first_subtree(card, _TITLE)).alias("title"),
             normalize_url(href, site.base).alias("url"),
             _category(card).alias("category"),
-            F.coalesce(
-                F.nullif(author, F.lit("")), F.nullif(_avatar_name(card), F.lit(""))
-            ).alias("author_hint"),
+            F.coalesce(unless_empty(author), unless_empty(_avatar_name(card))).alias("author_hint"),
         )
 
     return fields
 
 
 @lru_cache
-def _card_columns(site: Site) -> tuple[Column, Column]:
+def _card_columns(site: Site, limit: int | None) -> tuple[Column, Column]:
     def cards(toks: Column) -> Column:
-        return F.transform(H.subtrees(toks, _CARD), lambda span: H.part(toks, span))
+        spans = H.subtrees(toks, _CARD)
+        if limit is not None:
+            # cards behind the limit are not cut out
+            spans = F.slice(spans, 1, max(limit, 0))
+        return F.transform(spans, lambda span: H.part(toks, span))
 
     return let(H.items(F.col("html")), cards), let(F.col("_card"), _card_fields(site))
 
@@ -91,10 +98,8 @@ def listing_refs(
     key: str = "list_id",
 ) -> DataFrame:
     """References of the cards of every listing page; ``limit`` counts cards of one page."""
-    cards, record = _card_columns(site)
+    cards, record = _card_columns(site, limit)
     rows = pages.select(key, F.posexplode(cards).alias("pos", "_card"))
-    if limit is not None:
-        rows = rows.filter(F.col("pos") < limit)
     out = with_columns_once(rows, record).drop("_card")
     return out.filter(F.col("title").isNotNull() & F.col("url").isNotNull()).select(
         key, "pos", "title", "url", F.lit(now).alias("published"), "category", "author_hint"

@@ -211,3 +211,13 @@ def test_listing(spark):
     ]
     # the limit counts cards, also those without a link
     assert listing.listing_refs(df, now, limit=3).count() == 2
+
+
+def test_listing_looks_up_each_part_of_a_card_once(spark):
+    df = spark.createDataFrame([(1, LISTING)], "list_id int, html string")
+    now = datetime(2026, 6, 1, tzinfo=UTC)
+    plan = listing.listing_refs(df, now, limit=1)._jdf.queryExecution().optimizedPlan().toString()
+    times = {name: plan.count(name) for name in ("post__title", r"post__author\-name", r"post__author\-avatars")}
+    assert len(set(times.values())) == 1, times
+    assert [r["pos"] for r in listing.listing_refs(df, now, limit=1).collect()] == [0]
+    assert listing.listing_refs(df, now, limit=0).count() == 0
