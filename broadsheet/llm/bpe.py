@@ -42,7 +42,7 @@ REMEMBER_BYTES = 64
 OLDER_THAN = "\u0250"
 #: Between words while texts are cut; texts that hold it go match by match.
 CUT = "\0"
-#: Text encoded at a time: its words as objects take some fifty times its bytes.
+#: Text encoded at a time; its words as objects take many times its bytes.
 ENCODED_BYTES = 500_000
 #: Words whose ids are remembered, and ids decoded at a time.
 MAX_WORDS = 600_000
@@ -113,7 +113,7 @@ class Transducer:
         self._states: dict[tuple[int, ...], int] = {self._begun[0]: 0}
         # Transitions by ``state << 8 | byte``, each as one number: next state, token that ends the
         # prefix (24 bits), how far back a begun token reaches (16 bits). Hundreds of thousands are
-        # kept, which as objects of their own would take twice the memory.
+        # kept, so they are no objects of their own.
         self._steps: dict[int, int] = {}
 
     def forget_all(self) -> None:

@@ -53,7 +53,7 @@ def test_small_memories_change_nothing(library, monkeypatch):
 
 
 def test_states_are_kept_as_numbers(ours):
-    """Objects of their own for each state took an executor beyond its memory."""
+    """Hundreds of thousands of them are kept."""
     ours.encode("Several words, which lead to several states")
     steps = ours.transducer._steps
     assert len(steps) > 20 and all(type(step) is int for item in steps.items() for step in item)
