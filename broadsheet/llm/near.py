@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from broadsheet.llm.batches import blocks, id_and_text, texts, written
 from broadsheet.llm.components import connected_components
+from broadsheet.session import work_tables
 
 #: The contract of the near-duplicate query: four words, 80 percent.
 SHINGLE = 4
@@ -103,19 +104,20 @@ def shingle_set(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(_finish(mixed))
 
 
-def sets(documents: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``text_key`` and the whole set as packed 64-bit hashes."""
+def sets(documents: DataFrame, width: int = SHINGLE, flag: str = "several") -> DataFrame:
+    """``set_key``, the whole set as packed 64-bit hashes, and a boolean column of the documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch):
                 found = [shingle_set(text, width).tobytes() for text in texts(block)]
                 yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), pa.array([md5(s).digest() for s in found], pa.binary()), pa.array(found, pa.binary())],
-                    ["doc_id", "set_key", "shingles"],
+                    [pa.array([md5(s).digest() for s in found], pa.binary()), pa.array(found, pa.binary()), block.column(flag)],
+                    ["set_key", "shingles", flag],
                 )
 
-    return id_and_text(documents).mapInArrow(run, "doc_id bigint, set_key binary, shingles binary")
+    rows = documents.select(F.col("text").cast("string").cast("binary").alias("text"), flag)
+    return rows.mapInArrow(run, f"set_key binary, shingles binary, {flag} boolean")
 
 
 def signatures(documents: DataFrame, trees: int, width: int = SHINGLE) -> DataFrame:
@@ -452,16 +454,16 @@ def near_groups(
         .union(roots.where(F.col("members") > small).select("rep"))
         .distinct()
     )
-    inside = by_class.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("doc_id").alias("doc_id"))
+    inside = written(by_class.join(wanted, "rep", "left_semi").groupBy("rep").agg(F.min("doc_id").alias("doc_id")))
+    # An id of a single row gives its class's set and no other; only sets of further ids are sorted out.
+    rows_of = signed.groupBy("doc_id").agg((F.count("*") > 1).alias("several"))
     chosen = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
-        inside.select("doc_id").distinct(), "doc_id", "left_semi"
-    )
-    whole = written(
-        sets(chosen, width)
-        .select(F.xxhash64("set_key").alias("rep"), "shingles")
-        .join(inside.select("rep"), "rep", "left_semi")
-        .drop_duplicates(["rep"])
+        inside.select("doc_id").distinct().join(rows_of, "doc_id"), "doc_id"
     )
+    found = written(sets(chosen, width).select(F.xxhash64("set_key").alias("rep"), "shingles", "several"))
+    doubtful = found.where("several").select("rep", "shingles").join(inside.select("rep"), "rep", "left_semi")
+    certain = found.where("not several").select("rep", "shingles")
+    whole = certain.union(written(doubtful.join(certain.select("rep"), "rep", "left_anti").drop_duplicates(["rep"])))
     # Texts of one id belong together whatever their similarity.
     several = by_class.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("high")).where("a < high")
     same_id = several.join(by_class.distinct(), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b")
@@ -522,23 +524,31 @@ def keep_first(documents: DataFrame) -> DataFrame:
 
     A kept id keeps each of its distinct texts once; of rows that differ in other columns only, the
     one with the least digest of all columns. Rows without an id or without words stay. Repeated
-    rows are found on ids and digests, so texts move only where a row repeats another's.
+    rows are found on ids and digests of all rows, so texts move once, to meet the kept ids, unless
+    a row repeats another's. Work tables are removed but for the two that the result reads.
     """
-    groups = near_groups(documents)
-    # Written, since the rows are met with it twice.
-    kept = written(groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct())
-    named = documents.where("doc_id is not null").join(kept, F.col("doc_id").cast("bigint") == F.col("_kept_id"), "left_semi")
+    with work_tables(documents.sparkSession) as keep:
+        groups = near_groups(documents)
+        # Written, since the rows are met with it more than once; the tables it came from go.
+        kept = keep(written(groups.where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()))
     text = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256)
     whole = F.sha2(F.to_json(F.struct(*documents.columns)).cast("binary"), 256)
-    keyed = named.withColumn("_text", text).withColumn("_whole", whole)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_text", F.unhex(text)).withColumn("_whole", F.unhex(whole))
+
+    with_id = documents.where("doc_id is not null")
     again = written(
-        keyed.groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"))
+        keyed(with_id)
+        .groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_same"))
         .agg(F.count("*").alias("_n"), F.min("_whole").alias("_first"))
         .where("_n > 1")
     )
+    # The ids grow with the corpus: no broadcast at any size.
+    named = with_id.join(kept.hint("merge"), F.col("doc_id").cast("bigint") == F.col("_kept_id"), "left_semi")
     if not again.isEmpty():
         same = (F.col("doc_id") == F.col("_id")) & (F.col("_text") == F.col("_same"))
-        single = keyed.join(again, same, "left_anti")
-        first = keyed.join(again, same & (F.col("_whole") == F.col("_first"))).drop_duplicates(["doc_id", "_text"])
+        single = keyed(named).join(again, same, "left_anti")
+        first = keyed(named).join(again, same & (F.col("_whole") == F.col("_first"))).drop_duplicates(["doc_id", "_text"])
         named = single.select(documents.columns).union(first.select(documents.columns))
     return named.union(documents.where("doc_id is null"))

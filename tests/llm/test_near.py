@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 from collections import Counter
+from pathlib import Path
 
 import pytest
 
 from broadsheet.llm import near
 from broadsheet.llm.components import connected_components
+from broadsheet.session import checkpoint_dir
 from tests.llm.conftest import EDGE_ROWS
 
 
@@ -93,6 +95,23 @@ def test_stage_keeps_distinct_texts_of_an_id(spark, make_docs, words):
     assert near.keep_first(plain).first() == near.keep_first(plain.repartition(3)).first()
 
 
+def test_stage_leaves_only_the_tables_its_result_reads(spark, make_docs, rows):
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("*"))
+    kept = near.keep_first(make_docs(rows))
+    assert len({*folder.glob("*")} - before) <= 2
+    assert kept.count() == sum(first for _, _, first in brute(rows).values())
+
+
+def test_sets_of_ids_with_several_texts(make_docs, words):
+    base = [words(60, k) for k in range(6)]
+    rows = [(10 * k, text) for k, text in enumerate(base)] + [(10 * k + 1, edited(text, 50, "x")) for k, text in enumerate(base)]
+    # Ids that also have an empty text, the same text, another's text, and one that is linked with nothing.
+    rows += [(0, ""), (10, base[1]), (20, base[0]), (31, words(60, 99)), (40, None)]
+    got = {(r.doc_id, r.component_id) for r in near.near_groups(make_docs(rows)).collect() if r.n_shingles}
+    assert got == {(0, 0), (1, 0), (20, 0), (21, 0), (10, 10), (11, 10), (30, 30), (31, 30), (40, 40), (41, 40), (50, 50), (51, 50)}
+
+
 def test_trees_reach_the_recall():
     assert near.trees_for(1 - 1e-6) == 5 and near.trees_for(0.9) == 1
 

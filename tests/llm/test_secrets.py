@@ -96,6 +96,12 @@ def test_redaction(make_docs, rows):
     assert new.count() == len(rows)
 
 
+def test_redaction_moves_a_text_once(make_docs, rows):
+    plan = X.redact(make_docs(rows))._jdf.queryExecution().optimizedPlan().toString()
+    met = [line for line in plan.split("\n") if " AS row_key#" in line and " AS _row#" in line]
+    assert met and not any("[text#" in line for line in met)
+
+
 def test_empty_table_and_no_python(make_docs, rows):
     assert X.digests(X.scan(make_docs([]))).count() == 0
     plan = X.digests(X.scan(make_docs(rows)))._jdf.queryExecution().toString()
