@@ -188,7 +188,8 @@ def links(prints: DataFrame) -> DataFrame:
     sought = keys.select("key", F.col("print").alias("b"))
     # Each is found under the other's nearest codeword, so one direction is enough.
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_DISTANCE)
-    return filed.join(sought, (filed["key"] == sought["key"]) & near).select("a", "b").distinct()
+    # Spark sizes the 120 keys of a fingerprint like the one it comes from: no broadcast at any size.
+    return filed.join(sought.hint("merge"), (filed["key"] == sought["key"]) & near).select("a", "b").distinct()
 
 
 def hexadecimal(value: Column) -> Column:
@@ -200,8 +201,10 @@ def simhash_groups(documents: DataFrame, width: int = 3) -> DataFrame:
     signed = written(fingerprints(documents, width))
     prints = written(signed.groupBy("print").agg(F.min("doc_id").alias("least")))
     labels = connected_components(links(prints)).select(F.col("id").alias("print"), "component")
-    named = prints.join(labels, "print", "left").withColumn("component", F.coalesce("component", "print"))
+    # Labels, roots and prints grow with the corpus, and their files are smaller than their rows: no broadcast at any size.
+    joined = prints.join(labels.hint("merge"), "print", "left")
+    named = joined.withColumn("component", F.coalesce("component", "print"))
     named = written(named)
     roots = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.select("print", "component").join(roots, "component").select("print", "component_id")
-    return signed.join(by_print, "print").select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")
+    by_print = named.select("print", "component").join(roots.hint("merge"), "component").select("print", "component_id")
+    return signed.join(by_print.hint("merge"), "print").select("doc_id", hexadecimal(F.col("print")).alias("fingerprint"), "component_id")

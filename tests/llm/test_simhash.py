@@ -93,3 +93,22 @@ def test_empty_table(make_docs):
 def test_sf_documents_equal_brute_force(sf_docs):
     rows = [(r.doc_id, r.text) for r in sf_docs.select("doc_id", "text").collect()]
     assert result(sf_docs) == brute(rows)
+
+
+def test_tables_that_grow_are_not_broadcast(make_docs, monkeypatch, words):
+    plans, write = [], simhash.written
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    def recorded(df, **options):
+        plans.append(plan(df))
+        return write(df, **options)
+
+    monkeypatch.setattr(simhash, "written", recorded)
+    rows = [(i, words(50, i % 20)) for i in range(60)]
+    groups = simhash.simhash_groups(make_docs(rows))
+    plans += [plan(groups), plan(simhash.links(make_docs(rows).selectExpr("doc_id as print")))]
+    assert sorted((tuple(row) for row in groups.collect()), key=repr) == brute(rows)
+    assert not [p for p in plans if "Broadcast" in p]
+    assert sum(p.count("SortMergeJoin") for p in plans) == 4
